@@ -18,6 +18,7 @@ documents that share a doc_id follow each other; an empty table gives no files a
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -40,10 +41,10 @@ BLOCK = 512
 #: A file is closed once it has this many tokens (or with its last document).
 FILE_TOKENS = 1 << 21
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 #: Characters on which the regular-expression engines of Python and of the tokenizers library surely agree.
-_UNSURE = regex.compile(r"[^\t\n\r\x20-\x7e\xa0-\xffĀ-ɏͰ-ͳΑ-ΡА-я]")
+_UNSURE = regex.compile(r"[^\t\n\r\x20-\x7e\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\xffĀ-ɏͰ-ͳΑ-ΡА-я]")
 _AT_HOME: dict = {}
 
 
@@ -56,6 +57,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, pattern: str):
+        # a task has one core; the library's own threads would wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

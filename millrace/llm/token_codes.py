@@ -19,16 +19,18 @@ documents that share a doc_id follow each other; an empty table gives no files a
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,13 +43,20 @@ BLOCK = 512
 #: A file is closed once it has this many tokens (or with its last document).
 FILE_TOKENS = 1 << 21
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+#: Characters of text encoded at a time.
+ENCODED = 1 << 20
 
 #: Characters on which the regular-expression engines of Python and of the tokenizers library surely agree.
-_UNSURE = regex.compile(r"[^\t\n\r\x20-\x7e\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\xffĀ-ɏͰ-ͳΑ-ΡА-я]")
+_UNSURE = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\xffĀ-ɏͰ-ͳΑ-ΡА-я]")
 _AT_HOME: dict = {}
 
 
+def plain_pattern(pattern: str) -> str:
+    """The pieces' pattern for Python's re, which has no \\p; the same on all characters but _UNSURE's."""
+    return pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+
+
 class Encoder:
     """The ids of texts by the tokenizers library, which sees each different piece once.
 
@@ -63,26 +72,22 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = re.compile(plain_pattern(pattern)).findall
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if _UNSURE.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        pieces = self.pieces(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [None if _UNSURE.search(t) or any(s in t for s in self.special) else self.pieces(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [p for p in set(pieces) if p not in self.known]
+        new = list(set(chain.from_iterable(filter(None, cut))).difference(self.known))
         for piece, x in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(x.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+            self.known[piece] = array("I", x.ids).tobytes()
+        look = self.known.__getitem__
+        return [self.whole(t) if c is None else b"".join(map(look, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -178,9 +183,19 @@ def _encode_and_write(folder: str, path: str, pattern: str, end_id: int, file_to
             values = ([name], [partition], [number], [len(names)], [tokens])
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["name", "partition", "number", "documents", "tokens"])
 
-        for batch in batches:
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+            waiting, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encode(text.as_py() or "") + tail, "<u4")
+                waiting.append((doc_id, text.as_py() or ""))
+                size += len(waiting[-1][1])
+                if size >= ENCODED:
+                    yield from zip([d for d, _ in waiting], encode([t for _, t in waiting]), strict=True)
+                    waiting, size = [], 0
+            yield from zip([d for d, _ in waiting], encode([t for _, t in waiting]), strict=True)
+
+        for batch in batches:
+            for doc_id, raw in encoded(batch):
+                ids = np.frombuffer(raw + tail, "<u4")
                 names.append(doc_id)
                 texts.append(ids)
                 tokens += len(ids)

@@ -20,6 +20,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+BLOCK = 256
 KINDS = ("assign", "access", "hex", "entropy")
 
 #: Window length, and for each character class (first that fits a run) the bits that a window must pass.
@@ -45,17 +46,25 @@ def _spans(text: Column, pattern: str, kind: str, ok=lambda match, group: F.lit(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
     )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,hit:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("found"))
+    kind_no = F.lit(KINDS.index(kind))
+    span = "array<struct<start:bigint,end:bigint,kind:int,hit:string>>"
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["hit"].alias("hit")))
+        one = F.array(F.struct(begin.alias("start"), end.alias("end"), kind_no.alias("kind"), x["hit"].alias("hit")))
         keep = x["hit"].isNotNull() & ok(x["hit"], x["part"])
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(empty)
+    def block(acc: Column, xs: Column) -> Column:
+        at = F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(0).cast("bigint"))
+        return F.concat(acc, F.array(F.aggregate(xs, F.struct(at.alias("at"), F.array().cast(span).alias("found")), step)))
+
+    # a fold copies the list that it extends, so it runs over blocks of matches, and only the blocks' ends pass on
+    starts = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(BLOCK))
+    blocks = F.transform(starts, lambda i: F.slice(parts, i, F.lit(BLOCK)))
+    folded = F.aggregate(blocks, F.array().cast(f"array<struct<at:bigint,found:{span}>>"), block)
+    return F.when(text.rlike(pattern), F.flatten(F.transform(folded, lambda b: b["found"]))).otherwise(F.array().cast(span))
 
 
 def _clogc(count: Column) -> Column:

@@ -51,12 +51,10 @@ def keywords(c: Column, most: int) -> Column:
 def drop_repeated_lines(c: Column) -> Column:
     """Blanks collapsed per line; empty lines, and lines equal to the line kept before, dropped."""
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != "")
-    kept = F.aggregate(
-        lines,
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == x), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return F.array_join(kept, "\n")
+    # the line kept before is equal to the line before, so neighbours decide
+    pairs = F.arrays_zip(lines.alias("line"), F.concat(F.array(F.lit(None).cast("string")), lines).alias("before"))
+    kept = F.filter(pairs, lambda x: x["line"].isNotNull() & ~x["line"].eqNullSafe(x["before"]))
+    return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
 
 
 def strip_markup(c: Column) -> Column:

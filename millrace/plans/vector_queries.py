@@ -27,6 +27,14 @@ def chunk_boundary(t: Tables):
     return C.sentence_chunks(t.documents).select("doc_id", "chunk_index", "start", "end")
 
 
+@query()
+def chunk_lateral(t: Tables):
+    """chunk_boundary as a table function in SQL."""
+    from millrace.functions.hooks import lateral_chunks
+
+    return lateral_chunks(t.documents)
+
+
 @query("SELECT doc_id, true AS covers, true AS advances FROM documents WHERE length(text) > 0")
 def chunk_invariants(t: Tables):
     """What must hold of chunk_boundary: the chunks cover the text without gaps, and starts and ends advance."""

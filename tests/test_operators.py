@@ -123,3 +123,52 @@ def test_streams_equal_their_batch_twins(spark):
     for stream, batch in (("stream_session_carry", "session_carry"), ("stream_cache_replay", "cache_replay")):
         a, b = (QUERIES[n](spark, "/root/testdata/sf0.001") for n in (stream, batch))
         assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+
+
+def test_records_get_defaults(spark, tmp_path):
+    from millrace.sources.records import read_records
+
+    (tmp_path / "r.json").write_text('[{"source_id": "a", "title": "t", "published_at": "2024-01-02T09:00:00+09:00"}, {"source_id": "b", "attachment_names": ["x"], "source_priority": 7}]')
+    rows = {r["source_id"]: r for r in read_records(spark, str(tmp_path)).collect()}
+    assert rows["a"]["published_at"] == datetime(2024, 1, 2) and rows["a"]["attachment_names"] == [] and rows["a"]["source_priority"] == 50
+    assert rows["b"]["attachment_names"] == ["x"] and rows["b"]["source_priority"] == 7 and rows["b"]["source_metadata"] == {}
+
+
+def test_case_bank_refuses_bad_lines_and_ids(spark, tmp_path):
+    from millrace.sources.records import read_case_bank
+
+    def bank(name, text):
+        (tmp_path / name).write_text(text)
+        return read_case_bank(spark, str(tmp_path / name), "id string, question string")
+
+    assert bank("ok", '# comment\n\n{"id": "1", "question": "q"}\n').count() == 1
+    with pytest.raises(ValueError):
+        bank("twice", '{"id": "1"}\n{"id": "1"}\n')
+    with pytest.raises(Exception):  # noqa: B017  Spark's own error
+        bank("bad", "{oops\n").collect()
+
+
+def test_export_and_upsert(spark, tmp_path):
+    from millrace.sources.records import upsert, write_nested
+
+    parents, children = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "id long, n int, c string")
+    write_nested(parents, children, "id", ["n"], str(tmp_path / "out"))
+    rows = {r["id"]: [x["c"] for x in r["children"]] for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert rows == {1: ["x", "y"], 2: []}
+    parents.write.parquet(str(tmp_path / "t"))
+    after = upsert(spark, str(tmp_path / "t"), spark.createDataFrame([(2, "z"), (3, "c")], "id long, v string"), "id")
+    assert {r["id"]: r["v"] for r in after.collect()} == {1: "a", 2: "z", 3: "c"}
+
+
+def test_hooks(spark):
+    from millrace.functions import hooks
+
+    df = spark.createDataFrame([("ab",), (None,)], "t string")
+    assert [r[0] for r in df.select(hooks.embed(F.col("t"), lambda xs: [[float(len(x))] for x in xs])).collect()] == [[2.0], None]
+    assert [r[0] for r in df.select(hooks.decode(F.encode("t", "UTF-8"), lambda b: b.decode()[::-1])).collect()] == ["ba", None]
+    docs = spark.createDataFrame([(1, "One two. " * 60), (2, None), (3, "")], "doc_id long, text string")
+    want = chunks.sentence_chunks(docs, 200, 20).drop("chunk").collect()
+    assert sorted(hooks.lateral_chunks(docs, 200, 20).collect()) == sorted(want)
+    ranked = spark.createDataFrame([(1, 0.9), (1, 0.2)], "q long, score double")
+    judge = lambda r: r.withColumn("relevance", F.lit(0.5)).withColumn("rejected", F.col("score") > 0.5)
+    assert [round(r["score"], 6) for r in hooks.rerank(ranked, "q", judge).collect()] == [0.29]

@@ -99,6 +99,23 @@ SELECT doc_id, keep_id, group_size, turn = 1 AS kept, text_sha256 FROM ranked
 """
 
 
+def _jump_sql(shards: int) -> str:
+    """The jump hash of the column key, as a fold of as many steps as there are shards."""
+    step = "(s.k * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT"
+    return f"""list_reduce(list_prepend({{'k': key, 'b': -1::BIGINT, 'j': 0::BIGINT}}, list_transform(range({shards}), lambda i: {{'k': 0::UHUGEINT, 'b': 0::BIGINT, 'j': 0::BIGINT}})),
+  lambda s, x: CASE WHEN s.j >= {shards} THEN s ELSE {{'k': {step}, 'b': s.j, 'j': floor((s.j + 1) * (2147483648::DOUBLE / ((({step}) // 8589934592::UHUGEINT)::DOUBLE + 1)))::BIGINT}} END).b::INTEGER"""
+
+
+_OP2 = f"""
+WITH poly AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+raw AS (SELECT doc_id, coalesce(text, '') AS t, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16))::UBIGINT::UHUGEINT AS key FROM documents),
+summed AS (SELECT doc_id, key, strlen(t) + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM raw, poly),
+placed AS (SELECT *, {_jump_sql(sharding.SHARDS)} AS shard, {_jump_sql(sharding.SHARDS + 1)} AS grown_shard FROM summed)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM placed
+"""
+
+
 def _spans_sql(name: str, pattern: str, group: int, kind: int, ok: str) -> str:
     p = pattern.replace("'", "''")
     return rf"""
@@ -161,4 +178,4 @@ WHERE most >= width * {decontaminate.SIMILARITY} GROUP BY doc_id, item_id
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op3_secrets": _op3(), "op5_exact_dedup": _OP5, "op8_decontamination": _op8()}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_sharding": _OP2, "op3_secrets": _op3(), "op5_exact_dedup": _OP5, "op8_decontamination": _op8()}

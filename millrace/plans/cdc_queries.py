@@ -106,14 +106,14 @@ def backlog_sweep(t: Tables):
     return jobs.select("event_id", F.when(stale, "pending").when((F.col("s") == "pending") & (F.col("turn") > 1), "cancelled").otherwise(F.col("s")).alias("state"))
 
 
-@query(f"""WITH {REQUESTS}, e AS (SELECT question, ts, event_id, event_type <> 'purchase' AS opens FROM requests WHERE k < 20),
+@query(f"""WITH {REQUESTS}, e AS (SELECT question, ts, event_id, event_type <> 'purchase' AS opens FROM requests),
 e2 AS (SELECT split_part(question, ' ', 2) AS gap, ts, event_id, opens, lag(opens) OVER (PARTITION BY split_part(question, ' ', 2) ORDER BY ts, event_id) AS before FROM e)
 SELECT gap, count(*) FILTER (opens) AS occurrences, count(*) FILTER (opens AND before = false) AS reopened, CASE WHEN arg_max(opens, (ts, event_id)) THEN 'open' ELSE 'resolved' END AS status,
   CASE WHEN NOT arg_max(opens, (ts, event_id)) THEN max(ts) END AS resolved_at FROM e2 GROUP BY gap""")
 def gap_lifecycle(t: Tables):
     """A gap's events in order: a purchase resolves it, anything else counts and opens it again."""
     gap = F.element_at(F.split("question", " "), 2)
-    e = requests(t).where("k < 20").select(gap.alias("gap"), "ts", "event_id", (F.col("event_type") != "purchase").alias("opens"))
+    e = requests(t).select(gap.alias("gap"), "ts", "event_id", (F.col("event_type") != "purchase").alias("opens"))
     e = e.withColumn("before", F.lag("opens").over(Window.partitionBy("gap").orderBy("ts", "event_id")))
     last = F.max_by("opens", F.struct("ts", "event_id"))
     return e.groupBy("gap").agg(

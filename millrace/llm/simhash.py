@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import write_table
+from millrace.llm.shared import broadcast_if_small, write_table
 from millrace.llm.textbytes import spaced_words, text_runs
 from millrace.llm.xxh import xxh64_slices
 
@@ -59,16 +59,16 @@ def fingerprint_run(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, h, fp): the hash of the text and its fingerprint, as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint_run(data, offsets) for _, data, offsets in text_runs(batch.column(1))]
+            made = [fingerprint_run(data, offsets) for _, data, offsets in text_runs(batch.column(2))]
             fp = np.concatenate(made) if made else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -180,37 +180,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, radius: int, bucket: int) -> DataFrame:
-    """(doc_id, fp, root, component_id)."""
+    """(doc_id, h, head): head is the row (doc_id, h) that stands for the component, its smallest id with the smallest hash; fp."""
     prints = write_table(fingerprints(docs), "fingerprints")
-    firsts = write_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("h"))
+    firsts = write_table(prints.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
     roots = components(links(firsts.select("fp"), radius, bucket))
-    linked = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    linked = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = write_table(linked, "roots")
-    heads = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = write_table(linked.join(heads, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "components")
+    heads = linked.groupBy("root").agg(F.min("first").alias("head"))
+    named = write_table(linked.join(heads, "root").select(F.col("fp").alias("_fp"), "head"), "components")
     return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id."""
-    return _grouped(docs, radius, bucket).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, radius, bucket).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("head.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id is the component's.
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """docs with one document of each group: the one with the smallest doc_id (rows without id come last, then by their text's hash).
 
-    Where that doc_id repeats, one of its rows stays; of a component without any doc_id, one row.
+    What goes is named by doc_id and hash of the text.  The texts stay where they are while these
+    names are few enough to broadcast, and meet them by a shuffle beyond.  Rows that repeat both
+    doc_id and text are reduced to one.
     """
-    groups = write_table(_grouped(docs, radius, BUCKET), "near-groups")
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_n"))
-    kept = write_table(kept, "near-kept")
-    out = docs.join(kept.select("_keep"), F.col("doc_id") == F.col("_keep"), "left_semi")
-    if kept.where("_n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    nameless = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("fp"))
-    if nameless.limit(1).count():
-        rows = docs.where("doc_id is null").withColumn("_key", F.xxhash64("text"))
-        prints = fingerprints(rows.select(F.col("_key").alias("doc_id"), "text")).distinct().toDF("_key", "_fp")
-        prints = prints.join(nameless, F.col("_fp") == F.col("fp"), "left_semi")
-        out = out.unionByName(rows.join(prints, "_key").dropDuplicates(["_fp"]).select(*docs.columns))
-    return out
+    groups = write_table(_grouped(docs, radius, bucket), "near-groups")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h"))
+    names = groups.groupBy("doc_id", "h").agg(F.bool_or(is_head).alias("stays"), F.count("*").alias("n"))
+    names = write_table(names.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "stays"), "near-names")
+    gone = broadcast_if_small(names.where("NOT stays").select("_doc_id", "_h"), 64)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_h"))
+    out = docs.join(gone, same, "left_anti")
+    return out.dropDuplicates(["doc_id", "text"]) if names.where("stays").limit(1).count() else out

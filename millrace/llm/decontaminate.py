@@ -96,4 +96,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
     named = docs.select(key.alias("doc_id"), "text")
     found = write_table(leaks(named, items).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.withColumn("_key", key).join(found, F.col("_key") == F.col("_leaked"), "left_anti").select(*docs.columns)
+    return docs.withColumn("_key", key).join(broadcast_if_small(found, 128), F.col("_key") == F.col("_leaked"), "left_anti").select(*docs.columns)

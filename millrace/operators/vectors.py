@@ -14,6 +14,7 @@ from millrace.functions.text import tokens
 DIM = 1536
 #: Query vectors that are sent to the executors at a time.
 BLOCK = 4096
+BROADCAST_BYTES = 64 << 20
 
 
 def features(text: Column) -> Column:
@@ -35,8 +36,14 @@ def lexical_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> Dat
 
 
 def sparse_dot(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """(left_key, right_key, dot) of all pairs that share a place; right is the smaller side."""
+    """(left_key, right_key, dot) of all pairs that share a place; right is the smaller side.
+
+    While right counts under BROADCAST_BYTES it is broadcast, and left stays in the partitions of its
+    key, where the sums are final; beyond that both sides meet by place.
+    """
     r = right.select(right_key, "idx", F.col("weight").alias("_w"))
+    if r.count() * 64 <= BROADCAST_BYTES:
+        r = F.broadcast(r)
     return left.join(r, "idx").groupBy(left_key, right_key).agg(F.sum(F.col("weight") * F.col("_w")).alias("dot"))
 
 

@@ -36,15 +36,20 @@ def entity_counts(t: Tables):
     return t.documents.groupBy("lang").agg(n(X.EMAIL).alias("emails"), n(X.PHONE).alias("phones"), n(X.IPV4).alias("addresses"))
 
 
-def in_context(docs, pattern: str, before: int, after: int):
-    """(doc_id, n, hit, left, right): every match with the text around it.
+def contexts(pattern: str, before: int, after: int):
+    """array<struct<hit, left, right>>: every match with the text around it, in order.
 
-    The text is split at the matches, so a hit's context ends at its neighbours.
+    The text is split at the matches, so a hit's context ends at its neighbours.  All of it happens
+    within the row: nothing is shuffled.
     """
-    gaps, hits = F.split("text", pattern, -1), _all(F.col("text"), pattern)
-    rows = docs.where(F.col("text").rlike(pattern)).select("doc_id", gaps.alias("g"), F.posexplode(hits).alias("n", "hit"))
-    left, right = F.get("g", F.col("n")), F.get("g", F.col("n") + 1)
-    return rows.select("doc_id", "n", "hit", F.when(F.length(left) > before, F.substr(left, F.length(left) - before + 1, F.lit(before))).otherwise(left).alias("left"), F.substr(right, F.lit(1), F.lit(after)).alias("right"))
+    parts = F.arrays_zip(F.split("text", pattern, -1).alias("left"), _all(F.col("text"), pattern).alias("hit"), F.slice(F.split("text", pattern, -1), F.lit(2), F.lit(1 << 30)).alias("right"))
+    tail = lambda c: F.when(F.length(c) > before, F.substr(c, F.length(c) - before + 1, F.lit(before))).otherwise(c)
+    told = F.transform(parts, lambda x: F.struct(x["hit"].alias("hit"), tail(x["left"]).alias("left"), F.substr(x["right"], F.lit(1), F.lit(after)).alias("right")))
+    return F.filter(told, lambda x: x["hit"].isNotNull())
+
+
+def matching(docs, pattern: str):
+    return docs.where(F.col("text").rlike(pattern))
 
 
 def _context_sql(pattern: str, before: int, after: int) -> str:
@@ -57,9 +62,9 @@ c AS (SELECT doc_id, n, h[n + 1] AS hit, CASE WHEN length(g[n + 1]) > {before} T
 SELECT doc_id, arg_max(hit, (score, -n)) AS email, max(score)::INTEGER AS score FROM s WHERE score >= 2 GROUP BY 1""")
 def email_context_score(t: Tables):
     """The e-mail whose surroundings speak most for it; of equal ones the first."""
-    score = F.when(F.col("left").rlike("(the|der|le|la) "), 3).otherwise(0) + F.when(F.col("right").rlike("^ [a-z]"), 2).otherwise(0) - F.when(F.col("left").contains("***"), 4).otherwise(0)
-    s = in_context(t.documents, X.EMAIL, 100, 60).select("doc_id", "n", "hit", score.alias("score")).where("score >= 2")
-    return s.groupBy("doc_id").agg(F.max_by("hit", F.struct("score", (-F.col("n")).alias("i"))).alias("email"), F.max("score").alias("score"))
+    points = lambda x: F.when(x["left"].rlike("(the|der|le|la) "), 3).otherwise(0) + F.when(x["right"].rlike("^ [a-z]"), 2).otherwise(0) - F.when(x["left"].contains("***"), 4).otherwise(0)
+    best = F.array_max(F.transform(contexts(X.EMAIL, 100, 60), lambda x, i: F.struct(points(x).alias("score"), (-i).alias("i"), x["hit"].alias("email"))))
+    return matching(t.documents, X.EMAIL).select("doc_id", best.alias("b")).where("b.score >= 2").select("doc_id", "b.email", "b.score")
 
 
 NUMBER = X.IPV4 + r"|\+1 \([0-9]{3}\) 555-[0-9]{4}"
@@ -69,10 +74,10 @@ NUMBER = X.IPV4 + r"|\+1 \([0-9]{3}\) 555-[0-9]{4}"
 SELECT doc_id, arg_max(hit, (score, -n)) AS phone, arg_max(person, (score, -n)) AS person, max(score)::INTEGER AS score FROM s WHERE score > 0 GROUP BY 1""")
 def phone_context_score(t: Tables):
     """The number with the best surroundings and the last capitalised word before it."""
-    score = F.when(F.col("hit").startswith("+"), 5).otherwise(1) + F.when(F.col("left").contains(", "), 1).otherwise(0) - F.when(F.col("right").contains("###"), 3).otherwise(0)
-    s = in_context(t.documents, NUMBER, 60, 40).select("doc_id", "n", "hit", F.regexp_extract("left", "([A-Z][a-z]+)[^A-Z]*$", 1).alias("person"), score.alias("score")).where("score > 0")
-    o = F.struct("score", (-F.col("n")).alias("i"))
-    return s.groupBy("doc_id").agg(F.max_by("hit", o).alias("phone"), F.max_by("person", o).alias("person"), F.max("score").alias("score"))
+    points = lambda x: F.when(x["hit"].startswith("+"), 5).otherwise(1) + F.when(x["left"].contains(", "), 1).otherwise(0) - F.when(x["right"].contains("###"), 3).otherwise(0)
+    person = lambda x: F.regexp_extract(x["left"], "([A-Z][a-z]+)[^A-Z]*$", 1)
+    best = F.array_max(F.transform(contexts(NUMBER, 60, 40), lambda x, i: F.struct(points(x).alias("score"), (-i).alias("i"), x["hit"].alias("phone"), person(x).alias("person"))))
+    return matching(t.documents, NUMBER).select("doc_id", best.alias("b")).where("b.score > 0").select("doc_id", "b.phone", "b.person", "b.score")
 
 
 def _dated(t: Tables):
@@ -117,17 +122,19 @@ def structure_docs(t: Tables):
 STEPS = r"""s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS step, generate_subscripts(string_split(text, '. '), 1) - 1 AS i FROM documents)"""
 
 
-def sentences(t: Tables):
-    return t.documents.select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("i", "step"))
+def chosen(t: Tables, keep, least: int, most: int):
+    """(doc_id, total, i, step): sentences that keep lets through, at most so many, of documents with at least so many; within the row."""
+    steps = F.filter(F.split("text", r"\. "), keep)
+    rows = t.documents.select("doc_id", steps.alias("s")).where(F.size("s") >= least)
+    return rows.select("doc_id", F.size("s").alias("total"), F.posexplode(F.slice("s", 1, most)).alias("i", "step"))
 
 
 @query(rf"""WITH {STEPS}, k AS (SELECT doc_id, i, step FROM s WHERE length(step) >= 10 AND NOT contains(step, '***') AND NOT contains(step, '|')), r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, substr(trim(step), 1, 60) AS step FROM k)
 SELECT doc_id, n, step FROM r WHERE n <= 10""")
 def procedure_steps(t: Tables):
     """Ordered steps without denied ones, renumbered, at most ten."""
-    k = sentences(t).where((F.length("step") >= 10) & ~F.col("step").contains("***") & ~F.col("step").contains("|"))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
-    return k.withColumn("n", n).where("n <= 10").select("doc_id", "n", F.substring(F.trim("step"), 1, 60).alias("step"))
+    k = chosen(t, lambda x: (F.length(x) >= 10) & ~x.contains("***") & ~x.contains("|"), 1, 10)
+    return k.select("doc_id", (F.col("i") + 1).alias("n"), F.substring(F.trim("step"), 1, 60).alias("step"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, string_split(text, ' | ') AS parts, list_distinct(regexp_extract_all(text, '[a-z0-9]+@mail[0-9]')) AS links FROM documents WHERE contains(text, ' | ')),
@@ -145,10 +152,8 @@ r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, co
 SELECT doc_id, n, step, CASE WHEN total >= 4 THEN 0.94::DOUBLE ELSE 0.86::DOUBLE END AS confidence FROM r WHERE total >= 2 AND n <= 8""")
 def procedure_recover(t: Tables):
     """Steps recovered from marked sentences, if there are two at least; surer if there are more."""
-    k = sentences(t).where(F.col("step").rlike("(?i)^(the|der|le|la|el|of|und) "))
-    w = Window.partitionBy("doc_id")
-    r = k.withColumn("n", F.row_number().over(w.orderBy("i"))).withColumn("total", F.count("*").over(w)).where("total >= 2 AND n <= 8")
-    return r.select("doc_id", "n", F.substring("step", 1, 40).alias("step"), F.when(F.col("total") >= 4, 0.94).otherwise(0.86).alias("confidence"))
+    k = chosen(t, lambda x: x.rlike("(?i)^(the|der|le|la|el|of|und) "), 2, 8)
+    return k.select("doc_id", (F.col("i") + 1).alias("n"), F.substring("step", 1, 40).alias("step"), F.when(F.col("total") >= 4, 0.94).otherwise(0.86).alias("confidence"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, regexp_extract(text, '(?:^|\n)([^\n]*?)\.', 1) AS line FROM documents), x AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(line, '[,;|]'), lambda v: trim(v)), lambda v: length(v) BETWEEN 2 AND 160)[1:10]) AS value,
@@ -166,8 +171,9 @@ SELECT page_id, link FROM y WHERE secure AND regexp_matches(lower(label), '^(the
 def url_in_context(t: Tables):
     """Links whose label has an action word, on pages of a secure host."""
     pairs = F.arrays_zip(_all(F.col("html"), '<a href="([^"]*)">[^<]*', 1).alias("l"), _all(F.col("html"), '<a href="[^"]*">([^<]*)', 1).alias("x"))
-    rows = t.pages.where(F.col("url").startswith("https:")).select("page_id", F.regexp_extract("url", "^https?://[^/?#]+", 0).alias("host"), F.explode(pairs).alias("p"))
-    return rows.where(F.lower("p.x").rlike("^(the|der|de|la|of|in)$")).select("page_id", F.concat("host", F.col("p.l")).alias("link")).distinct()
+    said = F.filter(pairs, lambda p: F.lower(p["x"]).rlike("^(the|der|de|la|of|in)$"))
+    host = F.regexp_extract("url", "^https?://[^/?#]+", 0)
+    return t.pages.where(F.col("url").startswith("https:")).select("page_id", F.explode(F.array_distinct(F.transform(said, lambda p: F.concat(host, p["l"])))).alias("link"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
@@ -200,20 +206,20 @@ z AS (SELECT page_id, i, CASE WHEN regexp_matches(l[i + 1], '^https?://') THEN l
 SELECT page_id, min(i)::INTEGER AS place, link FROM z GROUP BY page_id, link""")
 def page_links(t: Tables):
     """Links of a page made absolute, each once with its first place."""
-    l = F.col("l")  # noqa: E741
-    absolute = F.when(l.rlike("^https?://"), l).when(l.startswith("/"), F.concat(F.regexp_extract("url", "^https?://[^/?#]+", 0), l)).otherwise(F.concat(F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "[^/]*$", ""), l))
-    rows = t.pages.select("page_id", "url", F.posexplode(_all(F.col("html"), 'href="([^"]*)"', 1)).alias("i", "l")).select("page_id", "i", absolute.alias("link"))
-    return rows.groupBy("page_id", "link").agg(F.min("i").alias("place"))
+    host, folder = F.regexp_extract("url", "^https?://[^/?#]+", 0), F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "[^/]*$", "")
+    whole = F.transform(_all(F.col("html"), 'href="([^"]*)"', 1), lambda l: F.when(l.rlike("^https?://"), l).when(l.startswith("/"), F.concat(host, l)).otherwise(F.concat(folder, l)))
+    rows = t.pages.select("page_id", whole.alias("w"))
+    firsts = F.transform(F.array_distinct("w"), lambda l: F.struct((F.array_position("w", l) - 1).cast("int").alias("place"), l.alias("link")))
+    return rows.select("page_id", F.inline(firsts))
 
 
 @query(rf"""WITH {_context_sql(X.IPV4, 30, 10)}, o AS (SELECT doc_id, hit, regexp_extract("left", '([A-Za-z]+)[^A-Za-z]*$', 1) AS label, min(n) AS n FROM c GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, hit, label) AS turn FROM o)
 SELECT doc_id, hit AS number, label, turn FROM d WHERE turn <= 8""")
 def contact_options(t: Tables):
     """Different numbers with the word before each, at most eight."""
-    c = in_context(t.documents, X.IPV4, 30, 10).select("doc_id", "hit", F.regexp_extract("left", "([A-Za-z]+)[^A-Za-z]*$", 1).alias("label"), "n")
-    o = c.groupBy("doc_id", "hit", "label").agg(F.min("n").alias("n"))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "hit", "label"))
-    return o.withColumn("turn", turn).where("turn <= 8").select("doc_id", F.col("hit").alias("number"), "label", "turn")
+    label = lambda x: F.regexp_extract(x["left"], "([A-Za-z]+)[^A-Za-z]*$", 1)
+    options = F.slice(F.array_distinct(F.transform(contexts(X.IPV4, 30, 10), lambda x: F.struct(x["hit"].alias("number"), label(x).alias("label")))), 1, 8)
+    return matching(t.documents, X.IPV4).select("doc_id", F.posexplode(options).alias("i", "o")).select("doc_id", "o.number", "o.label", (F.col("i") + 1).alias("turn"))
 
 
 def proposals(t: Tables):

@@ -309,9 +309,9 @@ SELECT page_id, i::INTEGER AS step, CASE WHEN turn = 1 THEN url END AS url FROM
 def repeat_link_suppress(t: Tables):
     """A link that an earlier step of the page has is blanked."""
     links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    rows = t.pages.select("page_id", F.posexplode(links).alias("step", "u")).select("page_id", "step", F.rtrim("u", F.lit("/")).alias("url"))
-    turn = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("step"))
-    return rows.withColumn("turn", turn).select("page_id", "step", F.when(F.col("turn") == 1, F.col("url")).alias("url"))
+    rows = t.pages.select("page_id", F.transform(links, lambda u: F.rtrim(u, F.lit("/"))).alias("l"))
+    shown = F.transform("l", lambda u, i: F.when(F.array_position("l", u) == i + 1, u))
+    return rows.select("page_id", F.posexplode(shown).alias("step", "url"))
 
 
 @query(f"""WITH {NOTICES}, a AS (SELECT * FROM notices QUALIFY row_number() OVER (PARTITION BY lang ORDER BY published_at DESC, doc_id) <= 100),

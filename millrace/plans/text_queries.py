@@ -93,8 +93,8 @@ def page_zip_pairs(t: Tables):
     a = F.regexp_extract_all("html", F.lit("<article>(.*?)</article>"), F.lit(1))
     pairs = t.pages.select("page_id", q.alias("q"), a.alias("a")).where(F.size("q") == F.size("a")).select("page_id", F.posexplode(F.arrays_zip("q", "a")).alias("i", "x"))
     keyed = pairs.select("page_id", F.col("x.q").alias("question"), F.sha1(F.concat(F.lit("faq"), F.col("x.q"))).alias("key"), F.length("x.a").alias("answer_chars"), "i")
-    first = F.row_number().over(Window.partitionBy("key").orderBy("page_id", "i"))
-    return keyed.withColumn("turn", first).where("turn = 1").drop("turn", "i")
+    first = F.min(F.struct("page_id", "i", "question", "answer_chars")).alias("x")
+    return keyed.groupBy("key").agg(first).select("x.page_id", "x.question", "key", "x.answer_chars")
 
 
 @query(f"""WITH {STAFF} SELECT department, contact, duty, '02-555-' || extension AS phone, substr(sha1(department || '|' || contact || '|' || extension), 1, 16) AS key

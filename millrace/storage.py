@@ -9,9 +9,6 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir, which is set here only if it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """A fresh path under spark.checkpoint.dir, or under a folder of our own where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{folder.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"

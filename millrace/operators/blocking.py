@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from millrace.functions.text import TOKEN
 
 
-def containment(texts: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
+BROADCAST_BYTES = 64 << 20
+
+
+def containment(texts: DataFrame, parts: DataFrame, text: str, part: str, key: str = "doc_id") -> DataFrame:
     """All pairs of rows where text contains part, columns of both.
 
     A part's first and last tokens may be cut by its ends, so its block is the longest token between
     them, which must be a whole token of the text; a part without such a token is compared with
-    every text, by a broadcast of those few.
+    every text.  While the parts count under BROADCAST_BYTES they are broadcast and texts are tested
+    where they are.  Beyond that only (key, token) rows meet the parts, and the texts join the
+    candidates by key; the key need not be unique, as each text is tested.
     """
     inner = F.regexp_extract_all(part, F.lit(TOKEN), F.lit(0))
     inner = F.when(F.size(inner) > 2, F.slice(inner, F.lit(2), F.size(inner) - 2))
     block = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     blocked = parts.withColumn("_block", block)
-    words = texts.withColumn("_block", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))))
+    words = F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))))
     holds = F.col(text).contains(F.col(part))
-    by_token = words.join(blocked.where("_block is not null"), "_block").where(holds).drop("_block")
-    rest = texts.join(blocked.where("_block is null").drop("_block"), holds)
-    return by_token.unionByName(rest)
+    keyed, rest = blocked.where("_block is not null"), blocked.where("_block is null").drop("_block")
+    if parts.count() * 1024 <= BROADCAST_BYTES:
+        by_token = texts.withColumn("_block", words).join(F.broadcast(keyed), "_block").where(holds).drop("_block")
+    else:
+        candidates = texts.select(key, words.alias("_block")).join(keyed, "_block").drop("_block").distinct()
+        by_token = candidates.join(texts, key).where(holds).select(*texts.columns, *parts.columns)
+    return by_token.unionByName(texts.join(rest, holds))

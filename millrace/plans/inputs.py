@@ -63,14 +63,12 @@ def keyword_hits(t: Tables) -> DataFrame:
     The documents' tokens meet the few keywords before anything is shuffled, so only matches move.
     """
     asked = questions(t).select("item_id", F.size("keywords").alias("n"), F.explode("keywords").alias("w"))
-    said = t.documents.select("doc_id", "text").select(
-        "doc_id", F.array_distinct(tokens(F.substring("text", 1, 60))).alias("first"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")
-    )
-    return (
-        said.join(asked, "w")
-        .groupBy("item_id", "doc_id", "n")
-        .agg(F.count("*").alias("hits"), F.count_if(F.array_contains("first", F.col("w"))).alias("title_hits"))
-    )
+    marked = lambda c, title: F.transform(F.array_distinct(tokens(c)), lambda w: F.struct(w.alias("w"), F.lit(title).alias("title")))
+    # tokens of text and title in one list, so that no row of it has to carry the text
+    said = t.documents.select("doc_id", F.explode(F.concat(marked(F.col("text"), False), marked(F.substring("text", 1, 60), True))).alias("x"))
+    hits = said.select("doc_id", "x.w", "x.title").join(asked, "w").groupBy("item_id", "doc_id", "n").agg(F.count_if(~F.col("title")).alias("hits"), F.count_if("title").alias("title_hits"))
+    # the title may end within a word that is no token of the text
+    return hits.where("hits > 0")
 
 
 HITS = (

@@ -85,10 +85,14 @@ def test_chunks_cover_the_text():
     assert chunks.cut_points("") == [] and chunks.cut_points("x" * 500, 200, 30)[0] == (0, 200)
 
 
-def test_containment_with_and_without_blocks(spark):
+@pytest.mark.parametrize("bound", [1 << 26, 0])
+def test_containment_with_and_without_blocks(spark, monkeypatch, bound):
+    from millrace.operators import blocking
+
+    monkeypatch.setattr(blocking, "BROADCAST_BYTES", bound)
     texts = spark.createDataFrame([(1, "an old red house stands here"), (2, "nothing")], "i long, t string")
     parts = spark.createDataFrame([("a", "old red house"), ("b", "d h"), ("c", "ld red hou"), ("d", "blue red house")], "k string, p string")
-    assert sorted((r["i"], r["k"]) for r in containment(texts, parts, "t", "p").collect()) == [(1, "a"), (1, "b"), (1, "c")]
+    assert sorted((r["i"], r["k"]) for r in containment(texts, parts, "t", "p", "i").collect()) == [(1, "a"), (1, "b"), (1, "c")]
 
 
 def test_vectors(spark):

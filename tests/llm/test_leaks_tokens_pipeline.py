@@ -145,3 +145,16 @@ def test_pipeline_stage_by_stage(spark, corpus):
     before, after = seen["sharding"]
     assert len(before) == len(after) and len({(r["shard"], r["slot"]) for r in after}) == len(after)
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r["doc_id"] for r in after)
+
+
+def test_pipeline_on_odd_rows(spark, documents):
+    """Nulls in every column, repeated rows, empty and long texts, extra columns that clash, and no rows at all."""
+    words = "the house and the garden of the old town near the river bank "
+    rows = [(i, words + f"number {i} " * 30, "en", "a") for i in range(5)] + [(1, words + "number 1 " * 30, "en", "a"), (None, None, None, None), (None, words * 3, None, None), (7, "", "en", None), (8, words * 5000, "en", "b"), (9, "12 34", "de", "b")]
+    for docs in (documents(rows).selectExpr("*", "1 as fp", "2 as score", "3 as shard", "4 as size"), documents([])):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.write_table(stage(spark, docs, SF), f"odd-{name}")
+            assert name == "sharding" or out.columns == columns, name
+            docs = out
+        assert docs.count() > 0 or columns == documents([]).columns

@@ -28,11 +28,12 @@ def features(text: Column) -> Column:
 def lexical_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """(key, idx, weight): sparse unit vectors; a feature's place is the first 4 bytes of its SHA-256 modulo dim.
 
-    A text's features are counted in the task that reads it; then its cells, dim at most, meet in one
-    row for the norm, and stay partitioned by key.
+    Equal features of a text are counted in the task that reads it, before they are hashed; then its
+    cells, dim at most, meet in one row for the norm, and stay partitioned by key.
     """
-    place = F.transform(features(F.col(text)), lambda f: (F.conv(F.substring(F.sha2(f, 256), 1, 8), 16, 10).cast("long") % dim).cast("int"))
-    cells = rows.select(key, F.explode(place).alias("idx")).groupBy(key, "idx").agg(F.count("*").alias("n"))
+    place = (F.conv(F.substring(F.sha2("f", 256), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    counted = rows.select(key, F.explode(features(F.col(text))).alias("f")).groupBy(key, "f").agg(F.count("*").alias("n"))
+    cells = counted.groupBy(key, place.alias("idx")).agg(F.sum("n").alias("n"))
     vectors = cells.groupBy(key).agg(F.collect_list(F.struct("idx", "n")).alias("c"))
     norm = F.sqrt(F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x["n"] * x["n"]))
     unit = vectors.select(key, "c", norm.alias("norm"))

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import tokens
+from millrace.storage import new_path
 
 DIM = 1536
 #: Query vectors that are sent to the executors at a time.
 BLOCK = 4096
 BROADCAST_BYTES = 64 << 20
+#: Vectors of a block of links(): at most MOST_ROWS, and fewer where that leaves under BLOCKS blocks.
+MOST_ROWS, BLOCKS = 16384, 12
 
 
 def features(text: Column) -> Column:
@@ -113,3 +116,61 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int | None, least: float =
         return found
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def links(vectors: DataFrame, least: float) -> DataFrame:
+    """(query_id, vec_id, cosine, links): every pair of vectors whose cosine is at least the bound.
+
+    Equal vectors are joined through the least id among them.  A row of two such ids stands for
+    ``links`` pairs, the product of both numbers of copies; a row of an id with itself for the pairs
+    within its copies; a row of an id and a copy of it says where the copy belongs and has no links
+    of its own.  So the links add up to the pairs of the whole table, and a vector repeated n times
+    makes n rows.  Null and zero vectors are near nothing.
+
+    Vectors are packed into blocks of equal size, each block meets each other once, and a task
+    multiplies the matrices of two; no row passes the driver.
+    """
+    spark = vectors.sparkSession
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        path = new_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    whole = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & (norm > 0))
+    firsts = written(whole.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "vector-firsts")
+    n = firsts.count()
+    blocks = max(1, min(BLOCKS, n), -(-n // MOST_ROWS))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        said = [pdf["vec_id"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), x]
+        return pd.DataFrame([(int(pdf["block"].iloc[0]), *(a.tobytes() for a in said))], columns=["block", "ids", "ns", "x"])
+
+    packed = written(
+        firsts.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, ns binary, x binary"), "vector-blocks"
+    )
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [(np.frombuffer(r.ids, np.int64), np.frombuffer(r.ns, np.int64), np.frombuffer(r.x).reshape(len(r.ids) // 8, -1)) for r in pdf.itertuples()]
+        (a, an, x), (b, bn, y) = sides[0], sides[-1]
+        out = []
+        for at in range(0, len(a), 256):
+            said = x[at : at + 256] @ y.T
+            i, j = np.nonzero(said >= least - 1e-6)
+            c = np.round(said[i, j], 6)
+            i += at
+            keep = (c >= least) & ((a[i] < b[j]) if len(sides) == 1 else (a[i] != b[j]))
+            i, j, c = i[keep], j[keep], c[keep]
+            out.append(pd.DataFrame({"query_id": np.minimum(a[i], b[j]), "vec_id": np.maximum(a[i], b[j]), "cosine": c, "links": an[i] * bn[j]}))
+        return pd.concat(out)
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    met = packed.select("*", other).select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "ids", "ns", "x")
+    apart = met.groupBy("low", "high").applyInPandas(near, "query_id long, vec_id long, cosine double, links long")
+    many = written(firsts.where("n > 1").select("embedding", F.col("vec_id").alias("query_id"), "n"), "vector-copies")
+    within = many.select("query_id", F.col("query_id").alias("vec_id"), F.lit(1.0).alias("cosine"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("links"))
+    copies = whole.join(many, "embedding").where("vec_id <> query_id").select("query_id", "vec_id", F.lit(1.0).alias("cosine"), F.lit(0).cast("long").alias("links"))
+    return apart.unionByName(within).unionByName(copies)

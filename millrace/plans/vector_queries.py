@@ -116,10 +116,19 @@ def vector_topk(t: Tables):
 
 @query(f"WITH {DENSE} SELECT query_id, vec_id, cosine FROM c WHERE cosine >= 0.45 AND query_id < vec_id")
 def vector_pairs(t: Tables):
-    """Pairs of a query vector and a later one above a least cosine."""
+    """Pairs of a query vector and a later one above a least cosine: a search; vector_links joins all with all."""
     return V.top_k(t.embeddings, _queries(t), None, 0.45).where("query_id < vec_id").select("query_id", "vec_id", "cosine")
 
 
+@query("""WITH g AS (SELECT min(vec_id) AS vec_id, count(*) AS n, embedding FROM embeddings WHERE vec_id IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0 GROUP BY embedding),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, a.n * b.n AS links FROM g a JOIN g b ON a.vec_id < b.vec_id)
+SELECT * FROM p WHERE cosine >= 0.45 UNION ALL SELECT vec_id, vec_id, 1::DOUBLE, n * (n - 1) // 2 FROM g WHERE n > 1
+UNION ALL SELECT g.vec_id, e.vec_id, 1::DOUBLE, 0 FROM embeddings e JOIN g USING (embedding) WHERE e.vec_id <> g.vec_id""")
+def vector_links(t: Tables):
+    """All pairs of vectors above a least cosine, whichever their ids; equal vectors through the first of them."""
+    return V.links(t.embeddings, 0.45)
+
+
 @query(f"WITH {DENSE} SELECT query_id, vec_id, CASE WHEN label % 2 = query_label % 2 THEN cosine ELSE 0::DOUBLE END AS cosine FROM c WHERE cosine >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c.cosine DESC, vec_id) <= 20")
 def vector_model_mask(t: Tables):
     """Vectors of another model (here: of labels of another parity) score 0."""

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,26 @@ def test_top_k_in_blocks_equals_one_block(spark, monkeypatch):
     assert vectors.top_k(v, q.where("false"), 4).count() == 0
 
 
+def test_links_are_all_pairs_of_all_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(60, 4)).astype(np.float32)
+    rows[[7, 31, 59]] = rows[30]
+    rows[11], rows[50] = rows[10], 0
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)] + [(60, None)], "vec_id long, embedding array<float>")
+    unit = rows.astype(np.float64) / np.maximum(np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True), 1e-300)
+    said = np.round(unit @ unit.T, 6)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if said[i, j] >= 0.45}
+    for most in (16384, 7):
+        monkeypatch.setattr(vectors, "MOST_ROWS", most)
+        got = vectors.links(v, 0.45).collect()
+        copies = {r["vec_id"]: r["query_id"] for r in got if r["links"] == 0}
+        assert copies == {30: 7, 31: 7, 59: 7, 11: 10} and sum(r["links"] for r in got) == len(want)
+        first = lambda i: copies.get(i, i)
+        assert {(r["query_id"], r["vec_id"]) for r in got if r["query_id"] != r["vec_id"] and r["links"]} == {tuple(sorted((first(i), first(j)))) for i, j in want if first(i) != first(j)}
+        assert any(i % 50 for i, _ in want)
+    assert vectors.links(v.where("false"), 0.45).count() == 0
+
+
 def test_blend_keeps_all_if_all_would_go(spark):
     df = spark.createDataFrame([(1, 0.9, 0.1, False), (1, 0.8, 0.2, True), (2, 0.5, 0.5, False), (2, 0.4, 0.1, False)], "q long, score double, relevance double, rejected boolean")
     assert sorted((r["q"], round(r["score"], 6)) for r in ranking.blend(df, "q").collect()) == [(1, 0.8), (1, 0.9), (2, 0.5)]

@@ -6,9 +6,14 @@ documents meet those of the benchmark items; a hit fixes an alignment of item an
 aligned tokens are compared: an item is leaked if some WINDOW successive tokens of it (all of it, if
 it is shorter) agree in at least SIMILARITY of the positions.
 
-Tokens are runs of letters and digits, lower-cased.  Defined results: a null or empty text has no
-leaks; an item with fewer tokens than the shortest mask spans is never matched; rows that repeat a
-doc_id are compared one by one and reported under it; a null doc_id is reported as null.
+The masks find every such alignment of items of WINDOW tokens and more.  A shorter item is cut into
+one part more than tokens of it may differ, so that in any alignment that agrees enough one part is
+whole; the hashes of these parts are its seeds, and every alignment found is compared in full.
+
+Tokens are runs of letters and digits, lower-cased; in scripts without blanks between words each
+character is a token.  Defined results: a null or empty text, or one without tokens, has no leaks;
+an item of one to four tokens leaks where all of it stands; rows that repeat a doc_id are compared
+one by one and reported under it; a null doc_id is reported as null.
 """
 
 from __future__ import annotations
@@ -22,10 +27,14 @@ from millrace.llm.shared import broadcast_if_small, write_table
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 6, 7, 9), (0, 2, 3, 5, 8, 10))
 WINDOW = 13
 SIMILARITY = 0.8
+#: Characters of scripts that put no blanks between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.when(low.rlike(UNSPACED), F.regexp_replace(low, UNSPACED, " $0 ")).otherwise(low)
+    return F.array_remove(F.split(apart, r"[^\p{L}\p{N}]+"), "")
 
 
 def _seeds(words: str, at: str) -> Column:
@@ -44,6 +53,43 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return words.withColumn("seed", F.explode(_seeds("item_words", "item_at")))
 
 
+def _run(words: str, at: Column, length: int) -> Column:
+    """The hash of so many successive tokens."""
+    return F.xxhash64(F.lit(length), *(F.get(F.col(words), at + i) for i in range(length)))
+
+
+def short_seeds(items: DataFrame, window: int, similarity: float) -> DataFrame:
+    """(seed, length, item_id, item_at, item_words) of items (item_id, text) under window tokens: one row a part."""
+    size = F.size("item_words")
+    parts = F.least(size, size - F.ceil(size * similarity).cast("int") + 1)
+    cut = lambda k: F.floor(k * F.col("size") / F.col("parts")).cast("int")
+    words = items.select("item_id", tokens(F.col("text")).alias("item_words")).where((size > 0) & (size < window)).select("*", size.alias("size"), parts.alias("parts"))
+    cuts = words.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("item_at", cut(F.col("k"))).withColumn("length", cut(F.col("k") + 1) - F.col("item_at"))
+    seed = F.coalesce(*(F.when(F.col("length") == n, _run("item_words", F.col("item_at"), n)) for n in range(1, window)))
+    return cuts.select(seed.alias("seed"), "length", "item_id", "item_at", "item_words")
+
+
+def short_leaks(docs: DataFrame, items: DataFrame, window: int, similarity: float) -> DataFrame | None:
+    """leaks() of the items under window tokens, not yet one row each; None if there are none."""
+    seeds = write_table(short_seeds(items, window, similarity), "short-seeds")
+    lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())
+    if not lengths:
+        return None
+    small = broadcast_if_small(seeds.drop("length"), 512)
+    placed = (
+        docs.select("doc_id", tokens(F.col("text")).alias("words"))
+        .withColumn("at", F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))))
+        .withColumn("seed", F.explode(F.array(*(_run("words", F.col("at"), n) for n in lengths))))
+        .join(small, "seed")
+    )
+    shift = F.col("at") - F.col("item_at")
+    # written out, since a lambda would take join and explosion out of the generated stage, and copy each text at each position
+    same = lambda k: F.coalesce((F.get("words", shift + k) == F.get("item_words", F.lit(k))).cast("int"), F.lit(0))
+    agreeing = sum((same(k) for k in range(1, window - 1)), same(0))
+    size = F.size("item_words")
+    return placed.select("doc_id", "item_id", agreeing.alias("agreeing"), size.alias("compared")).where(F.col("agreeing") >= F.col("compared") * similarity)
+
+
 def _best_window(agree: Column, width: Column) -> Column:
     """The most agreements in any window of the width, as a running count."""
     counts = F.aggregate(
@@ -62,7 +108,10 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: f
 
     The texts are read once; seeds of documents live inside one generated stage between scan and
     join.  The items' seeds are broadcast while they are small, else both sides meet by hash.
+    Items under the window go by their parts, the others by the masks.
     """
+    short = short_leaks(docs, items, window, similarity)
+    items = items.where(F.size(tokens(F.col("text"))) >= window)
     seeds = write_table(item_seeds(items), "item-seeds")
     lengths = items.select("item_id", tokens(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
     small = broadcast_if_small(seeds.select("seed", "item_id", "item_at", F.size("item_words").alias("item_size")), 64)
@@ -82,13 +131,14 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: f
     )
     width = F.least(F.lit(window), F.size("item_words"))
     agree = F.zip_with("aligned", "item_words", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    return (
+    found = (
         hits.join(broadcast_if_small(lengths, 1024), "item_id")
         .select("doc_id", "item_id", _best_window(agree, width).alias("agreeing"), width.alias("compared"))
         .where(F.col("agreeing") >= F.col("compared") * similarity)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("agreeing").alias("agreeing"), F.max("compared").alias("compared"))
     )
+    if short is not None:
+        found = found.unionByName(short)
+    return found.groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("compared").alias("compared"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import re
 import zlib
 
@@ -55,6 +56,43 @@ def test_leaks_against_all_alignments(spark, documents):
     assert decontaminate.leaks(none, items).count() == 0 and decontaminate.leaks(docs, items.where("false")).count() == 0
 
 
+def agreements(words, item):
+    """The most tokens that agree in any window of any alignment, by looking at all of them."""
+    width = min(decontaminate.WINDOW, len(item))
+    rows = ([0 <= s + k < len(words) and words[s + k] == w for k, w in enumerate(item)] for s in range(-len(item) + 1, len(words)))
+    return max((sum(r[a : a + width]) for r in rows for a in range(len(item) - width + 1)), default=0), width
+
+
+def test_short_items_against_all_alignments(spark, documents):
+    """Every substitution that the rule allows, and one more, in items of 1 to 13 tokens; nothing here looks at seeds."""
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(1, 14)} | {20: ["the", "end", "the", "end", "the"]}
+    texts = [None, "", "...", "w4x0 w4x1 w4x2", "the end the", "end the end the", "the end of the end the end"]
+    for words in items.values():
+        n, most = len(words), len(words) - -(-8 * len(words) // 10)
+        for k in range(most + 2):
+            for places in itertools.combinations(range(n), k) if k <= most else [range(k)]:
+                changed = " ".join("other" if i in places else w for i, w in enumerate(words))
+                texts.append(f"before it {changed} and after")
+        texts += [" ".join(words[1:]), " ".join(words[:-1]), "y " + " ".join(words[: n - most])]
+    want = {}
+    for d, text in enumerate(texts):
+        for i, words in items.items():
+            found, width = agreements(toks(text), words)
+            if found >= decontaminate.SIMILARITY * width:
+                want[d, i] = (found, width)
+    bank = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(40, ""), (41, None), (42, "?!")], "item_id long, text string")
+    got = decontaminate.leaks(documents(list(enumerate(texts))), bank).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["agreeing"], r["compared"]) for r in got} == want and len(got) == len(want)
+
+
+def test_items_in_scripts_without_blanks(spark, documents):
+    items = spark.createDataFrame([(1, "今天的天气非常好我们去公园散步"), (2, "東京タワーは高い"), (3, "北京"), (4, "สวนสาธารณะ")], "item_id long, text string")
+    texts = ["他说今天的天气非常好我们去公园散步然后回家", "今天的天气很好", "昨日東京タワーは高いと言った", "我住在北京市", "English only", "今天的天气非常坏我们去公园散步", "ไปสวนสาธารณะกัน"]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(list(enumerate(texts))), items).collect()}
+    assert got == {(0, 1), (2, 2), (3, 3), (5, 1), (6, 4)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(documents(list(enumerate(texts))), items).collect()] == [1, 4]
+
+
 def test_corpus_leaks_are_whole_passages(spark, corpus):
     items = {r["item_id"]: toks(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(corpus, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}

@@ -71,6 +71,29 @@ def test_secrets_on_corpus_match_re(spark, corpus):
         assert got[r["doc_id"]] == hashlib.sha256(",".join(base_spans(r["text"])).encode()).hexdigest()
 
 
+MB = 1 << 20
+LONG = {
+    "paths": "ab/12/" * (MB // 6), "slugs": "word-" * (MB // 5), "base64": "Zx9Qw3Rt7Yp1Lk5Mn8Bv2Cd4" * (MB // 24), "digits": "1234567890" * (MB // 10), "letters": "a" * MB, "names": "getUrlName" * (MB // 10),
+    "value": "token=" + "a1B2" * (MB // 4), "values": "token=abcdef " * (MB // 13), "access": "AKIA" + "A1" * (MB // 2), "hex": ("0a1b2c3d" * 4 + " ") * (MB // 33), "blanks": "token" + " " * MB + "=abcdefgh",
+}
+
+
+def test_texts_of_a_megabyte(spark, documents):
+    """Every pattern on one run, or on one match after the other, a megabyte long."""
+    got = {r["doc_id"]: r for r in secrets.secret_report(documents(list(enumerate(LONG.values())))).collect()}
+    for i, (name, text) in enumerate(LONG.items()):
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest(), name
+        assert got[i]["n_entropy"] == {"base64": 1, "hex": MB // 33}.get(name, 0), name
+
+
+def test_allowed_runs(spark):
+    """Names are allowed whatever their length; letters whose case changes at random are not."""
+    names = ["donaudampfschifffahrtsgesellschaft", "getUrlNameFromTheServer", "AbstractSingletonProxyFactoryBean", "some_long_path_of_words_2024", "src/main/java/org/App/to/It", "-" * 30, "ABCDEFGHIJKLMNOPQRSTUV"]
+    keys = ["ZxQwRtYpLkMnBvCdXyZab", "QwErTyUiOpAsDfGhJkLz", "ZxQwRtYpLk-MnBvCdXyZab", "Zx9Qw3Rt7Yp1Lk5Mn8Bv2Cd4"]
+    df = spark.createDataFrame([(r,) for r in names + keys], "run string")
+    assert [r[0] for r in df.select(secrets.suspicious(df["run"])).collect()] == [False] * len(names) + [True] * len(keys)
+
+
 LINES = {
     "Licensed under CC BY-NC 4.0.": "cc-by-nc",
     "Licensed under the Apache License, Version 2.0.": "apache-2.0",

@@ -1,12 +1,17 @@
 """Mixing sources to target weights.
 
 Sizes are counted per source, a target per source gives its repetition rate, and each document is
-taken floor(rate) times plus one more time if a draw seeded by a hash of the row falls under the
-rate's fraction.  DataFrame functions only.
-
-Defined results: a null or empty text has size 0 and is never part of the words taken (its copies
-follow the rate like any other's); a null source is a source of its own; rows that are equal in
-doc_id draw alike, rows without doc_id draw by their text; an empty table gives an empty mix.
+taken floor(rate) times plus one more time by a draw whose probability is the rate's fraction.  The
+draw is a hash of the row; its place among the source's draws, counted in words, is uniform over the
+source, and the copy is taken if that place is under the fraction.  So the words taken miss the
+target by half a document at most, whatever the sizes.  The place at which a source is cut comes
+from two sums over the draws (upper half, then lower half within one value), so nothing is sorted.
+DataFrame functions only.
+
+Defined results: a null or empty text has size 0 and adds no words (its copies follow the draw like
+any other's); a null source is a source of its own; rows that are equal in doc_id and text draw
+alike, so where such rows are many the words taken miss the target by half of them at most; an
+empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ def text_size(text: Column) -> Column:
 
 
 def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the first 32 bits of the MD5 of seed and row."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), text, F.lit("")))
-    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    """The first 32 bits of the MD5 of seed, doc_id and text, as a long."""
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long")
 
 
 def rule_weights(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -62,51 +67,75 @@ def targets(sources: DataFrame, share: float = SHARE, ceiling: int = CEILING) ->
     )
 
 
-def copies(rate: Column, drawn: Column) -> Column:
-    return (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long")).cast("long")
+def _last_under(sums: DataFrame, place: str, goal: Column, middle: bool) -> DataFrame:
+    """Per source the largest place whose words before it (and half of its own, if middle) come to less than goal, with those words."""
+    order = Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce("_start", F.lit(0)) + F.coalesce(F.sum("_words").over(order), F.lit(0))
+    under = sums.withColumn("_before", before).where(F.col("_before") + (F.col("_words") / 2 if middle else F.lit(0)) < goal)
+    return under.groupBy("source").agg(F.max_by(F.struct(F.col(place).alias("place"), F.col("_before").alias("before")), place).alias("_last"))
 
 
-def mix_plan(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, weight, target, rate, copies, taken.
+def cuts(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """rates with ``cut``: rows of sized (source, size, draw) whose draw is at most cut get one more copy.
 
-    weights: (source, weight); None deals WEIGHTS by the order of the sources.  The texts are read
-    once; sizes and draws are written, and the rates (one row a source) join them by a plan that
-    Catalyst chooses from the written sizes.
+    What is ordered is one row for each source and upper or lower half of a draw (65,536 values).
     """
+    upper, lower = F.shiftright("draw", 16), F.col("draw").bitwiseAND(F.lit(0xFFFF))
+    goal = F.col("target") - F.floor("rate") * F.col("source_size")
+    named = rates.select(F.col("source").alias("_source"), goal.alias("_goal"))
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    halves = sized.groupBy("source", upper.alias("upper")).agg(F.sum("size").alias("_words")).withColumn("_start", F.lit(0).cast("long"))
+    at = _last_under(halves.join(named, same).drop("_source"), "upper", F.col("_goal"), False)
+    at = write_table(at.select(F.col("source").alias("_at"), F.col("_last.place").alias("_upper"), F.col("_last.before").alias("_start")), "mix-upper")
+    inside = sized.join(at, F.col("source").eqNullSafe(F.col("_at")) & (upper == F.col("_upper")))
+    fine = inside.groupBy("source", "_upper", "_start", lower.alias("lower")).agg(F.sum("size").alias("_words"))
+    last = _last_under(fine.join(named, same).drop("_source"), "lower", F.col("_goal"), True).select(F.col("source").alias("_l"), F.col("_last.place").alias("_lower"))
+    found = at.join(last, F.col("_at").eqNullSafe(F.col("_l")), "left").select("_at", (F.shiftleft("_upper", 16) + F.coalesce("_lower", F.lit(-1))).alias("_cut"))
+    return rates.join(found, F.col("source").eqNullSafe(F.col("_at")), "left").select(*rates.columns, F.coalesce("_cut", F.lit(-1)).cast("long").alias("cut"))
+
+
+def copies(rate: Column, drawn: Column, cut: Column) -> Column:
+    return (F.floor(rate) + (drawn <= cut).cast("long")).cast("long")
+
+
+def _sizes(docs: DataFrame, *columns: str) -> DataFrame:
     text = F.col("text")
-    sized = write_table(
-        docs.select("doc_id", "source", text_size(text).alias("size"), draw(F.col("doc_id"), text).alias("_draw")), "mix-sizes"
-    )
-    rates = source_rates(sized, weights, share, ceiling)
-    joined = sized.join(rates.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return (
-        joined.withColumn("copies", copies(F.col("rate"), F.col("_draw")))
-        .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop("_draw")
-    )
+    return write_table(docs.select(*columns, "source", text_size(text).alias("size"), draw(F.col("doc_id"), text).alias("draw")), "mix-sizes")
 
 
 def source_rates(sized: DataFrame, weights: DataFrame | None, share: float, ceiling: int) -> DataFrame:
+    """One row a source: source, source_size, weight, target, rate, cut."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         sources = rule_weights(sources)
     else:
         given = weights.select(F.col("source").alias("_source"), F.col("weight"))
         sources = sources.join(given, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return write_table(targets(sources, share, ceiling), "mix-rates")
+    rates = write_table(targets(sources, share, ceiling), "mix-rates")
+    return write_table(cuts(sized, rates), "mix-cuts")
+
+
+def mix_plan(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, weight, target, rate, copies, taken.
+
+    weights: (source, weight); None deals WEIGHTS by the order of the sources.  The texts are read
+    once; sizes and draws are written, and the rates (one row a source) join them by a plan that
+    Catalyst chooses from the written sizes.
+    """
+    sized = _sizes(docs, "doc_id")
+    rates = source_rates(sized, weights, share, ceiling).withColumnRenamed("source", "_source")
+    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    taken = joined.withColumn("copies", copies(F.col("rate"), F.col("draw"), F.col("cut")))
+    return taken.withColumn("taken", F.col("size") * F.col("copies")).drop("draw", "cut")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as the mix takes it, with docs' columns.
 
     The texts are read twice (to count, to emit) and never shuffled while the table of rates is
-    small enough to broadcast.
+    small enough to broadcast.  A row travels as one struct, so its columns may have any names.
     """
-    sized = docs.select("source", text_size(F.col("text")).alias("size"))
-    rates = source_rates(sized, weights, share, ceiling).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    times = copies(F.col("_rate"), draw(F.col("doc_id"), F.col("text")))
-    return (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
-        .select(*docs.columns)
-    )
+    rates = source_rates(_sizes(docs), weights, share, ceiling).select("source", "rate", "cut")
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("own"), draw(F.col("doc_id"), F.col("text")).alias("draw"))
+    times = copies(F.col("rate"), F.col("draw"), F.col("cut")).cast("int")
+    return rows.join(rates, F.col("own").eqNullSafe(F.col("source"))).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

@@ -67,7 +67,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _OP1 = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS draw
+    ('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))), 1, 8))::BIGINT AS draw
   FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (

@@ -7,7 +7,7 @@ the ratios.
 
 The raw model counts all documents.  The target model is fitted on at most TARGETS labelled good
 documents (by a hash of their doc_id).  k is a share of the documents, by default the share of good
-ones among the labels.
+ones (quality 1, not toxic) among all labels.
 
 Defined results: a null or empty text has log-weight 0; rows without doc_id draw by their text; ties
 of the sum go by doc_id, then by place; without labels the target is the raw text, so all weights are
@@ -96,8 +96,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, tar
     labels: (doc_id, quality, toxic); good is quality 1 and not toxic.
     """
     is_good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
-    quality = F.col("quality").cast("double")
-    labelled = labels.agg(F.avg(quality).alias("share"), F.count_if(is_good).alias("good")).first()
+    labelled = labels.agg(F.avg(is_good.cast("double")).alias("share"), F.count_if(is_good).alias("good")).first()
     good = None
     if labelled["good"]:
         good = labels.where(is_good & F.col("doc_id").isNotNull()).select("doc_id").distinct()

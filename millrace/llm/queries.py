@@ -80,12 +80,13 @@ levels AS (
 rates AS (
   SELECT source, source_size, least((source_size * 2)::DOUBLE, (max(level) OVER ()) * weight) AS target FROM levels),
 joined AS (
-  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS rate
-  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, source, size, source_size, target, rate,
-  (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies,
-  size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken
-FROM joined
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS rate,
+    sum(size) OVER (PARTITION BY d.source ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(size) OVER (PARTITION BY d.source, draw) AS alike
+  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+taken AS (
+  SELECT *, (floor(rate) + CASE WHEN upto - alike / 2::DOUBLE < target - floor(rate) * source_size THEN 1 ELSE 0 END)::BIGINT AS copies FROM joined)
+SELECT doc_id, source, size, source_size, target, rate, copies, size * copies AS taken FROM taken
 """
 
 _OP5 = rf"""
@@ -155,24 +156,18 @@ FROM docs LEFT JOIN told USING (uid)
 
 
 def _op8() -> str:
-    shortest = min(m[-1] for m in decontaminate.MASKS) + 1
-
-    def seeds(words: str, at: str) -> str:
-        hashed = ", ".join("concat_ws(' ', '%d', %s)" % (k, ", ".join(f"{words}[{at} + {i + 1}]" for i in m)) for k, m in enumerate(decontaminate.MASKS))
-        return f"unnest([{hashed}])"
-
-    tokens = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    """All alignments of documents and items in which enough tokens are equal; nothing here looks at seeds."""
+    unspaced = decontaminate.UNSPACED.replace("Is", "")
+    tokens = rf"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '({unspaced})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, {tokens} AS words FROM documents),
-items AS (SELECT item_id, {tokens} AS item_words FROM benchmark),
-item_at AS (SELECT *, unnest(range(0, len(item_words) - {shortest - 1})) AS j FROM items),
-item_seeds AS (SELECT item_id, item_words, j, {seeds('item_words', 'j')} AS seed FROM item_at),
-doc_at AS (SELECT uid, unnest(range(0, len(words) - {shortest - 1})) AS i, words FROM docs),
-doc_seeds AS (SELECT uid, i, {seeds('words', 'i')} AS seed FROM doc_at),
-hits AS (SELECT DISTINCT uid, item_id, i - j AS shift FROM doc_seeds JOIN item_seeds USING (seed)),
-pairs AS (SELECT doc_id, item_id, least({decontaminate.WINDOW}, len(item_words)) AS width,
+items AS (SELECT row_number() OVER () AS iid, item_id, {tokens} AS item_words, least({decontaminate.WINDOW}, len({tokens})) AS width FROM benchmark),
+item_at AS (SELECT iid, width, unnest(item_words) AS w, generate_subscripts(item_words, 1) AS j FROM items),
+doc_at AS (SELECT uid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
+hits AS (SELECT uid, iid, i - j AS shift FROM doc_at JOIN item_at USING (w) GROUP BY ALL HAVING count(*) >= any_value(width) * {decontaminate.SIMILARITY}),
+pairs AS (SELECT doc_id, item_id, width,
     list_transform(range(0, len(item_words)), lambda k: CASE WHEN shift + k >= 0 AND words[shift + k + 1] = item_words[k + 1] THEN 1 ELSE 0 END) AS agree
-  FROM hits JOIN docs USING (uid) JOIN items USING (item_id)),
+  FROM hits JOIN docs USING (uid) JOIN items USING (iid)),
 best AS (SELECT doc_id, item_id, width, list_max(list_transform(range(0, len(agree) - width + 1), lambda k: list_sum(agree[k + 1:k + width]))) AS most FROM pairs)
 SELECT doc_id, item_id, max(most)::INTEGER AS agreeing, max(width)::INTEGER AS compared FROM best
 WHERE most >= width * {decontaminate.SIMILARITY} GROUP BY doc_id, item_id

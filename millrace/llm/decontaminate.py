@@ -13,7 +13,8 @@ whole; the hashes of these parts are its seeds, and every alignment found is com
 Tokens are runs of letters and digits, lower-cased; in scripts without blanks between words each
 character is a token.  Defined results: a null or empty text, or one without tokens, has no leaks;
 an item of one to four tokens leaks where all of it stands; rows that repeat a doc_id are compared
-one by one and reported under it; a null doc_id is reported as null.
+one by one and reported under it; a null doc_id is reported as null; items that share an item_id are
+looked for one by one and reported under it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import broadcast_if_small, write_table
+from millrace.llm.shared import broadcast_if_small, fits_broadcast, write_table
 
 #: Positions that a mask looks at.
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 6, 7, 9), (0, 2, 3, 5, 8, 10))
@@ -47,10 +48,16 @@ def _positions(words: str) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last))
 
 
+def item_words(items: DataFrame) -> DataFrame:
+    """(item, item_id, item_words) of items (item_id, text): each pair of id and tokens once, named by a hash."""
+    words = items.select("item_id", tokens(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
+    return words.distinct().select(F.xxhash64("item_id", "item_words").alias("item"), "item_id", "item_words")
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, item_at, item_words) of items (item_id, text)."""
-    words = items.select("item_id", tokens(F.col("text")).alias("item_words")).withColumn("item_at", F.explode(_positions("item_words")))
-    return words.withColumn("seed", F.explode(_seeds("item_words", "item_at")))
+    """(seed, item, item_at) of items (item, item_words), by the masks."""
+    at = items.withColumn("item_at", F.explode(_positions("item_words")))
+    return at.select(F.explode(_seeds("item_words", "item_at")).alias("seed"), "item", "item_at")
 
 
 def _run(words: str, at: Column, length: int) -> Column:
@@ -59,35 +66,30 @@ def _run(words: str, at: Column, length: int) -> Column:
 
 
 def short_seeds(items: DataFrame, window: int, similarity: float) -> DataFrame:
-    """(seed, length, item_id, item_at, item_words) of items (item_id, text) under window tokens: one row a part."""
+    """(seed, item, item_at, length) of items (item, item_words) under window tokens: one row a part."""
     size = F.size("item_words")
     parts = F.least(size, size - F.ceil(size * similarity).cast("int") + 1)
     cut = lambda k: F.floor(k * F.col("size") / F.col("parts")).cast("int")
-    words = items.select("item_id", tokens(F.col("text")).alias("item_words")).where((size > 0) & (size < window)).select("*", size.alias("size"), parts.alias("parts"))
+    words = items.where(size < window).select("item", "item_words", size.alias("size"), parts.alias("parts"))
     cuts = words.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("item_at", cut(F.col("k"))).withColumn("length", cut(F.col("k") + 1) - F.col("item_at"))
     seed = F.coalesce(*(F.when(F.col("length") == n, _run("item_words", F.col("item_at"), n)) for n in range(1, window)))
-    return cuts.select(seed.alias("seed"), "length", "item_id", "item_at", "item_words")
-
-
-def short_leaks(docs: DataFrame, items: DataFrame, window: int, similarity: float) -> DataFrame | None:
-    """leaks() of the items under window tokens, not yet one row each; None if there are none."""
-    seeds = write_table(short_seeds(items, window, similarity), "short-seeds")
-    lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())
-    if not lengths:
-        return None
-    small = broadcast_if_small(seeds.drop("length"), 512)
-    placed = (
-        docs.select("doc_id", tokens(F.col("text")).alias("words"))
-        .withColumn("at", F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))))
-        .withColumn("seed", F.explode(F.array(*(_run("words", F.col("at"), n) for n in lengths))))
-        .join(small, "seed")
-    )
-    shift = F.col("at") - F.col("item_at")
-    # written out, since a lambda would take join and explosion out of the generated stage, and copy each text at each position
-    same = lambda k: F.coalesce((F.get("words", shift + k) == F.get("item_words", F.lit(k))).cast("int"), F.lit(0))
-    agreeing = sum((same(k) for k in range(1, window - 1)), same(0))
-    size = F.size("item_words")
-    return placed.select("doc_id", "item_id", agreeing.alias("agreeing"), size.alias("compared")).where(F.col("agreeing") >= F.col("compared") * similarity)
+    return cuts.select(seed.alias("seed"), "item", "item_at", "length")
+
+
+def _meet(texts: DataFrame, placed: DataFrame, seeds: DataFrame, label: str) -> DataFrame:
+    """(doc_id, h, words, item, shift) where a seed of placed (texts with seeds and places) is one of seeds.
+
+    While seeds are few they are broadcast, and words stay inside the stage that reads the texts.
+    Beyond, only seeds and places are shuffled, and the texts that were hit join back by name.
+    """
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
+    if fits_broadcast(seeds, 64):
+        return placed.join(F.broadcast(seeds), "seed").select("doc_id", "h", "words", "item", shift)
+    hits = placed.select("doc_id", "h", "at", "seed").join(seeds, "seed").select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "item", shift).distinct()
+    hits = write_table(hits, label)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h"))
+    held = texts.join(broadcast_if_small(hits.select("_doc_id", "_h").distinct(), 64), same, "left_semi")
+    return held.join(broadcast_if_small(hits, 64), same).select("doc_id", "h", "words", "item", "shift")
 
 
 def _best_window(agree: Column, width: Column) -> Column:
@@ -103,47 +105,52 @@ def _best_window(agree: Column, width: Column) -> Column:
     return counts["most"]
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, agreeing, compared): one row for each item that a document contains.
+def _found(docs: DataFrame, items: DataFrame, window: int, similarity: float) -> DataFrame:
+    """(doc_id, h, item_id, agreeing, compared) for each alignment that agrees enough; h is the hash of the text.
 
-    The texts are read once; seeds of documents live inside one generated stage between scan and
-    join.  The items' seeds are broadcast while they are small, else both sides meet by hash.
-    Items under the window go by their parts, the others by the masks.
+    The texts are read once for each kind of item; their seeds live inside one generated stage
+    between scan and join.  Items under the window go by their parts, the others by the masks.
     """
-    short = short_leaks(docs, items, window, similarity)
-    items = items.where(F.size(tokens(F.col("text"))) >= window)
-    seeds = write_table(item_seeds(items), "item-seeds")
-    lengths = items.select("item_id", tokens(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
-    small = broadcast_if_small(seeds.select("seed", "item_id", "item_at", F.size("item_words").alias("item_size")), 64)
-    placed = (
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text")).alias("words"))
-        .withColumn("at", F.explode(_positions("words")))
-        .withColumn("seed", F.explode(_seeds("words", "at")))
-        .join(small, "seed")
-    )
-    missing = F.greatest(F.lit(0), F.col("item_at") - F.col("at"))
-    first = F.greatest(F.lit(0), F.col("at") - F.col("item_at"))
+    bank = write_table(item_words(items), "items")
+    bank_bytes = F.lit(64) + F.length(F.concat_ws("    ", "item_words")) * 2
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), tokens(F.col("text")).alias("words"))
+    size = F.size("item_words")
+
+    long = bank.where(size >= window)
+    placed = texts.withColumn("at", F.explode(_positions("words"))).withColumn("seed", F.explode(_seeds("words", "at")))
+    met = _meet(texts, placed, write_table(item_seeds(long), "item-seeds"), "item-hits").join(broadcast_if_small(long.select("item", size.alias("item_size")), 32), "item")
+    missing, first = F.greatest(F.lit(0), -F.col("shift")), F.greatest(F.lit(0), F.col("shift"))
     aligned = F.concat(F.array_repeat(F.lit(None).cast("string"), missing), F.slice("words", first + 1, F.col("item_size") - missing))
-    hits = (
-        placed.select("row", "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), aligned.alias("aligned"))
-        .groupBy("row", "doc_id", "item_id", "shift")
-        .agg(F.first("aligned").alias("aligned"))
-    )
-    width = F.least(F.lit(window), F.size("item_words"))
+    hits = met.select("doc_id", "h", "item", "shift", aligned.alias("aligned")).groupBy("doc_id", "h", "item", "shift").agg(F.first("aligned").alias("aligned"))
     agree = F.zip_with("aligned", "item_words", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    found = (
-        hits.join(broadcast_if_small(lengths, 1024), "item_id")
-        .select("doc_id", "item_id", _best_window(agree, width).alias("agreeing"), width.alias("compared"))
-        .where(F.col("agreeing") >= F.col("compared") * similarity)
-    )
-    if short is not None:
-        found = found.unionByName(short)
+    compared = hits.join(broadcast_if_small(long, bank_bytes), "item").select("doc_id", "h", "item_id", _best_window(agree, F.lit(window)).alias("agreeing"), F.lit(window).alias("compared"))
+
+    seeds = write_table(short_seeds(bank, window, similarity), "short-seeds")
+    lengths = sorted(r["length"] for r in seeds.select("length").distinct().collect())  # at most window - 1
+    if lengths:
+        placed = texts.withColumn("at", F.explode(F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))))
+        placed = placed.withColumn("seed", F.explode(F.array(*(_run("words", F.col("at"), n) for n in lengths))))
+        met = _meet(texts, placed, seeds.drop("length"), "short-hits").join(broadcast_if_small(bank.where(size < window), bank_bytes), "item")
+        # written out, since a lambda would take join and explosion out of the generated stage, and copy each text at each position
+        same = lambda k: F.coalesce((F.get("words", F.col("shift") + k) == F.get("item_words", F.lit(k))).cast("int"), F.lit(0))
+        agreeing = sum((same(k) for k in range(1, window - 1)), same(0))
+        compared = compared.unionByName(met.select("doc_id", "h", "item_id", agreeing.alias("agreeing"), size.alias("compared")))
+    return compared.where(F.col("agreeing") >= F.col("compared") * similarity)
+
+
+def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, agreeing, compared): one row for each item that a document contains."""
+    found = _found(docs, items, window, similarity)
     return found.groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("compared").alias("compared"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that contain an item, columns unchanged; rows without doc_id go by their text."""
-    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    named = docs.select(key.alias("doc_id"), "text")
-    found = write_table(leaks(named, items).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.withColumn("_key", key).join(broadcast_if_small(found, 128), F.col("_key") == F.col("_leaked"), "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without those that contain an item, columns unchanged.
+
+    What goes is named by doc_id and hash of the text, so a clean row that shares a doc_id stays.  A
+    row travels as one struct, so its columns may have any names.
+    """
+    found = write_table(_found(docs, items, window, similarity).select("doc_id", F.col("h").alias("hash")).distinct(), "leaked")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("hash"))
+    return rows.join(broadcast_if_small(found, 64), same, "left_anti").select("row.*")

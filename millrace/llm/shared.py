@@ -17,13 +17,15 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return folder.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all is one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return (folder or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:
@@ -37,9 +39,15 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Hint a broadcast only if the counted rows fit BROADCAST_BYTES; otherwise leave the join alone."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def fits_broadcast(df: DataFrame, row_bytes: int | Column) -> bool:
+    """Whether the rows of df, counted or summed by their own size, come to at most BROADCAST_BYTES."""
+    total = df.agg(F.coalesce(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)), F.lit(0))).first()[0]
+    return total <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """Hint a broadcast only if df fits; otherwise leave the join alone."""
+    return F.broadcast(df) if fits_broadcast(df, row_bytes) else df
 
 
 def with_position(df: DataFrame, order: list[Column], label: str) -> DataFrame:

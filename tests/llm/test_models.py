@@ -30,7 +30,7 @@ def test_language_edge_cases(spark, documents):
     rows = [(i, "the house and the garden of the old town " * 3, "en") for i in range(6)] + [(10 + i, "der Hund und die Katze sind in dem Haus " * 3, "de") for i in range(6)]
     odd = [(20, None, "en"), (21, "12 34 !!", "en"), (22, "", None), (23, "the garden and the house of the town", None), (None, "die Katze und der Hund in dem Haus", None), (24, "the house " * 30000, None), (25, "Съешь ещё этих мягких французских булок", None)]
     model = language.fit(documents(rows + odd))
-    got = {(r["doc_id"]): r for r in language.predict(documents(rows + odd), model).collect()}
+    got = {r["row"]["doc_id"]: r for r in language.predict(documents(rows + odd), model).collect()}
     assert [got[i]["lang_pred"] for i in (20, 21, 22)] == ["und"] * 3 and all(got[i]["rejected"] and got[i]["score"] == 0 for i in (20, 21, 22))
     assert (got[23]["lang_pred"], got[None]["lang_pred"], got[24]["lang_pred"]) == ("en", "de", "en")
     assert not got[23]["rejected"] and got[25]["rejected"]

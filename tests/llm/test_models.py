@@ -68,7 +68,7 @@ def test_quality_against_a_slow_count(spark, documents):
         assert got[i]["log_weight"] == pytest.approx(want, abs=1e-9)
     order = sorted(got.values(), key=lambda r: (-r["sample_key"], r["doc_id"] is None, r["doc_id"]))
     assert [r["sample_rank"] for r in order] == list(range(len(rows)))
-    assert sum(r["selected"] for r in got.values()) == int(len(rows) * 9 / 17)
+    assert sum(r["selected"] for r in got.values()) == int(len(rows) * 8 / 18)
     assert sum(got[i]["selected"] for i in range(12)) > sum(got[20 + i]["selected"] for i in range(12))
 
 

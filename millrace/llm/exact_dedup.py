@@ -95,9 +95,12 @@ def dedup_plan(docs: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that dedup_plan drops, columns unchanged.
 
-    The choice needs one row of each group; where a doc_id repeats, one row of it stays.
+    The choice needs one row of each group; where a doc_id repeats, the row of it with the most code
+    points stays.  A row travels as one struct, so its columns may have any names.
     """
-    kept = dedup_plan(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(normalized(F.col("text")), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha256") == F.col("_sha"))
-    return docs.withColumn("_sha256", sha).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha256"]).select(*docs.columns)
+    kept = dedup_plan(docs).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("kept_sha"))
+    rows = docs.select(F.struct("*").alias("row"), F.sha2(normalized(F.col("text")), 256).alias("sha"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("kept_sha"))
+    found = rows.join(kept, same, "left_semi").select(F.col("row.doc_id").alias("id"), "sha", "row")
+    longest = F.max_by("row", F.coalesce(F.length("row.text"), F.lit(0)))
+    return found.groupBy("id", "sha").agg(longest.alias("row")).select("row.*")

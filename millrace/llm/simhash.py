@@ -202,13 +202,19 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BU
 
     What goes is named by doc_id and hash of the text.  The texts stay where they are while these
     names are few enough to broadcast, and meet them by a shuffle beyond.  Rows that repeat both
-    doc_id and text are reduced to one.
+    doc_id and text are reduced to one; only these rows are grouped.  A row travels as one struct,
+    so its columns may have any names.
     """
     groups = write_table(_grouped(docs, radius, bucket), "near-groups")
     is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h"))
     names = groups.groupBy("doc_id", "h").agg(F.bool_or(is_head).alias("stays"), F.count("*").alias("n"))
-    names = write_table(names.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "stays"), "near-names")
-    gone = broadcast_if_small(names.where("NOT stays").select("_doc_id", "_h"), 64)
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_h"))
-    out = docs.join(gone, same, "left_anti")
-    return out.dropDuplicates(["doc_id", "text"]) if names.where("stays").limit(1).count() else out
+    names = write_table(names.where("NOT stays OR n > 1"), "near-names")
+    gone, twins = (broadcast_if_small(names.where(c).select("doc_id", F.col("h").alias("hash")), 64) for c in ("NOT stays", "stays"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("hash"))
+    kept = rows.join(gone, same, "left_anti")
+    if not names.where("stays").limit(1).count():
+        return kept.select("row.*")
+    # only rows that repeat doc_id and text meet each other
+    once = kept.join(twins, same, "left_semi").select("row", "h", F.col("row.doc_id").alias("id")).groupBy("id", "h").agg(F.first("row").alias("row"))
+    return kept.join(twins, same, "left_anti").select("row").unionByName(once.select("row")).select("row.*")

@@ -1,7 +1,9 @@
-"""Chunks of texts: fixed strides, cuts at sentence ends, sections."""
+"""Chunks of texts: fixed strides, cuts at blanks, sections."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,19 +23,22 @@ def fixed_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
 
 
 def cut_points(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(start, end) of chunks that end after the last sentence end or blank in their second half."""
-    found, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            half = start + size // 2
-            cut = max(text.rfind(". ", half, end), text.rfind(" ", half, end))
-            end = cut + 1 if cut >= half else end
-        found.append((start, end))
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
-    return found
+    """(start, end) of chunks of at most size characters; all but the last end after the last blank of their second half, if it has one.
+
+    The blanks are found once; a chunk's end is a search among their places.
+    """
+    blanks = [m.start() for m in re.finditer(" ", text)]
+
+    def reach(start: int) -> int:
+        last = bisect_left(blanks, start + size) - 1
+        broken = last >= 0 and blanks[last] >= start + size // 2
+        return len(text) if start + size >= len(text) else blanks[last] + 1 if broken else start + size
+
+    spans = [(0, reach(0))] if text else []
+    while spans and spans[-1][1] < len(text):
+        begin = spans[-1][1] - min(overlap, spans[-1][1] - spans[-1][0] - 1)
+        spans.append((begin, reach(begin)))
+    return spans
 
 
 def sentence_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -6,6 +6,10 @@ set it.  The second pass looks the rows up: a row with any bit of its own only i
 straight through; the rest are grouped by the SHA-256 of their text, so false hits cost a shuffle of
 one narrow row and never change a result.  DataFrame functions only.
 
+What the first pass moves is the places of the bits, one long for each, counted in the tasks before;
+no row moves for it.  (A bitmap of its own for every task would move the size of the filter for every
+task, which is more: a task sets few bits of each block.)
+
 Defined results: a null text is empty, like a text of white space only; of equal texts the row with
 the most code points stays, then the smallest doc_id (null last), then the first in a written copy,
 so one row stays even if rows repeat.
@@ -21,7 +25,7 @@ from millrace.llm.shared import BROADCAST_BYTES, SPACE, write_table
 #: A block is one bitmap of Spark's bitmap functions.
 BLOCK_BITS = 32768
 BITS_A_ROW = 16
-PROBES = 3
+PROBES = 2
 
 
 def normalized(text: Column) -> Column:
@@ -37,15 +41,9 @@ def _bits(blocks: int) -> tuple[Column, Column]:
 def repeated_bits(rows: DataFrame, blocks: int) -> DataFrame:
     """First pass: (_block, _bitmap) of the bits that more than one row has set."""
     block, bits = _bits(blocks)
-    return (
-        rows.select(block, bits)
-        .select("_block", F.explode("_bits").alias("_bit"))
-        .groupBy("_block", "_bit")
-        .agg(F.count("*").alias("_n"))
-        .where("_n > 1")
-        .groupBy("_block")
-        .agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
-    )
+    places = F.transform(bits, lambda bit: block * BLOCK_BITS + bit)
+    twice = rows.select(F.explode(places).alias("place")).groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+    return twice.groupBy(F.floor(F.col("place") / BLOCK_BITS).alias("_block")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(BLOCK_BITS))).alias("_bitmap"))
 
 
 def _has(bitmap: Column, bit: Column) -> Column:

@@ -32,10 +32,15 @@ SIMILARITY = 0.8
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
 
+#: All of them lie in this range, whose test is cheaper.
+_FAR = r"[\x{0E00}-\x{10FFFF}]"
+
+
 def tokens(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    apart = F.when(low.rlike(UNSPACED), F.regexp_replace(low, UNSPACED, " $0 ")).otherwise(low)
-    return F.array_remove(F.split(apart, r"[^\p{L}\p{N}]+"), "")
+    text = F.coalesce(text, F.lit(""))
+    far = (F.octet_length(text) > F.length(text)) & text.rlike(_FAR)
+    apart = F.when(far, F.regexp_replace(text, UNSPACED, " $0 ")).otherwise(text)
+    return F.array_remove(F.split(F.lower(apart), r"[^\p{L}\p{N}]+"), "")
 
 
 def _seeds(words: str, at: str) -> Column:

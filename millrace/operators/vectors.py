@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,7 +18,6 @@ from millrace.storage import new_path
 DIM = 1536
 #: Query vectors that are sent to the executors at a time.
 BLOCK = 4096
-BROADCAST_BYTES = 64 << 20
 #: Vectors of a block of links(): at most MOST_ROWS, and fewer where that leaves under BLOCKS blocks.
 MOST_ROWS, BLOCKS = 16384, 12
 
@@ -43,18 +45,6 @@ def lexical_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> Dat
     return unit.select(key, "norm", F.inline("c")).select(key, "idx", (F.col("n") / F.col("norm")).alias("weight"))
 
 
-def sparse_dot(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """(left_key, right_key, dot) of all pairs that share a place; right is the smaller side.
-
-    While right counts under BROADCAST_BYTES it is broadcast, and left stays in the partitions of its
-    key, where the sums are final; beyond that both sides meet by place.
-    """
-    r = right.select(right_key, "idx", F.col("weight").alias("_w"))
-    if r.count() * 64 <= BROADCAST_BYTES:
-        r = F.broadcast(r)
-    return left.join(r, "idx").groupBy(left_key, right_key).agg(F.sum(F.col("weight") * F.col("_w")).alias("dot"))
-
-
 def as_double(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -76,48 +66,153 @@ def fit(v: Column, dim: int) -> Column:
     return F.transform(sized, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0) -> DataFrame:
+def _in_blocks(queries: DataFrame, key: str) -> Iterator[pd.DataFrame]:
+    """queries in blocks of about BLOCK rows, dealt by a hash of the key; one block at a time comes to the driver."""
+    parts = max(1, -(-queries.count() // BLOCK))
+    mine = F.pmod(F.xxhash64(key), F.lit(parts))
+    yield from (block for block in (queries.where(mine == i).toPandas() for i in range(parts)) if len(block))
+
+
+def _best(said: np.ndarray, k: int | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) of the k largest of each query, of those that are at least the bound.
+
+    Rows that tie with the k-th stay, so that a final rank may decide by id.
+    """
+    keep = min(k or said.shape[1], said.shape[1])
+    bound = np.partition(said, -keep, axis=1)[:, -keep][:, None]
+    return np.nonzero((said >= bound) & (said >= least))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, same: str | None = None) -> DataFrame:
     """(query_id, vec_id, cosine) of the k nearest vectors of each query, itself left out (k None: all over least).
 
-    Queries go out in blocks of BLOCK vectors; each task multiplies matrices and keeps k rows a
-    query, and only these are shuffled for the final rank.  The queries of a block are the only
-    rows that the driver sees.
+    same names a column that a query and its neighbours must agree in (nulls agree with nothing); it
+    is tested before the k best are taken.  Queries go out in blocks of BLOCK vectors; each task
+    multiplies matrices and keeps k rows a query, and only these are shuffled for the final rank.
     """
-    ids = [r["vec_id"] for r in queries.select("vec_id").orderBy("vec_id").toLocalIterator()]
-    parts = []
-    for at in range(0, len(ids), BLOCK):
-        low, high = ids[at], ids[min(at + BLOCK, len(ids)) - 1]
-        block = queries.where(F.col("vec_id").between(low, high)).select("vec_id", "embedding").toPandas()
+    parts, columns = [], ["vec_id", "embedding", *([same] if same else [])]
+    for block in _in_blocks(queries.select(*columns), "vec_id"):
         names, matrix = block["vec_id"].to_numpy(), np.stack(block["embedding"].to_numpy()).astype(np.float64)
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        kinds = block[same].to_numpy() if same else None
 
-        def nearest(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
+        def nearest(batches: Iterator[pd.DataFrame], names=names, matrix=matrix, kinds=kinds) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if not len(pdf):
                     continue
                 x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                said = np.round(matrix @ x.T, 6)
-                own = pdf["vec_id"].to_numpy()
+                said, own = np.round(matrix @ x.T, 6), pdf["vec_id"].to_numpy()
                 said[names[:, None] == own[None, :]] = -2
-                keep = min(k or said.shape[1], said.shape[1])
-                # rows that tie with the k-th stay, so that the final rank decides by id
-                bound = np.partition(said, -keep, axis=1)[:, -keep][:, None]
-                q, v = np.nonzero((said >= bound) & (said >= max(least, -1)))
+                if kinds is not None:
+                    said[kinds[:, None] != pdf[same].to_numpy()[None, :]] = -2
+                q, v = _best(said, k, max(least, -1))
                 yield pd.DataFrame({"query_id": names[q], "vec_id": own[v], "cosine": said[q, v]})
 
-        parts.append(vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, cosine double"))
+        parts.append(vectors.select(*columns).mapInPandas(nearest, "query_id long, vec_id long, cosine double"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, cosine double, place int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = reduce(DataFrame.unionByName, parts)
     if k is None:
         return found
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+class Places:
+    """The places of a word's features in a lexical vector, worked out once for each word that a worker meets."""
+
+    def __init__(self, dim: int = DIM, most: int = 500_000):
+        self.dim, self.most, self.known = dim, most, {}
+
+    def __call__(self, word: str) -> list[int]:
+        if word not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            marked = f"^{word}$"
+            grams = [word, *(marked[i : i + 3] for i in range(len(word)))]
+            self.known[word] = [int.from_bytes(hashlib.sha256(g.encode()).digest()[:4], "big") % self.dim for g in grams]
+        return self.known[word]
+
+    def vectors(self, texts: list) -> np.ndarray:
+        """Unit vectors (zero without words) of lists of words, one row each."""
+        out = np.zeros((len(texts), self.dim))
+        for row, text in zip(out, texts, strict=True):
+            found = np.fromiter(chain.from_iterable(map(self, text)), np.int64)
+            row += np.bincount(found, minlength=self.dim)
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+
+
+#: Rows whose lexical vectors a task holds at a time.
+HELD = 512
+
+
+def _by_blocks(docs: DataFrame, questions: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
+    """work(held rows of docs, their vectors, questions, their vectors) over all, the questions a block at a time."""
+    parts = []
+    for block in _in_blocks(questions, "item_id"):
+        matrix = Places().vectors(block["words"].tolist())
+
+        def run(batches: Iterator[pd.DataFrame], block=block, matrix=matrix) -> Iterator[pd.DataFrame]:
+            places = Places()
+            for pdf in batches:
+                for at in range(0, len(pdf), HELD):
+                    held = pdf.iloc[at : at + HELD]
+                    yield work(held, places.vectors(held["words"].tolist()), block, matrix)
+
+        parts.append(docs.select(*columns).mapInPandas(run, schema))
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+
+
+def lexical_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id, cosine) of the k documents nearest to each question by lexical vectors.
+
+    docs: (doc_id, words), questions: (item_id, words).  A task reads its documents once, multiplies
+    their vectors by those of the questions, and passes on k rows a question at most (and ties).
+    Documents that share no place with a question are not near it.
+    """
+
+    def work(held: pd.DataFrame, vectors: np.ndarray, block: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
+        said = np.round(matrix @ vectors.T, 6)
+        said[(matrix > 0).astype(np.float32) @ (vectors > 0).astype(np.float32).T == 0] = -1
+        q, d = _best(said, k, 0.0)
+        return pd.DataFrame({"item_id": block["item_id"].to_numpy()[q], "doc_id": held["doc_id"].to_numpy()[d], "cosine": said[q, d]})
+
+    near = _by_blocks(docs, questions, ["doc_id", "words"], work, "item_id long, doc_id long, cosine double")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cosine"), "doc_id"))
+    return near.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+def keyword_matches(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(item_id, doc_id, n, hits, title_hits, vector) of documents and questions that share a keyword.
+
+    docs: (doc_id, words, title_words), questions: (item_id, words, keywords).  n is the number of
+    keywords, hits and title_hits those among the words of text and title, vector the cosine of the
+    lexical vectors, rounded to 6 digits.  One pass over the documents, no shuffle.
+    """
+
+    def work(held: pd.DataFrame, vectors: np.ndarray, block: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
+        asked: dict[str, list[int]] = {}
+        for i, words in enumerate(block["keywords"]):
+            for w in words:
+                asked.setdefault(w, []).append(i)
+        said, out = np.round(vectors @ matrix.T, 6), []
+        for i, (words, title) in enumerate(zip(held["words"], held["title_words"], strict=True)):
+            shared = asked.keys() & set(words)
+            if shared:
+                hits = np.bincount(np.concatenate([asked[w] for w in shared]), minlength=len(block))
+                named = [asked[w] for w in shared & set(title)]
+                titled = np.bincount(np.concatenate(named), minlength=len(block)) if named else np.zeros_like(hits)
+                at = np.flatnonzero(hits)
+                out.append((np.full(len(at), i), at, hits[at], titled[at]))
+        d, q, hits, titled = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+        return pd.DataFrame({
+            "item_id": block["item_id"].to_numpy()[q], "doc_id": held["doc_id"].to_numpy()[d], "n": block["keywords"].map(len).to_numpy()[q], "hits": hits, "title_hits": titled, "vector": said[d, q],
+        })
+
+    return _by_blocks(docs, questions, ["doc_id", "words", "title_words"], work, "item_id long, doc_id long, n long, hits long, title_hits long, vector double")
+
+
 def links(vectors: DataFrame, least: float) -> DataFrame:
     """(query_id, vec_id, cosine, links): every pair of vectors whose cosine is at least the bound.
 

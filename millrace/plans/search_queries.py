@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.status import freshness
+from millrace.functions.text import tokens
 from millrace.operators import ranking as R
-
-from millrace.operators.vectors import lexical_vectors, sparse_dot
-from millrace.plans.inputs import AS_OF_DOCS, HITS, NOTICES, keyword_hits, notices, stamp
+from millrace.operators.vectors import keyword_matches
+from millrace.plans.inputs import AS_OF_DOCS, HITS, NOTICES, keyword_hits, notices, questions, stamp
 from millrace.plans.registry import Tables, query
 from millrace.plans.vector_queries import DOC_VECTORS, ITEM_VECTORS
 
@@ -32,47 +32,46 @@ def notice_score(vector: Column) -> Column:
     )
 
 
-def candidates(t: Tables, with_vectors: bool = False) -> DataFrame:
-    """(item_id, doc_id, hits, score, ...): documents that share a keyword with a question, scored.
-
-    Only candidates are ever scored; vectors are compared in the places that both sides have.
-    """
+def candidates(t: Tables) -> DataFrame:
+    """(item_id, doc_id, hits, vector, score, ...): documents that share a keyword with a question, scored, vectors included."""
     meta = notices(t).select("doc_id", "source_id", "title", "source_type", "source_priority", "published_at", "quality", "toxic", "lang", "processed")
-    rows = keyword_hits(t).join(meta, "doc_id")
-    vector = F.lit(0.0)
-    if with_vectors:
-        docs = lexical_vectors(t.documents, "doc_id", "text")
-        dots = sparse_dot(docs, lexical_vectors(t.benchmark, "item_id", "text"), "doc_id", "item_id").select("item_id", "doc_id", F.round("dot", 6).alias("vector"))
-        rows = rows.join(dots, ["item_id", "doc_id"], "left")
-        vector = F.coalesce("vector", F.lit(0.0))
-    return rows.withColumn("score", notice_score(vector))
+    words = tokens(F.col("text")).alias("words")
+    docs = t.documents.select("doc_id", words, tokens(F.substring("text", 1, 60)).alias("title_words"))
+    asked = questions(t).select("item_id", tokens(F.col("question")).alias("words"), "keywords")
+    return keyword_matches(docs, asked).join(meta, "doc_id").withColumn("score", notice_score(F.col("vector")))
 
 
 _SCORE = f"""round({{v}} * 0.18::DOUBLE + hits / greatest(n, 1)::DOUBLE * 0.32::DOUBLE + title_hits / greatest(n, 1)::DOUBLE * 0.30::DOUBLE + CASE WHEN quality = 1 THEN 0.1::DOUBLE ELSE 0 END
   + greatest(0::DOUBLE, 1 - date_diff('day', published_at, TIMESTAMP '{AS_OF_DOCS}') / 365::DOUBLE) * 0.12::DOUBLE + least(greatest(source_priority, 0), 120) / 120::DOUBLE * 0.2::DOUBLE - CASE WHEN toxic = 1 THEN 0.18::DOUBLE ELSE 0 END, 5)"""
-CAND = f"{HITS}, {NOTICES}, cand AS (SELECT *, {_SCORE.format(v='0::DOUBLE')} AS score FROM hits JOIN notices USING (doc_id))"
-PLACED = CAND + ", placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits = n DESC, score DESC, source_priority DESC, published_at DESC, doc_id) AS place FROM cand WHERE score >= 0.34)"
+CAND = f"""{HITS}, {NOTICES}, {ITEM_VECTORS}, {DOC_VECTORS}, dots AS (SELECT item_id, doc_id, round(sum(d.weight * q.weight), 6) AS vector FROM dv d JOIN qv q USING (idx) GROUP BY ALL),
+cand AS (SELECT *, {_SCORE.format(v='coalesce(vector, 0)')} AS score FROM hits JOIN notices USING (doc_id) LEFT JOIN dots USING (item_id, doc_id))"""
+TIER = "CASE WHEN title_hits = n THEN 4 WHEN title_hits * 2 >= n THEN 3 WHEN hits = n THEN 2 WHEN title_hits > 0 THEN 1 ELSE 0 END"
+PLACED = CAND + f", placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {TIER} DESC, score DESC, source_priority DESC, published_at DESC, doc_id) AS place FROM cand WHERE processed AND score >= 0.34)"
 
 
-@query(f"""WITH {HITS}, {NOTICES}, {ITEM_VECTORS}, {DOC_VECTORS}, dots AS (SELECT item_id, doc_id, round(sum(d.weight * q.weight), 6) AS vector FROM dv d JOIN qv q USING (idx) GROUP BY ALL)
-SELECT item_id, doc_id, {_SCORE.format(v='coalesce(vector, 0)')} AS score FROM hits JOIN notices USING (doc_id) LEFT JOIN dots USING (item_id, doc_id)""")
+@query(f"WITH {CAND} SELECT item_id, doc_id, score FROM cand")
 def hybrid_score_notice(t: Tables):
-    """The full score of every candidate, sparse vectors included."""
-    return candidates(t, with_vectors=True).select("item_id", "doc_id", "score")
+    """The full score of every candidate."""
+    return candidates(t).select("item_id", "doc_id", "score")
+
+
+def tier() -> Column:
+    """How hard a candidate matches: all keywords in the title, half of them, all in the text, some in the title, others."""
+    n, title = F.col("n"), F.col("title_hits")
+    return F.when(title == n, 4).when(title * 2 >= n, 3).when(F.col("hits") == n, 2).when(title > 0, 1).otherwise(0)
 
 
 def placed(t: Tables, limit: int = 1 << 30) -> DataFrame:
-    """Candidates over the threshold with their place: full matches first, then score, priority, date, id."""
-    rows = candidates(t).where(F.col("score") >= R.THRESHOLD)
-    order = [(F.col("hits") == F.col("n")).desc(), F.desc("score"), F.desc("source_priority"), F.desc("published_at"), F.col("doc_id")]
-    return R.top(rows, "item_id", order, limit)
+    """Visible candidates over the threshold with their place: by tier, then score, priority, date, id."""
+    rows = candidates(t).where(F.col("processed") & (F.col("score") >= R.THRESHOLD))
+    return R.top(rows, "item_id", [tier().desc(), F.desc("score"), F.desc("source_priority"), F.desc("published_at"), F.col("doc_id")], limit)
 
 
-@query(f"WITH {PLACED} SELECT item_id, doc_id, source_id, score, place, CASE WHEN hits = n THEN 'all_keywords' WHEN title_hits > 0 THEN 'title' ELSE 'keywords' END AS reason FROM placed WHERE place <= 5")
+@query(f"WITH {PLACED} SELECT item_id, doc_id, source_id, score, place, {TIER} AS tier, CASE WHEN hits = n THEN 'all_keywords' WHEN title_hits > 0 THEN 'title' ELSE 'keywords' END AS reason FROM placed WHERE place <= 5")
 def hybrid_topk(t: Tables):
     """The five best documents for each question, with the reason."""
     reason = F.when(F.col("hits") == F.col("n"), "all_keywords").when(F.col("title_hits") > 0, "title").otherwise("keywords")
-    return placed(t, 5).select("item_id", "doc_id", "source_id", "score", "place", reason.alias("reason"))
+    return placed(t, 5).select("item_id", "doc_id", "source_id", "score", "place", tier().alias("tier"), reason.alias("reason"))
 
 
 @query(f"""WITH {HITS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
@@ -82,9 +81,6 @@ SELECT item_id, doc_id, line_no::INTEGER AS line_no, round(k / n::DOUBLE * 0.25:
 FROM u LEFT JOIN p ON o_orderkey = doc_id""")
 def hybrid_score_unit(t: Tables):
     """Lines as units: coverage, the state of the period with the same key, and a bonus for what is canonical."""
-    from millrace.functions.text import tokens
-    from millrace.plans.inputs import questions
-
     asked = questions(t).select("item_id", F.size("keywords").alias("n"), F.explode("keywords").alias("w"))
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
     said = lines.select("doc_id", "line_no", F.explode(F.array_distinct(tokens(F.col("line")))).alias("w"))
@@ -123,9 +119,7 @@ k AS (SELECT DISTINCT doc_id, i, unnest(regexp_extract_all(lower(substr(text, i
 SELECT item_id, doc_id, arg_max(i, (n, -i))::INTEGER AS chunk_index, max(n) AS hits FROM s GROUP BY ALL""")
 def best_chunk_per_doc(t: Tables):
     """The chunk of each candidate with the most keywords; the first one wins a tie."""
-    from millrace.functions.text import tokens
     from millrace.operators.chunks import fixed_chunks
-    from millrace.plans.inputs import questions
 
     words = fixed_chunks(t.documents).select("doc_id", "chunk_index", F.explode(F.array_distinct(tokens(F.col("chunk")))).alias("w"))
     asked = questions(t).select("item_id", F.explode("keywords").alias("w"))

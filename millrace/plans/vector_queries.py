@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import tokens
 from millrace.operators import chunks as C
 from millrace.operators import vectors as V
 from millrace.plans.registry import Tables, query
@@ -77,19 +78,14 @@ def lexical_embedding(t: Tables):
     return V.lexical_vectors(t.benchmark, "item_id", "text").select("item_id", "idx", F.round("weight", 9).alias("weight"))
 
 
-def lexical_scores(t: Tables):
-    docs = V.lexical_vectors(t.documents, "doc_id", "text")
-    return V.sparse_dot(docs, V.lexical_vectors(t.benchmark, "item_id", "text"), "doc_id", "item_id").select("item_id", "doc_id", F.round("dot", 6).alias("cosine"))
-
-
 LEXICAL = f"{ITEM_VECTORS}, {DOC_VECTORS}, lexical AS (SELECT item_id, doc_id, round(sum(d.weight * q.weight), 6) AS cosine FROM dv d JOIN qv q USING (idx) GROUP BY ALL)"
 
 
 @query(f"WITH {LEXICAL} SELECT item_id, doc_id, cosine FROM lexical QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) <= 5")
 def lexical_topk(t: Tables):
     """The five documents nearest to each question by their sparse vectors."""
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cosine"), "doc_id"))
-    return lexical_scores(t).withColumn("place", place).where("place <= 5").select("item_id", "doc_id", "cosine")
+    words = tokens(F.col("text")).alias("words")
+    return V.lexical_top(t.documents.select("doc_id", words), t.benchmark.select("item_id", words), 5)
 
 
 @query("""WITH v AS (SELECT vec_id, embedding[1:48]::DOUBLE[] AS a FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(a, lambda x: x * x))) AS norm FROM v)
@@ -129,25 +125,21 @@ def vector_links(t: Tables):
     return V.links(t.embeddings, 0.45)
 
 
-@query(f"WITH {DENSE} SELECT query_id, vec_id, CASE WHEN label % 2 = query_label % 2 THEN cosine ELSE 0::DOUBLE END AS cosine FROM c WHERE cosine >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c.cosine DESC, vec_id) <= 20")
+@query(f"WITH {DENSE} SELECT query_id, vec_id, cosine FROM c WHERE label % 2 = query_label % 2 AND cosine >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20")
 def vector_model_mask(t: Tables):
-    """Vectors of another model (here: of labels of another parity) score 0."""
-    model = t.embeddings.select("vec_id", (F.col("label") % 2).alias("m"))
-    near = V.top_k(t.embeddings, _queries(t), 20, 0.3)
-    own = model.select(F.col("vec_id").alias("query_id"), F.col("m").alias("qm"))
-    return near.join(model, "vec_id").join(own, "query_id").select("query_id", "vec_id", F.when(F.col("m") == F.col("qm"), F.col("cosine")).otherwise(0.0).alias("cosine"))
+    """The nearest vectors of the query's model (here: of labels of its parity); those of others score 0, under the bound."""
+    modelled = t.embeddings.withColumn("model", F.col("label") % 2)
+    return V.top_k(modelled, modelled.where(F.col("vec_id") % EVERY == 0), 20, 0.3, "model").select("query_id", "vec_id", "cosine")
 
 
-@query(f"""WITH {DENSE}, k AS (SELECT query_id, vec_id, query_label, label, cosine FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20)
-SELECT query_id, vec_id, cosine FROM k WHERE label = query_label UNION ALL SELECT query_id, vec_id, cosine FROM k WHERE query_id NOT IN (SELECT query_id FROM k WHERE label = query_label)""")
+@query(f"""WITH {DENSE}, own AS (SELECT query_id, vec_id, cosine FROM c WHERE label = query_label AND cosine >= 0.34 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20),
+every AS (SELECT query_id, vec_id, cosine FROM c WHERE cosine >= 0.34 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 20)
+SELECT * FROM own UNION ALL SELECT * FROM every WHERE query_id NOT IN (SELECT query_id FROM own)""")
 def category_relax(t: Tables):
-    """Candidates of the query's category; all of them for queries that have none there."""
-    label = t.embeddings.select("vec_id", "label")
-    own = label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
-    near = V.top_k(t.embeddings, _queries(t), 20).join(label, "vec_id").join(own, "query_id")
-    strict = F.col("label") == F.col("query_label")
-    some = F.max(strict).over(Window.partitionBy("query_id"))
-    return near.withColumn("some", some).where(strict | ~F.col("some")).select("query_id", "vec_id", "cosine")
+    """Candidates over the threshold in the query's category; those of all categories for queries that have none there."""
+    own = V.top_k(t.embeddings, _queries(t), 20, 0.34, "label").select("query_id", "vec_id", "cosine")
+    every = V.top_k(t.embeddings, _queries(t), 20, 0.34).select("query_id", "vec_id", "cosine")
+    return own.unionByName(every.join(own.select("query_id").distinct(), "query_id", "left_anti"))
 
 
 @query(f"""WITH {DENSE}, k AS (SELECT query_id, vec_id, cosine AS score, (label * 7 % 10) / 10.0::DOUBLE AS relevance, label = 3 AS rejected FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 5),
@@ -163,13 +155,13 @@ def rerank_blend(t: Tables):
 
 
 @query(f"""WITH {DENSE}, l AS (SELECT doc_id AS vec_id, len(string_split(text, ' ')) AS words FROM documents)
-SELECT query_id, vec_id, cosine, coalesce(words, 0) AS words FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 100) LEFT JOIN l USING (vec_id) WHERE coalesce(words, 0) > 100 OR cosine >= 0.49""")
+SELECT query_id, vec_id, cosine, coalesce(words, 0) AS words FROM c LEFT JOIN l USING (vec_id) WHERE (coalesce(words, 0) > 100 AND cosine >= 0.34) OR cosine >= 0.49""")
 def semantic_rescue(t: Tables):
-    """Rows without a keyword (here: short texts) stay only if their vector is near enough."""
-    from millrace.operators.ranking import rescue
+    """Rows over the threshold; those without a keyword (here: of short texts) only if their vector is near enough."""
+    from millrace.operators.ranking import THRESHOLD, rescue
 
     words = t.documents.select(F.col("doc_id").alias("vec_id"), F.size(F.split("text", " ")).alias("words"))
-    rows = V.top_k(t.embeddings, _queries(t), 100).join(words, "vec_id", "left").select("query_id", "vec_id", "cosine", F.coalesce("words", F.lit(0)).alias("words"))
+    rows = V.top_k(t.embeddings, _queries(t), None, THRESHOLD).join(words, "vec_id", "left").select("query_id", "vec_id", "cosine", F.coalesce("words", F.lit(0)).alias("words"))
     return rescue(rows, F.col("words") > 100, F.col("cosine"))
 
 

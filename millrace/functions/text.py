@@ -37,6 +37,10 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^0-9a-z가-힣]+", "")
 
 
+def lowered(c: Column) -> Column:
+    return F.lower(F.coalesce(c, F.lit("")))
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import tokens
+from millrace.functions.text import TOKEN, tokens
 from millrace.storage import new_path
 
 DIM = 1536
@@ -120,26 +121,42 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int | None, least: float =
 
 
 class Places:
-    """The places of a word's features in a lexical vector, worked out once for each word that a worker meets."""
+    """The places of words' features in lexical vectors, worked out once for each word that a worker meets."""
 
     def __init__(self, dim: int = DIM, most: int = 500_000):
-        self.dim, self.most, self.known = dim, most, {}
-
-    def __call__(self, word: str) -> list[int]:
-        if word not in self.known:
-            if len(self.known) >= self.most:
-                self.known.clear()
+        self.dim, self.most = dim, most
+        # words share their trigrams
+        self._gram = lru_cache(1 << 18)(self._place)
+        self._forget()
+
+    def _place(self, feature: str) -> int:
+        return int.from_bytes(hashlib.sha256(feature.encode()).digest()[:4], "big") % self.dim
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: set[str]) -> None:
+        made = []
+        for word in words:
+            self.index[word] = len(self.index)
             marked = f"^{word}$"
-            grams = [word, *(marked[i : i + 3] for i in range(len(word)))]
-            self.known[word] = [int.from_bytes(hashlib.sha256(g.encode()).digest()[:4], "big") % self.dim for g in grams]
-        return self.known[word]
+            made.append([self._place(word), *(self._gram(marked[i : i + 3]) for i in range(len(word)))])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, made), np.int64, len(made))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.int64)])
 
     def vectors(self, texts: list) -> np.ndarray:
         """Unit vectors (zero without words) of lists of words, one row each."""
-        out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts, strict=True):
-            found = np.fromiter(chain.from_iterable(map(self, text)), np.int64)
-            row += np.bincount(found, minlength=self.dim)
+        words = list(chain.from_iterable(texts))
+        if len(self.index) > self.most:
+            self._forget()
+        self._learn(set(words).difference(self.index))
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        word = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        n = self.size[word]
+        start = np.cumsum(self.size) - self.size
+        at = np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out = np.bincount(np.repeat(row, n) * self.dim + self.flat[at], minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(float)
         return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
 
 
@@ -147,10 +164,14 @@ class Places:
 HELD = 512
 
 
+_words = re.compile(TOKEN).findall
+
+
 def _by_blocks(docs: DataFrame, questions: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
     """work(held rows of docs, their vectors, questions, their vectors) over all, the questions a block at a time."""
     parts = []
     for block in _in_blocks(questions, "item_id"):
+        block["words"] = block["text"].map(_words)
         matrix = Places().vectors(block["words"].tolist())
 
         def run(batches: Iterator[pd.DataFrame], block=block, matrix=matrix) -> Iterator[pd.DataFrame]:
@@ -158,6 +179,7 @@ def _by_blocks(docs: DataFrame, questions: DataFrame, columns: list[str], work:
             for pdf in batches:
                 for at in range(0, len(pdf), HELD):
                     held = pdf.iloc[at : at + HELD]
+                    held = held.assign(words=held["text"].map(_words))
                     yield work(held, places.vectors(held["words"].tolist()), block, matrix)
 
         parts.append(docs.select(*columns).mapInPandas(run, schema))
@@ -167,7 +189,7 @@ def _by_blocks(docs: DataFrame, questions: DataFrame, columns: list[str], work:
 def lexical_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(item_id, doc_id, cosine) of the k documents nearest to each question by lexical vectors.
 
-    docs: (doc_id, words), questions: (item_id, words).  A task reads its documents once, multiplies
+    docs: (doc_id, text), questions: (item_id, text), texts lower-cased and not null.  A task reads its documents once, multiplies
     their vectors by those of the questions, and passes on k rows a question at most (and ties).
     Documents that share no place with a question are not near it.
     """
@@ -178,7 +200,7 @@ def lexical_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
         q, d = _best(said, k, 0.0)
         return pd.DataFrame({"item_id": block["item_id"].to_numpy()[q], "doc_id": held["doc_id"].to_numpy()[d], "cosine": said[q, d]})
 
-    near = _by_blocks(docs, questions, ["doc_id", "words"], work, "item_id long, doc_id long, cosine double")
+    near = _by_blocks(docs, questions, ["doc_id", "text"], work, "item_id long, doc_id long, cosine double")
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cosine"), "doc_id"))
     return near.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
@@ -186,7 +208,7 @@ def lexical_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 def keyword_matches(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(item_id, doc_id, n, hits, title_hits, vector) of documents and questions that share a keyword.
 
-    docs: (doc_id, words, title_words), questions: (item_id, words, keywords).  n is the number of
+    docs: (doc_id, text, title), questions: (item_id, text, keywords), lower-cased and not null.  n is the number of
     keywords, hits and title_hits those among the words of text and title, vector the cosine of the
     lexical vectors, rounded to 6 digits.  One pass over the documents, no shuffle.
     """
@@ -197,11 +219,11 @@ def keyword_matches(docs: DataFrame, questions: DataFrame) -> DataFrame:
             for w in words:
                 asked.setdefault(w, []).append(i)
         said, out = np.round(vectors @ matrix.T, 6), []
-        for i, (words, title) in enumerate(zip(held["words"], held["title_words"], strict=True)):
+        for i, (words, title) in enumerate(zip(held["words"], held["title"], strict=True)):
             shared = asked.keys() & set(words)
             if shared:
                 hits = np.bincount(np.concatenate([asked[w] for w in shared]), minlength=len(block))
-                named = [asked[w] for w in shared & set(title)]
+                named = [asked[w] for w in shared & set(_words(title))]
                 titled = np.bincount(np.concatenate(named), minlength=len(block)) if named else np.zeros_like(hits)
                 at = np.flatnonzero(hits)
                 out.append((np.full(len(at), i), at, hits[at], titled[at]))
@@ -210,7 +232,7 @@ def keyword_matches(docs: DataFrame, questions: DataFrame) -> DataFrame:
             "item_id": block["item_id"].to_numpy()[q], "doc_id": held["doc_id"].to_numpy()[d], "n": block["keywords"].map(len).to_numpy()[q], "hits": hits, "title_hits": titled, "vector": said[d, q],
         })
 
-    return _by_blocks(docs, questions, ["doc_id", "words", "title_words"], work, "item_id long, doc_id long, n long, hits long, title_hits long, vector double")
+    return _by_blocks(docs, questions, ["doc_id", "text", "title"], work, "item_id long, doc_id long, n long, hits long, title_hits long, vector double")
 
 
 def links(vectors: DataFrame, least: float) -> DataFrame:

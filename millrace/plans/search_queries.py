@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.status import freshness
-from millrace.functions.text import tokens
+from millrace.functions.text import lowered, tokens
 from millrace.operators import ranking as R
 from millrace.operators.vectors import keyword_matches
 from millrace.plans.inputs import AS_OF_DOCS, HITS, NOTICES, keyword_hits, notices, questions, stamp
@@ -35,9 +35,8 @@ def notice_score(vector: Column) -> Column:
 def candidates(t: Tables) -> DataFrame:
     """(item_id, doc_id, hits, vector, score, ...): documents that share a keyword with a question, scored, vectors included."""
     meta = notices(t).select("doc_id", "source_id", "title", "source_type", "source_priority", "published_at", "quality", "toxic", "lang", "processed")
-    words = tokens(F.col("text")).alias("words")
-    docs = t.documents.select("doc_id", words, tokens(F.substring("text", 1, 60)).alias("title_words"))
-    asked = questions(t).select("item_id", tokens(F.col("question")).alias("words"), "keywords")
+    docs = t.documents.select("doc_id", lowered(F.col("text")).alias("text"), lowered(F.substring("text", 1, 60)).alias("title"))
+    asked = questions(t).select("item_id", lowered(F.col("question")).alias("text"), "keywords")
     return keyword_matches(docs, asked).join(meta, "doc_id").withColumn("score", notice_score(F.col("vector")))
 
 

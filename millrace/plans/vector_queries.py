@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import tokens
+from millrace.functions.text import lowered
 from millrace.operators import chunks as C
 from millrace.operators import vectors as V
 from millrace.plans.registry import Tables, query
@@ -84,8 +84,8 @@ LEXICAL = f"{ITEM_VECTORS}, {DOC_VECTORS}, lexical AS (SELECT item_id, doc_id, r
 @query(f"WITH {LEXICAL} SELECT item_id, doc_id, cosine FROM lexical QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) <= 5")
 def lexical_topk(t: Tables):
     """The five documents nearest to each question by their sparse vectors."""
-    words = tokens(F.col("text")).alias("words")
-    return V.lexical_top(t.documents.select("doc_id", words), t.benchmark.select("item_id", words), 5)
+    low = lowered(F.col("text")).alias("text")
+    return V.lexical_top(t.documents.select("doc_id", low), t.benchmark.select("item_id", low), 5)
 
 
 @query("""WITH v AS (SELECT vec_id, embedding[1:48]::DOUBLE[] AS a FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(a, lambda x: x * x))) AS norm FROM v)

@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir, or under a folder of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{folder.rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
+    """A fresh path under spark.checkpoint.dir, or under a folder of our own where that is unset and all is one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    folder = folder or f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{folder.rstrip('/')}/millrace/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

@@ -19,13 +19,15 @@ from millrace.storage import new_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def source(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """A folder or a single file of Parquet as a stream, in its own schema.
+def source(spark: SparkSession, path: str, bytes_per_batch: int = 256 << 20) -> DataFrame:
+    """A folder or a single file of Parquet as a stream, in its own schema, in the order of the files' times.
 
-    The stream's path is written as a pattern, because a plain one has to be a folder.
+    A micro-batch has at most bytes_per_batch (or one file), which bounds what an operator with state
+    sees of a hot key at a time.  The stream's path is written as a pattern, because a plain one has
+    to be a folder.
     """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -54,7 +56,10 @@ CARRIED = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("
 
 
 class SessionCarry(StatefulProcessor):
-    """Per session the last year and task; forgotten after gap seconds without an event, or by a reset."""
+    """Per session the last year and task; replaced after gap seconds without an event, or by a reset.
+
+    A micro-batch's events of a session are put in order of time first, so they are held together.
+    """
 
     def __init__(self, gap: float):
         self.gap = gap
@@ -105,10 +110,10 @@ class CacheReplay(StatefulProcessor):
 def replay(pdf: pd.DataFrame, expires: float | None, ttl: float) -> tuple[list[str], float | None]:
     """Outcomes of requests in order of time, and when the entry expires after them."""
     out = []
-    for now in (x.timestamp() for x in pdf["ts"]):
-        hit = expires is not None and now < expires
+    for now in (None if pd.isna(x) else x.timestamp() for x in pdf["ts"]):
+        hit = expires is not None and now is not None and now < expires
         out.append("hit" if hit else "miss")
-        if not hit:
+        if not hit and now is not None:
             expires = now + ttl
     return out, expires
 
@@ -117,15 +122,17 @@ def replay_table(requests: DataFrame, ttl: float) -> DataFrame:
     """(event_id, outcome) of requests (question, ts, event_id): a fold in order of time per question.
 
     Partitions are sorted by question and time and read as batches, so memory holds a batch and one
-    expiry, however many requests a question has.
+    expiry, however many requests a question has.  A null question is a question of its own; requests
+    without a time come first and are misses that leave nothing behind.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        question, expires = None, None
+        question, expires = (), None
         for pdf in batches:
-            for key, part in pdf.groupby("question", sort=False):
-                expires = expires if key == question else None
-                out, expires = replay(part, expires, ttl)
+            for _, part in pdf.groupby(pdf["question"].isna().astype(str).str.cat(pdf["question"].fillna("").astype(str)), sort=False):
+                key = part["question"].iloc[0]
+                key = None if pd.isna(key) else key
+                out, expires = replay(part, expires if key == question else None, ttl)
                 question = key
                 yield pd.DataFrame({"event_id": part["event_id"], "outcome": out})
 

@@ -197,3 +197,55 @@ def test_hooks(spark):
     ranked = spark.createDataFrame([(1, 0.9), (1, 0.2)], "q long, score double")
     judge = lambda r: r.withColumn("relevance", F.lit(0.5)).withColumn("rejected", F.col("score") > 0.5)
     assert [round(r["score"], 6) for r in hooks.rerank(ranked, "q", judge).collect()] == [0.29]
+
+
+def test_replay_keeps_null_questions_and_times(spark):
+    import datetime as dt
+
+    from millrace.streaming.streams import replay_table
+
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    rows = [(None, at(1), 1), (None, at(2), 2), ("a", at(1), 3), ("", at(2), 4), ("a", None, 5), (None, at(30), 6), ("a", at(5), 7)]
+    got = {r["event_id"]: r["outcome"] for r in replay_table(spark.createDataFrame(rows, "question string, ts timestamp, event_id long"), 10.0).collect()}
+    assert got == {1: "miss", 2: "hit", 3: "miss", 4: "miss", 5: "miss", 6: "miss", 7: "hit"}
+
+
+def test_top_k_of_the_same_kind(spark):
+    import numpy as np
+
+    from millrace.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], i % 7 if i % 11 else None) for i in range(60)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r["query_id"], r["vec_id"]) for r in V.top_k(df, df.where("vec_id % 10 = 3"), 3, same="label").collect()}
+    for q in range(3, 60, 10):
+        same = [i for i in range(60) if i != q and i % 11 and q % 11 and i % 7 == q % 7]
+        assert {v for a, v in got if a == q} == set(sorted(same, key=lambda i: (-round(float(unit[i] @ unit[q]), 6), i))[:3])
+
+
+def test_lexical_search_against_a_slow_one(spark):
+    import hashlib
+    import math
+    import re
+
+    from millrace.operators import vectors as V
+
+    texts = ["the old house", "a house by the river", "", "river rivers rivered", "xyz", "ein haus am fluss", "a b c d " * 300]
+    asked = [(0, "house river", ["house", "river"]), (1, "fluss", ["fluss"]), (2, "q", [])]
+
+    def vector(text):
+        v = [0] * V.DIM
+        for w in re.findall("[가-힣A-Za-z0-9]+", text):
+            for f in [w, *(f"^{w}$"[i : i + 3] for i in range(len(w)))]:
+                v[int(hashlib.sha256(f.encode()).hexdigest()[:8], 16) % V.DIM] += 1
+        return [x / math.sqrt(sum(y * y for y in v) or 1) for x in v]
+
+    dot = {(q, d): round(sum(a * b for a, b in zip(vector(t), vector(x), strict=True)), 6) for q, t, _ in asked for d, x in enumerate(texts)}
+    docs = spark.createDataFrame([(d, x, x[:5]) for d, x in enumerate(texts)], "doc_id long, text string, title string")
+    questions = spark.createDataFrame(asked, "item_id long, text string, keywords array<string>")
+    want = {(q, d) for q, _, _ in asked for d in sorted((d for d in range(len(texts)) if dot[q, d] > 0), key=lambda d: (-dot[q, d], d))[:2]}
+    assert {(r["item_id"], r["doc_id"]) for r in V.lexical_top(docs, questions, 2).collect()} == want
+    got = {(r["item_id"], r["doc_id"]): (r["n"], r["hits"], r["title_hits"], r["vector"]) for r in V.keyword_matches(docs, questions).collect()}
+    assert got == {(0, 0): (2, 1, 0, dot[0, 0]), (0, 1): (2, 2, 0, dot[0, 1]), (0, 3): (2, 1, 1, dot[0, 3]), (1, 5): (1, 1, 0, dot[1, 5])}

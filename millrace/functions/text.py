@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 LONG_NUMBER = r"(^|[^0-9])[0-9]{8,12}($|[^0-9])"
 TOKEN = r"[가-힣A-Za-z0-9]+"
 
+#: Endings of words in Korean questions, and words that ask without naming anything.
+ENDINGS = ("알려주세요", "알려줘", "인가요", "까지야", "에서는", "에서", "으로", "하는", "해줘", "해야", "은", "는", "이", "가", "을", "를", "에", "로", "와", "과", "도", "요", "해")
+STOPWORDS = ("어떻게", "방법", "절차", "알려줘", "알려주세요", "언제", "언제까지", "어디서", "뭐야", "무엇")
+
 
 def squeeze(c: Column) -> Column:
     """White space collapsed and trimmed."""
@@ -45,11 +51,18 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
-def keywords(c: Column, most: int) -> Column:
-    """The longest different tokens of at least 4 characters, longest first, then by code point."""
-    words = F.filter(F.array_distinct(tokens(c)), lambda w: F.length(w) >= 4)
-    ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return F.slice(F.transform(ranked, lambda x: x["w"]), 1, most)
+def without_ending(w: Column, endings: Sequence[str]) -> Column:
+    """A word without the first of the endings, in the order of the list, that leaves at least 2 characters."""
+    cut = w
+    for e in reversed(endings):
+        cut = F.when(w.endswith(e) & (F.length(w) >= len(e) + 2), F.left(w, F.length(w) - len(e))).otherwise(cut)
+    return cut
+
+
+def keywords(c: Column, most: int = 15, endings: Sequence[str] = ENDINGS, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """The first different words of at least 2 characters, in order, without endings and stop words."""
+    words = F.transform(tokens(c), lambda w: without_ending(w, endings))
+    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords))), 1, most)
 
 
 def drop_repeated_lines(c: Column) -> Column:

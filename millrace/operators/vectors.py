@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import TOKEN, tokens
 from millrace.storage import new_path
@@ -167,20 +169,22 @@ HELD = 512
 _words = re.compile(TOKEN).findall
 
 
-def _by_blocks(docs: DataFrame, questions: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
-    """work(held rows of docs, their vectors, questions, their vectors) over all, the questions a block at a time."""
+def _by_blocks(docs: DataFrame, questions: DataFrame, columns: list[str], work: Callable, schema: T.StructType | str, vectors: bool = True) -> DataFrame:
+    """work(questions, their vectors), called in a task, gives what is made of (held rows of docs, their vectors).
+
+    The questions go out a block at a time; without ``vectors`` none are made.
+    """
     parts = []
     for block in _in_blocks(questions, "item_id"):
-        block["words"] = block["text"].map(_words)
-        matrix = Places().vectors(block["words"].tolist())
+        matrix = Places().vectors(block["text"].map(_words).tolist()) if vectors else None
 
         def run(batches: Iterator[pd.DataFrame], block=block, matrix=matrix) -> Iterator[pd.DataFrame]:
-            places = Places()
+            places, apply = Places(), work(block, matrix)
             for pdf in batches:
                 for at in range(0, len(pdf), HELD):
                     held = pdf.iloc[at : at + HELD]
-                    held = held.assign(words=held["text"].map(_words))
-                    yield work(held, places.vectors(held["words"].tolist()), block, matrix)
+                    held = held.assign(_words=held["text"].map(_words))
+                    yield apply(held, places.vectors(held["_words"].tolist()) if vectors else None)
 
         parts.append(docs.select(*columns).mapInPandas(run, schema))
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
@@ -194,45 +198,76 @@ def lexical_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     Documents that share no place with a question are not near it.
     """
 
-    def work(held: pd.DataFrame, vectors: np.ndarray, block: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
-        said = np.round(matrix @ vectors.T, 6)
-        said[(matrix > 0).astype(np.float32) @ (vectors > 0).astype(np.float32).T == 0] = -1
-        q, d = _best(said, k, 0.0)
-        return pd.DataFrame({"item_id": block["item_id"].to_numpy()[q], "doc_id": held["doc_id"].to_numpy()[d], "cosine": said[q, d]})
+    def work(block: pd.DataFrame, matrix: np.ndarray) -> Callable:
+        def apply(held: pd.DataFrame, vectors: np.ndarray) -> pd.DataFrame:
+            said = np.round(matrix @ vectors.T, 6)
+            said[(matrix > 0).astype(np.float32) @ (vectors > 0).astype(np.float32).T == 0] = -1
+            q, d = _best(said, k, 0.0)
+            return pd.DataFrame({"item_id": block["item_id"].to_numpy()[q], "doc_id": held["doc_id"].to_numpy()[d], "cosine": said[q, d]})
+
+        return apply
 
     near = _by_blocks(docs, questions, ["doc_id", "text"], work, "item_id long, doc_id long, cosine double")
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cosine"), "doc_id"))
     return near.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def keyword_matches(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """(item_id, doc_id, n, hits, title_hits, vector) of documents and questions that share a keyword.
+class Terms:
+    """Which of some terms stand within words, worked out once for each word that a worker meets."""
+
+    def __init__(self, terms: list[str], most: int = 500_000):
+        self.found: dict[str, tuple[int, ...]] = {}
+        self.most, self.any = most, bool(terms)
+        self.automaton = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            self.automaton.add_word(term, i)
+        self.automaton.make_automaton()
+
+    def within(self, words: set[str]) -> set[int]:
+        if not self.any:
+            return set()
+        if len(self.found) > self.most:
+            self.found.clear()
+        for w in words.difference(self.found):
+            self.found[w] = tuple({i for _, i in self.automaton.iter(w)})
+        return set(chain.from_iterable(map(self.found.__getitem__, words)))
+
+
+def keyword_matches(docs: DataFrame, questions: DataFrame, carry: list[str], vectors: bool = True) -> DataFrame:
+    """(item_id, n, hits, title_hits, vector, and the columns carry of docs) of rows and questions that share a keyword.
 
-    docs: (doc_id, text, title), questions: (item_id, text, keywords), lower-cased and not null.  n is the number of
-    keywords, hits and title_hits those among the words of text and title, vector the cosine of the
-    lexical vectors, rounded to 6 digits.  One pass over the documents, no shuffle.
+    docs: (text, title, ...), questions: (item_id, text, keywords), lower-cased and not null.  n is the number of
+    keywords, hits and title_hits those that text and title hold, within longer words too; vector is the cosine of the
+    lexical vectors, rounded to 6 digits (only with ``vectors``).  One pass over docs, no shuffle: what is to be known of a
+    row later is carried along, so that the pairs need not join it.
     """
 
-    def work(held: pd.DataFrame, vectors: np.ndarray, block: pd.DataFrame, matrix: np.ndarray) -> pd.DataFrame:
+    def work(block: pd.DataFrame, matrix: np.ndarray | None) -> Callable:
         asked: dict[str, list[int]] = {}
         for i, words in enumerate(block["keywords"]):
             for w in words:
                 asked.setdefault(w, []).append(i)
-        said, out = np.round(vectors @ matrix.T, 6), []
-        for i, (words, title) in enumerate(zip(held["words"], held["title"], strict=True)):
-            shared = asked.keys() & set(words)
-            if shared:
-                hits = np.bincount(np.concatenate([asked[w] for w in shared]), minlength=len(block))
-                named = [asked[w] for w in shared & set(_words(title))]
-                titled = np.bincount(np.concatenate(named), minlength=len(block)) if named else np.zeros_like(hits)
-                at = np.flatnonzero(hits)
-                out.append((np.full(len(at), i), at, hits[at], titled[at]))
-        d, q, hits, titled = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-        return pd.DataFrame({
-            "item_id": block["item_id"].to_numpy()[q], "doc_id": held["doc_id"].to_numpy()[d], "n": block["keywords"].map(len).to_numpy()[q], "hits": hits, "title_hits": titled, "vector": said[d, q],
-        })
-
-    return _by_blocks(docs, questions, ["doc_id", "text", "title"], work, "item_id long, doc_id long, n long, hits long, title_hits long, vector double")
+        # a keyword is made of the characters of words, so it stands within one word if anywhere
+        terms, askers = Terms(list(asked)), [np.array(x) for x in asked.values()]
+        items, n = block["item_id"].to_numpy(), block["keywords"].map(len).to_numpy()
+
+        def counted(words) -> np.ndarray:
+            held = terms.within(set(words))
+            return np.bincount(np.concatenate([askers[i] for i in held]), minlength=len(items)) if held else np.zeros(len(items), np.int64)
+
+        def apply(held: pd.DataFrame, x: np.ndarray | None) -> pd.DataFrame:
+            hits = np.array([counted(words) for words in held["_words"]], np.int64).reshape(len(held), len(items))
+            titled = np.array([counted(_words(title)) for title in held["title"]], np.int64).reshape(hits.shape)
+            d, q = np.nonzero(hits)
+            out = held[carry].iloc[d].reset_index(drop=True)
+            out = out.assign(item_id=items[q], n=n[q], hits=hits[d, q], title_hits=titled[d, q])
+            return out if x is None else out.assign(vector=np.round(x @ matrix.T, 6)[d, q])
+
+        return apply
+
+    names = ["item_id", "n", "hits", "title_hits"]
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names), *([T.StructField("vector", T.DoubleType())] if vectors else []), *(docs.schema[c] for c in carry)])
+    return _by_blocks(docs, questions, ["text", "title", *carry], work, schema, vectors)
 
 
 def links(vectors: DataFrame, least: float) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import keywords, tokens
+from millrace.functions.text import ENDINGS, STOPWORDS, TOKEN, keywords, lowered
+from millrace.operators.vectors import keyword_matches
 from millrace.plans.registry import Tables
 
 AS_OF_DOCS = "2024-07-01 00:00:00"
@@ -43,7 +44,7 @@ notices AS (SELECT d.doc_id, 'doc:' || d.doc_id AS source_id, substr(text, 1, 60
   l.doc_id IS NOT NULL AS processed, quality, toxic
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
-KEYWORDS = 8
+KEYWORDS = 15
 
 
 def questions(t: Tables) -> DataFrame:
@@ -51,34 +52,31 @@ def questions(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", F.col("text").alias("question"), keywords(F.col("text"), KEYWORDS).alias("keywords"))
 
 
-#: The token class of the text functions, in lower-cased text.
-QUESTIONS = """
-qtok AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[가-힣A-Za-z0-9]+')) AS w FROM benchmark) WHERE length(w) >= 4),
-qkw AS (SELECT item_id, w FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, w) AS r FROM qtok) WHERE r <= 8)"""
+_CUT = "CASE " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) >= {len(e) + 2} THEN left(w, length(w) - {len(e)})" for e in ENDINGS) + " ELSE w END"
+#: The token class of the text functions, in lower-cased text; r is a keyword's turn.
+QUESTIONS = f"""
+qtok AS (SELECT item_id, i, {_CUT} AS w FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '{TOKEN}') AS ws FROM benchmark))),
+qkw AS (SELECT item_id, w, r FROM (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS r FROM qtok
+  WHERE length(w) >= 2 AND w NOT IN ({", ".join(f"'{w}'" for w in STOPWORDS)}) GROUP BY item_id, w) WHERE r <= {KEYWORDS})"""
 
 
-def keyword_hits(t: Tables) -> DataFrame:
-    """(item_id, doc_id, hits, title_hits, n): how many of a question's keywords each document has as tokens.
+def asked(t: Tables) -> DataFrame:
+    """Questions as the search takes them: (item_id, text, keywords), lower-cased."""
+    return questions(t).select("item_id", lowered(F.col("question")).alias("text"), "keywords")
+
 
-    The documents' tokens meet the few keywords before anything is shuffled, so only matches move.
-    """
-    asked = questions(t).select("item_id", F.size("keywords").alias("n"), F.explode("keywords").alias("w"))
-    marked = lambda c, title: F.transform(F.array_distinct(tokens(c)), lambda w: F.struct(w.alias("w"), F.lit(title).alias("title")))
-    # tokens of text and title in one list, so that no row of it has to carry the text
-    said = t.documents.select("doc_id", F.explode(F.concat(marked(F.col("text"), False), marked(F.substring("text", 1, 60), True))).alias("x"))
-    hits = said.select("doc_id", "x.w", "x.title").join(asked, "w").groupBy("item_id", "doc_id", "n").agg(F.count_if(~F.col("title")).alias("hits"), F.count_if("title").alias("title_hits"))
-    # the title may end within a word that is no token of the text
-    return hits.where("hits > 0")
+def keyword_hits(t: Tables) -> DataFrame:
+    """(item_id, doc_id, hits, title_hits, n): how many of a question's keywords each document holds, in text and in title."""
+    docs = t.documents.select("doc_id", lowered(F.col("text")).alias("text"), lowered(F.substring("text", 1, 60)).alias("title"))
+    return keyword_matches(docs, asked(t), ["doc_id"], vectors=False)
 
 
 HITS = (
     QUESTIONS
     + """,
 qn AS (SELECT item_id, count(*) AS n FROM qkw GROUP BY 1),
-dtok AS (SELECT DISTINCT doc_id, first, w FROM (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 60)), '[가-힣A-Za-z0-9]+') AS first,
-  unnest(regexp_extract_all(lower(text), '[가-힣A-Za-z0-9]+')) AS w FROM documents)),
-hits AS (SELECT q.item_id, d.doc_id, n, count(*) AS hits, count(*) FILTER (list_contains(first, d.w)) AS title_hits
-  FROM dtok d JOIN qkw q USING (w) JOIN qn USING (item_id) GROUP BY ALL)"""
+hits AS (SELECT q.item_id, d.doc_id, n, count(*) AS hits, count(*) FILTER (contains(lower(substr(text, 1, 60)), w)) AS title_hits
+  FROM documents d JOIN qkw q ON contains(lower(text), w) JOIN qn USING (item_id) GROUP BY ALL)"""
 )
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.status import freshness
-from millrace.functions.text import lowered, tokens
+from millrace.functions.text import lowered
 from millrace.operators import ranking as R
 from millrace.operators.vectors import keyword_matches
-from millrace.plans.inputs import AS_OF_DOCS, HITS, NOTICES, keyword_hits, notices, questions, stamp
+from millrace.plans.inputs import AS_OF_DOCS, HITS, NOTICES, asked, keyword_hits, notices, stamp
 from millrace.plans.registry import Tables, query
 from millrace.plans.vector_queries import DOC_VECTORS, ITEM_VECTORS
 
@@ -32,12 +32,15 @@ def notice_score(vector: Column) -> Column:
     )
 
 
-def candidates(t: Tables) -> DataFrame:
-    """(item_id, doc_id, hits, vector, score, ...): documents that share a keyword with a question, scored, vectors included."""
-    meta = notices(t).select("doc_id", "source_id", "title", "source_type", "source_priority", "published_at", "quality", "toxic", "lang", "processed")
-    docs = t.documents.select("doc_id", lowered(F.col("text")).alias("text"), lowered(F.substring("text", 1, 60)).alias("title"))
-    asked = questions(t).select("item_id", lowered(F.col("question")).alias("text"), "keywords")
-    return keyword_matches(docs, asked).join(meta, "doc_id").withColumn("score", notice_score(F.col("vector")))
+def candidates(t: Tables, visible: bool = False) -> DataFrame:
+    """(item_id, doc_id, hits, vector, score, ...): documents that share a keyword with a question, scored.
+
+    Everything about a document joins it before the pass over all documents, so pairs are not shuffled.
+    """
+    meta = notices(t).where("processed") if visible else notices(t)
+    carry = ["doc_id", "source_id", "source_type", "source_priority", "published_at", "quality", "toxic", "lang", "processed"]
+    docs = meta.select(*carry, lowered(F.col("content")).alias("text"), lowered(F.col("title")).alias("title"))
+    return keyword_matches(docs, asked(t), carry).withColumn("score", notice_score(F.col("vector")))
 
 
 _SCORE = f"""round({{v}} * 0.18::DOUBLE + hits / greatest(n, 1)::DOUBLE * 0.32::DOUBLE + title_hits / greatest(n, 1)::DOUBLE * 0.30::DOUBLE + CASE WHEN quality = 1 THEN 0.1::DOUBLE ELSE 0 END
@@ -62,7 +65,7 @@ def tier() -> Column:
 
 def placed(t: Tables, limit: int = 1 << 30) -> DataFrame:
     """Visible candidates over the threshold with their place: by tier, then score, priority, date, id."""
-    rows = candidates(t).where(F.col("processed") & (F.col("score") >= R.THRESHOLD))
+    rows = candidates(t, visible=True).where(F.col("score") >= R.THRESHOLD)
     return R.top(rows, "item_id", [tier().desc(), F.desc("score"), F.desc("source_priority"), F.desc("published_at"), F.col("doc_id")], limit)
 
 
@@ -74,17 +77,15 @@ def hybrid_topk(t: Tables):
 
 
 @query(f"""WITH {HITS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
-lt AS (SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[가-힣A-Za-z0-9]+')) AS w FROM l WHERE line <> ''),
-u AS (SELECT item_id, doc_id, line_no, n, count(*) AS k FROM lt JOIN qkw USING (w) JOIN qn USING (item_id) GROUP BY ALL), p AS (SELECT o_orderkey, o_orderdate FROM orders)
+u AS (SELECT item_id, doc_id, line_no, n, count(*) AS k FROM l JOIN qkw ON contains(lower(line), w) JOIN qn USING (item_id) GROUP BY ALL), p AS (SELECT o_orderkey, o_orderdate FROM orders)
 SELECT item_id, doc_id, line_no::INTEGER AS line_no, round(k / n::DOUBLE * 0.25::DOUBLE + CASE WHEN o_orderdate > TIMESTAMP '1998-09-01' THEN 0.1::DOUBLE WHEN o_orderdate IS NULL THEN 0::DOUBLE ELSE -0.1::DOUBLE END + CASE WHEN k = n THEN 0.85::DOUBLE WHEN line_no = 0 THEN 0.2::DOUBLE ELSE 0::DOUBLE END, 5) AS score
 FROM u LEFT JOIN p ON o_orderkey = doc_id""")
 def hybrid_score_unit(t: Tables):
     """Lines as units: coverage, the state of the period with the same key, and a bonus for what is canonical."""
-    asked = questions(t).select("item_id", F.size("keywords").alias("n"), F.explode("keywords").alias("w"))
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
-    said = lines.select("doc_id", "line_no", F.explode(F.array_distinct(tokens(F.col("line")))).alias("w"))
-    u = said.join(asked, "w").groupBy("item_id", "doc_id", "line_no", "n").agg(F.count("*").alias("k"))
-    u = u.join(t.orders.select(F.col("o_orderkey").alias("doc_id"), "o_orderdate"), "doc_id", "left")
+    units = t.documents.select("doc_id", "text").join(t.orders.select(F.col("o_orderkey").alias("doc_id"), "o_orderdate"), "doc_id", "left")
+    lines = units.select("doc_id", "o_orderdate", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
+    rows = lines.select("doc_id", "line_no", "o_orderdate", F.lower("line").alias("text"), F.lit("").alias("title"))
+    u = keyword_matches(rows, asked(t), ["doc_id", "line_no", "o_orderdate"], vectors=False).withColumnRenamed("hits", "k")
     state = F.when(F.col("o_orderdate") > stamp("1998-09-01 00:00:00"), 0.1).when(F.col("o_orderdate").isNull(), 0.0).otherwise(-0.1)
     bonus = F.when(F.col("k") == F.col("n"), 0.85).when(F.col("line_no") == 0, 0.2).otherwise(0.0)
     return u.select("item_id", "doc_id", "line_no", F.round(F.col("k") / F.col("n") * 0.25 + state + bonus, 5).alias("score"))
@@ -114,15 +115,14 @@ def candidate_union(t: Tables):
 
 
 @query(f"""WITH {HITS}, c AS (SELECT doc_id, unnest(range(0, greatest(1, ((length(text) - 180 + 1219) // 1220)))) AS i, text FROM documents),
-k AS (SELECT DISTINCT doc_id, i, unnest(regexp_extract_all(lower(substr(text, i * 1220 + 1, 1400)), '[가-힣A-Za-z0-9]+')) AS w FROM c), s AS (SELECT item_id, doc_id, i, count(*) AS n FROM k JOIN qkw USING (w) GROUP BY ALL)
+s AS (SELECT item_id, doc_id, i, count(*) AS n FROM c JOIN qkw ON contains(lower(substr(text, i * 1220 + 1, 1400)), w) GROUP BY ALL)
 SELECT item_id, doc_id, arg_max(i, (n, -i))::INTEGER AS chunk_index, max(n) AS hits FROM s GROUP BY ALL""")
 def best_chunk_per_doc(t: Tables):
     """The chunk of each candidate with the most keywords; the first one wins a tie."""
     from millrace.operators.chunks import fixed_chunks
 
-    words = fixed_chunks(t.documents).select("doc_id", "chunk_index", F.explode(F.array_distinct(tokens(F.col("chunk")))).alias("w"))
-    asked = questions(t).select("item_id", F.explode("keywords").alias("w"))
-    s = words.join(asked, "w").groupBy("item_id", "doc_id", "chunk_index").agg(F.count("*").alias("n"))
+    rows = fixed_chunks(t.documents).select("doc_id", "chunk_index", F.lower("chunk").alias("text"), F.lit("").alias("title"))
+    s = keyword_matches(rows, asked(t), ["doc_id", "chunk_index"], vectors=False).withColumnRenamed("hits", "n_hits").drop("n").withColumnRenamed("n_hits", "n")
     return s.groupBy("item_id", "doc_id").agg(F.max_by("chunk_index", F.struct("n", (-F.col("chunk_index")).alias("i"))).alias("chunk_index"), F.max("n").alias("hits"))
 
 

@@ -61,7 +61,7 @@ def scope_route(t: Tables):
 _PLAN_TASK = f"""{_ALIASES}, qt AS (SELECT item_id, arg_max(key, (length(a), -o)) AS task FROM benchmark JOIN aliases ON contains(lower(text), a) GROUP BY 1)"""
 
 
-@query(f"""WITH {QUESTIONS}, {_PLAN_TASK}, k AS (SELECT item_id, string_agg(w, ' ' ORDER BY length(w) DESC, w) AS keywords, count(*) AS n FROM qkw GROUP BY 1)
+@query(f"""WITH {QUESTIONS}, {_PLAN_TASK}, k AS (SELECT item_id, string_agg(w, ' ' ORDER BY r) AS keywords, count(*) AS n FROM qkw GROUP BY 1)
 SELECT item_id, coalesce(keywords, '') AS keywords, task, coalesce(n, 0) < 4 AS needs_clarification, CASE WHEN task IS NOT NULL AND n >= 4 THEN 0.9::DOUBLE WHEN task IS NOT NULL THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM benchmark LEFT JOIN k USING (item_id) LEFT JOIN qt USING (item_id)""")
 def query_plan(t: Tables):
     """A question's plan: keywords, task, whether it must be clarified, confidence."""

@@ -207,7 +207,7 @@ def excerpt_window(t: Tables):
     return rows.select("item_id", "doc_id", F.when(F.length("text") <= 240, F.col("text")).when(top.isNull(), F.substring("text", 1, 240)).otherwise(window).alias("excerpt"))
 
 
-@query(f"""WITH {QUESTIONS} SELECT item_id, string_agg(w, ' ' ORDER BY length(w) DESC, w) AS keywords FROM qkw GROUP BY 1""")
+@query(f"""WITH {QUESTIONS} SELECT item_id, string_agg(w, ' ' ORDER BY r) AS keywords FROM qkw GROUP BY 1""")
 def query_keywords(t: Tables):
     return questions(t).where(F.size("keywords") > 0).select("item_id", F.array_join("keywords", " ").alias("keywords"))
 

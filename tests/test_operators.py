@@ -26,8 +26,20 @@ def test_repeated_lines_compare_with_the_line_kept_before(spark):
     assert one(spark, X.drop_repeated_lines, "a\n\n a \nb\na\n\t\na") == "a\nb\na"
 
 
-def test_keywords_are_longest_first(spark):
-    assert one(spark, lambda c: X.keywords(c, 3), "the Longest wording words; words abcd abce") == ["longest", "wording", "words"]
+def test_keywords_in_order_without_endings_and_stop_words(spark):
+    assert one(spark, lambda c: X.keywords(c, 4), "a The Longest wording the words; words abcd") == ["the", "longest", "wording", "words"]
+    # an ending has to leave two characters; the first one of the list that does is cut
+    assert one(spark, X.keywords, "수강신청은 언제 하나요 학교에서는 나는 2024학년도") == ["수강신청", "하나", "학교", "나는", "2024학년"]
+    assert one(spark, X.keywords, "") == []
+    assert len(one(spark, X.keywords, " ".join(f"w{i}" for i in range(40)))) == 15
+
+
+def test_keyword_matches_within_longer_words(spark):
+    docs = spark.createDataFrame([(1, "reapplications close", "close"), (2, "apply", ""), (3, "", ""), (4, "app" * 300_000, "")], "doc_id long, text string, title string")
+    questions = spark.createDataFrame([(7, "x", ["applic", "close"]), (8, "y", ["app"]), (9, "z", [])], "item_id long, text string, keywords array<string>")
+    got = {(r["item_id"], r["doc_id"]): (r["n"], r["hits"], r["title_hits"]) for r in vectors.keyword_matches(docs, questions, ["doc_id"], vectors=False).collect()}
+    assert got == {(7, 1): (2, 2, 1), (8, 1): (1, 1, 0), (8, 2): (1, 1, 0), (8, 4): (1, 1, 0)}
+    assert vectors.keyword_matches(docs, questions.where("item_id = 9"), ["doc_id"]).count() == 0
 
 
 def test_markup(spark):
@@ -247,5 +259,5 @@ def test_lexical_search_against_a_slow_one(spark):
     questions = spark.createDataFrame(asked, "item_id long, text string, keywords array<string>")
     want = {(q, d) for q, _, _ in asked for d in sorted((d for d in range(len(texts)) if dot[q, d] > 0), key=lambda d: (-dot[q, d], d))[:2]}
     assert {(r["item_id"], r["doc_id"]) for r in V.lexical_top(docs, questions, 2).collect()} == want
-    got = {(r["item_id"], r["doc_id"]): (r["n"], r["hits"], r["title_hits"], r["vector"]) for r in V.keyword_matches(docs, questions).collect()}
+    got = {(r["item_id"], r["doc_id"]): (r["n"], r["hits"], r["title_hits"], r["vector"]) for r in V.keyword_matches(docs, questions, ["doc_id"]).collect()}
     assert got == {(0, 0): (2, 1, 0, dot[0, 0]), (0, 1): (2, 2, 0, dot[0, 1]), (0, 3): (2, 1, 1, dot[0, 3]), (1, 5): (1, 1, 0, dot[1, 5])}

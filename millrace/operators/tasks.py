@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.gates import holds
+
 #: A rule dimension: key, parent, order, aliases, groups of which one term each is required, excluded title terms.
 RULES = (
     ("license.use", "license", 0, ("licensed under", "released under"), (("license", "licence", "cc by"),), ("draft",)),
@@ -33,27 +35,40 @@ def multiple(text: Column, marker: Column, rules=RULES) -> Column:
     return F.when((F.size(keys) > 1) & ~marker, F.array(primary(text, rules))).otherwise(keys)
 
 
-def eligibility(task: Column, title: Column, text: Column, rules=RULES) -> tuple[Column, Column]:
-    """(bonus, reason) of a document for a task: excluded title, missing group, else own task, own parent, other."""
-    held = primary(text, rules)
+def bar(title: Column, text: Column, rule: tuple) -> Column:
+    """Why a rule's task does not take a document: excluded_title or missing_terms, else null."""
+    _, _, _, _, groups, excluded = rule
+    complete = F.lit(True)
+    for group in groups:
+        complete = complete & holds(text, group)
+    return F.when(holds(title, excluded), "excluded_title").when(~complete, "missing_terms")
+
+
+def bars(title: Column, text: Column, rules=RULES) -> Column:
+    """string: for each rule, in order, one character that says whether its task takes the document: o, or e and m by bar()."""
+    return F.concat(*(F.coalesce(F.substring(bar(title, text, r), 1, 1), F.lit("o")) for r in rules))
+
+
+def judged(task: Column, held: Column, barred: Column, rules=RULES) -> tuple[Column, Column]:
+    """(bonus, reason) for a task of a document that holds the task ``held`` and has these bars(); 0 and no_task for an unknown task."""
     bonus, reason = F.lit(0.0), F.lit("no_task")
-    for key, parent, _, _, groups, excluded in rules:
-        barred = F.lit(False)
-        for term in excluded:
-            barred = barred | title.contains(term)
-        complete = F.lit(True)
-        for group in groups:
-            some = F.lit(False)
-            for term in group:
-                some = some | text.contains(term)
-            complete = complete & some
-        own, near = held == key, F.coalesce(held, F.lit("")).startswith(f"{parent}.")
-        value = F.when(barred | ~complete, 0.0).when(own, 0.45).when(near, 0.35).otherwise(0.12)
-        why = F.when(barred, "excluded_title").when(~complete, "missing_terms").when(own, "task").when(near, "parent").otherwise("terms")
+    for i, (key, parent, *_) in enumerate(rules):
+        at, own, near = F.substring(barred, i + 1, 1), held == key, F.coalesce(held, F.lit("")).startswith(f"{parent}.")
+        value = F.when(at != "o", 0.0).when(own, 0.45).when(near, 0.35).otherwise(0.12)
+        why = F.when(at == "e", "excluded_title").when(at == "m", "missing_terms").when(own, "task").when(near, "parent").otherwise("terms")
         bonus, reason = F.when(task == key, value).otherwise(bonus), F.when(task == key, why).otherwise(reason)
     return bonus, reason
 
 
+def eligibility(task: Column, title: Column, text: Column, rules=RULES) -> tuple[Column, Column]:
+    """(bonus, reason) of a document for a task: excluded title, missing group, else own task, own parent, other."""
+    return judged(task, primary(text, rules), bars(title, text, rules), rules)
+
+
+def parent_of(task: Column, rules=RULES) -> Column:
+    return F.coalesce(*(F.when(task == key, F.lit(parent)) for key, parent, *_ in rules))
+
+
 def rule_keys() -> Column:
     return F.array(*(F.lit(r[0]) for r in RULES))
 

@@ -122,6 +122,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int | None, least: float =
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def spread(row: np.ndarray, group: np.ndarray, size: np.ndarray, flat: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """A matrix of counts: each (row, group) adds 1 at every column of the group, size[g] numbers in flat, group after group."""
+    n = size[group]
+    start = np.cumsum(size) - size
+    at = np.repeat(start[group] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.bincount(np.repeat(row, n) * columns + flat[at], minlength=rows * columns).reshape(rows, columns)
+
+
 class Places:
     """The places of words' features in lexical vectors, worked out once for each word that a worker meets."""
 
@@ -155,10 +163,7 @@ class Places:
         self._learn(set(words).difference(self.index))
         row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         word = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        n = self.size[word]
-        start = np.cumsum(self.size) - self.size
-        at = np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out = np.bincount(np.repeat(row, n) * self.dim + self.flat[at], minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(float)
+        out = spread(row, word, self.size, self.flat, len(texts), self.dim).astype(float)
         return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
 
 
@@ -248,16 +253,18 @@ def keyword_matches(docs: DataFrame, questions: DataFrame, carry: list[str], vec
             for w in words:
                 asked.setdefault(w, []).append(i)
         # a keyword is made of the characters of words, so it stands within one word if anywhere
-        terms, askers = Terms(list(asked)), [np.array(x) for x in asked.values()]
-        items, n = block["item_id"].to_numpy(), block["keywords"].map(len).to_numpy()
+        terms, items, n = Terms(list(asked)), block["item_id"].to_numpy(), block["keywords"].map(len).to_numpy()
+        size = np.fromiter(map(len, asked.values()), np.int64, len(asked))
+        flat = np.fromiter(chain.from_iterable(asked.values()), np.int64)
 
-        def counted(words) -> np.ndarray:
-            held = terms.within(set(words))
-            return np.bincount(np.concatenate([askers[i] for i in held]), minlength=len(items)) if held else np.zeros(len(items), np.int64)
+        def counted(texts: list) -> np.ndarray:
+            """How many keywords of each question (columns) the texts (rows) hold."""
+            held = [terms.within(set(words)) for words in texts]
+            row = np.repeat(np.arange(len(texts)), [len(h) for h in held])
+            return spread(row, np.fromiter(chain.from_iterable(held), np.int64), size, flat, len(texts), len(items))
 
         def apply(held: pd.DataFrame, x: np.ndarray | None) -> pd.DataFrame:
-            hits = np.array([counted(words) for words in held["_words"]], np.int64).reshape(len(held), len(items))
-            titled = np.array([counted(_words(title)) for title in held["title"]], np.int64).reshape(hits.shape)
+            hits, titled = counted(held["_words"].tolist()), counted(held["title"].map(_words).tolist())
             d, q = np.nonzero(hits)
             out = held[carry].iloc[d].reset_index(drop=True)
             out = out.assign(item_id=items[q], n=n[q], hits=hits[d, q], title_hits=titled[d, q])
@@ -267,7 +274,7 @@ def keyword_matches(docs: DataFrame, questions: DataFrame, carry: list[str], vec
 
     names = ["item_id", "n", "hits", "title_hits"]
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names), *([T.StructField("vector", T.DoubleType())] if vectors else []), *(docs.schema[c] for c in carry)])
-    return _by_blocks(docs, questions, ["text", "title", *carry], work, schema, vectors)
+    return _by_blocks(docs, questions, list(dict.fromkeys(["text", "title", *carry])), work, schema, vectors)
 
 
 def links(vectors: DataFrame, least: float) -> DataFrame:

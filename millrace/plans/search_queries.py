@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.status import freshness
+from millrace.functions.status import freshness, period_status
 from millrace.functions.text import lowered
+from millrace.operators import gates as G
 from millrace.operators import ranking as R
+from millrace.operators import tasks as K
 from millrace.operators.vectors import keyword_matches
-from millrace.plans.inputs import AS_OF_DOCS, HITS, NOTICES, asked, keyword_hits, notices, stamp
+from millrace.plans.inputs import AS_OF_DOCS, HITS, NOTICES, asked, keyword_hits, notices, questions, stamp
 from millrace.plans.registry import Tables, query
+from millrace.plans.task_queries import ASKED_TASK, DETECT, ELIGIBLE
 from millrace.plans.vector_queries import DOC_VECTORS, ITEM_VECTORS
 
 
@@ -21,34 +24,92 @@ def keyword_coverage(t: Tables):
     return keyword_hits(t).select("item_id", "doc_id", F.round(F.least(F.col("hits") / n, F.lit(1.0)), 6).alias("coverage"), F.round(F.least(F.col("title_hits") / n, F.lit(1.0)), 6).alias("title_coverage"))
 
 
-def notice_score(vector: Column) -> Column:
+# The rules of this collection: groups of readers, what makes a text general, what questions ask, which sources serve
+# what, guides, and tasks whose questions name something.
+READERS = (("erbe", ("erbe",)), ("mente", ("mente",)), ("shha", ("shha", "enchè")))
+GENERAL = ("general", "version")
+ASKS = {"contact": ("hand",), "procedure": ("ionth", "stly"), "current": ("heron", "tion")}
+SOURCES = (("src0", "needs", "contact"), ("src1", "bars", "procedure"))
+GUIDES = ("src5", "src7")
+NAMED_TASKS, COMMON = ("text.german", "license.use"), ("der", "die", "und", "the", "of")
+OPEN_DAYS = 90
+
+
+def notice_score(bonus: Column) -> Column:
     """The weighted sum of a candidate's parts, rounded to 5 digits."""
     n = F.greatest("n", F.lit(1))
     source = F.least(F.greatest(F.col("source_priority"), F.lit(0)), F.lit(120)) / F.lit(120.0) * 0.2
-    quality = F.when(F.col("quality") == 1, 0.1).otherwise(0.0)
-    special = F.when(F.col("toxic") == 1, 0.18).otherwise(0.0)
+    category = F.when(F.col("category") == F.col("asks_category"), G.SAME_CATEGORY).otherwise(0.0)
+    fresh = F.when(F.col("current"), freshness(F.col("published_at"), stamp(AS_OF_DOCS))).otherwise(0.0)
+    guide = F.when(F.col("procedure") & F.col("source_type").isin(*GUIDES), G.GUIDE).otherwise(0.0)
+    special = F.bit_count(G.unasked(F.col("title_readers"), F.col("asks_readers"))) * F.lit(G.SPECIAL)
     return F.round(
-        vector * 0.18 + F.col("hits") / n * 0.32 + F.col("title_hits") / n * 0.30 + quality + freshness(F.col("published_at"), stamp(AS_OF_DOCS)) + source - special, 5
+        F.col("vector") * 0.18 + F.col("hits") / n * 0.32 + F.col("title_hits") / n * 0.30 + category + G.status_score(F.col("status"), F.col("current")) + fresh + source + guide + bonus - special, 5
     )
 
 
+def asks(t: Tables) -> DataFrame:
+    """What is to be known of each question beside its words, a row each."""
+    low = F.lower("question")
+    flags = [G.holds(low, terms).alias(name) for name, terms in ASKS.items()]
+    task = K.primary(low)
+    named = F.when(task.isin(*NAMED_TASKS), G.identity_terms(F.col("keywords"), COMMON)).otherwise(F.array().cast("array<string>"))
+    return questions(t).select("item_id", task.alias("asks_task"), K.parent_of(task).alias("asks_category"), G.group_bits(low, READERS).alias("asks_readers"), named.alias("named"), *flags)
+
+
 def candidates(t: Tables, visible: bool = False) -> DataFrame:
-    """(item_id, doc_id, hits, vector, score, ...): documents that share a keyword with a question, scored.
+    """(item_id, doc_id, hits, vector, score, gate, ...): documents that share a keyword with a question, scored.
 
-    Everything about a document joins it before the pass over all documents, so pairs are not shuffled.
+    gate is the first rule that shuts the candidate out, else null.  Everything about a document joins it before the
+    pass over all documents, and what is known of questions is joined by its size, so pairs are not shuffled.
     """
     meta = notices(t).where("processed") if visible else notices(t)
-    carry = ["doc_id", "source_id", "source_type", "source_priority", "published_at", "quality", "toxic", "lang", "processed"]
-    docs = meta.select(*carry, lowered(F.col("content")).alias("text"), lowered(F.col("title")).alias("title"))
-    return keyword_matches(docs, asked(t), carry).withColumn("score", notice_score(F.col("vector")))
-
-
-_SCORE = f"""round({{v}} * 0.18::DOUBLE + hits / greatest(n, 1)::DOUBLE * 0.32::DOUBLE + title_hits / greatest(n, 1)::DOUBLE * 0.30::DOUBLE + CASE WHEN quality = 1 THEN 0.1::DOUBLE ELSE 0 END
-  + greatest(0::DOUBLE, 1 - date_diff('day', published_at, TIMESTAMP '{AS_OF_DOCS}') / 365::DOUBLE) * 0.12::DOUBLE + least(greatest(source_priority, 0), 120) / 120::DOUBLE * 0.2::DOUBLE - CASE WHEN toxic = 1 THEN 0.18::DOUBLE ELSE 0 END, 5)"""
-CAND = f"""{HITS}, {NOTICES}, {ITEM_VECTORS}, {DOC_VECTORS}, dots AS (SELECT item_id, doc_id, round(sum(d.weight * q.weight), 6) AS vector FROM dv d JOIN qv q USING (idx) GROUP BY ALL),
-cand AS (SELECT *, {_SCORE.format(v='coalesce(vector, 0)')} AS score FROM hits JOIN notices USING (doc_id) LEFT JOIN dots USING (item_id, doc_id))"""
+    carry = ["doc_id", "source_id", "source_type", "source_priority", "published_at", "quality", "lang", "processed"]
+    low, title = lowered(F.col("content")), lowered(F.col("title"))
+    until = F.timestamp_add("DAY", F.lit(OPEN_DAYS), F.col("published_at"))
+    held = K.primary(low)
+    told = {
+        "status": period_status(F.col("published_at"), until, stamp(AS_OF_DOCS)), "task": held, "category": K.parent_of(held), "barred": K.bars(title, low),
+        "readers": G.group_bits(low, READERS), "title_readers": G.group_bits(title, READERS), "general": G.holds(low, GENERAL),
+    }
+    docs = meta.select(*carry, low.alias("text"), title.alias("title"), *(c.alias(name) for name, c in told.items()))
+    pairs = keyword_matches(docs, asked(t), [*carry, "title", *told]).join(asks(t), "item_id")
+    bonus, reason = K.judged(F.col("asks_task"), F.col("task"), F.col("barred"))
+    gate = G.first_reason([
+        ("source_type", G.source_rejected(F.col("source_type"), {a: F.col(a) for a in ASKS}, SOURCES)),
+        ("special_group", G.scope_rejected(F.col("readers"), F.col("title_readers"), F.col("asks_readers"), F.col("general"))),
+        ("identity", G.identity_missed(F.col("named"), F.col("title"))),
+        ("task", F.col("asks_task").isNotNull() & reason.isin("excluded_title", "missing_terms")),
+    ])
+    return pairs.withColumn("gate", gate).withColumn("score", notice_score(bonus))
+
+
+def _any(text: str, terms) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{x}')" for x in terms) + ")"
+
+
+_ASKS = ", ".join(f"{_any('lower(text)', terms)} AS {name}" for name, terms in ASKS.items())
+_SCOPE = " OR ".join(f"(NOT {_any('q', x)} AND ({_any('lower(title)', x)} OR ({_any('lower(content)', x)} AND NOT {_any('lower(content)', GENERAL)})))" for _, x in READERS)
+_SPECIAL = " + ".join(f"(CASE WHEN {_any('lower(title)', x)} AND NOT {_any('q', x)} THEN 1 ELSE 0 END)" for _, x in READERS)
+_SOURCE = " OR ".join(f"(source_type = '{s}' AND {'NOT ' if kind == 'needs' else ''}{ask})" for s, kind, ask in SOURCES)
+_IN = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
+_SCORE = f"""round(vector * 0.18::DOUBLE + hits / greatest(n, 1)::DOUBLE * 0.32::DOUBLE + title_hits / greatest(n, 1)::DOUBLE * 0.30::DOUBLE + CASE WHEN category = asks_category THEN 0.25::DOUBLE ELSE 0 END
+  + (CASE status WHEN 'active' THEN 0.15::DOUBLE WHEN 'upcoming' THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN current AND status = 'expired' THEN 0.3::DOUBLE ELSE 0 END)
+  + CASE WHEN current THEN greatest(0::DOUBLE, 1 - date_diff('day', published_at, TIMESTAMP '{AS_OF_DOCS}') / 365::DOUBLE) * 0.12::DOUBLE ELSE 0 END + least(greatest(source_priority, 0), 120) / 120::DOUBLE * 0.2::DOUBLE
+  + CASE WHEN procedure AND source_type IN {_IN(GUIDES)} THEN 0.2::DOUBLE ELSE 0 END + CASE reason WHEN 'task' THEN 0.45::DOUBLE WHEN 'parent' THEN 0.35::DOUBLE WHEN 'terms' THEN 0.12::DOUBLE ELSE 0 END - ({_SPECIAL}) * 0.18::DOUBLE, 5)"""
+_GATE = f"""CASE WHEN {_SOURCE} THEN 'source_type' WHEN {_SCOPE} THEN 'special_group'
+  WHEN asks_task IN {_IN(NAMED_TASKS)} AND len(named) > 0 AND len(list_filter(named, lambda x: contains(regexp_replace(lower(title), '[^0-9a-z가-힣]+', '', 'g'), x))) = 0 THEN 'identity'
+  WHEN reason IN ('excluded_title', 'missing_terms') THEN 'task' END"""
+CAND = f"""{HITS}, {NOTICES}, {ITEM_VECTORS}, {DOC_VECTORS}, dots AS (SELECT item_id, doc_id, round(sum(d.weight * q.weight), 6) AS vector FROM dv d JOIN qv q USING (idx) GROUP BY ALL), {DETECT}, {ELIGIBLE}, {ASKED_TASK},
+qa AS (SELECT item_id, lower(text) AS q, qt.task AS asks_task, rules.parent AS asks_category, {_ASKS} FROM benchmark LEFT JOIN qt USING (item_id) LEFT JOIN rules ON rules.key = qt.task),
+qi AS (SELECT item_id, list(DISTINCT w) AS named FROM (SELECT item_id, regexp_replace(w, '[^0-9a-z가-힣]+', '', 'g') AS w FROM qkw) WHERE length(w) >= 2 AND w NOT IN {_IN(COMMON)} AND NOT regexp_matches(w, '^20[0-9][0-9]$') GROUP BY 1),
+pairs AS (SELECT h.item_id, h.doc_id, n, hits, title_hits, coalesce(vector, 0) AS vector, x.* EXCLUDE (doc_id), qa.* EXCLUDE (item_id), coalesce(named, []) AS named, rules.parent AS category, r.reason,
+  CASE WHEN published_at > TIMESTAMP '{AS_OF_DOCS}' THEN 'upcoming' WHEN published_at + to_days({OPEN_DAYS}) < TIMESTAMP '{AS_OF_DOCS}' THEN 'expired' ELSE 'active' END AS status
+  FROM hits h JOIN notices x ON x.doc_id = h.doc_id JOIN qa ON qa.item_id = h.item_id LEFT JOIN qi ON qi.item_id = h.item_id LEFT JOIN dots ON dots.item_id = h.item_id AND dots.doc_id = h.doc_id
+  LEFT JOIN first ON first.doc_id = h.doc_id LEFT JOIN rules ON rules.key = first.task LEFT JOIN r ON r.doc_id = h.doc_id AND r.asked = qa.asks_task),
+cand AS (SELECT *, {_SCORE} AS score, {_GATE} AS gate FROM pairs)"""
 TIER = "CASE WHEN title_hits = n THEN 4 WHEN title_hits * 2 >= n THEN 3 WHEN hits = n THEN 2 WHEN title_hits > 0 THEN 1 ELSE 0 END"
-PLACED = CAND + f", placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {TIER} DESC, score DESC, source_priority DESC, published_at DESC, doc_id) AS place FROM cand WHERE processed AND score >= 0.34)"
+PLACED = CAND + f", placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {TIER} DESC, score DESC, source_priority DESC, published_at DESC, doc_id) AS place FROM cand WHERE processed AND gate IS NULL AND score >= 0.34)"
 
 
 @query(f"WITH {CAND} SELECT item_id, doc_id, score FROM cand")
@@ -65,7 +126,7 @@ def tier() -> Column:
 
 def placed(t: Tables, limit: int = 1 << 30) -> DataFrame:
     """Visible candidates over the threshold with their place: by tier, then score, priority, date, id."""
-    rows = candidates(t, visible=True).where(F.col("score") >= R.THRESHOLD)
+    rows = candidates(t, visible=True).where(F.col("gate").isNull() & (F.col("score") >= R.THRESHOLD))
     return R.top(rows, "item_id", [tier().desc(), F.desc("score"), F.desc("source_priority"), F.desc("published_at"), F.col("doc_id")], limit)
 
 
@@ -91,13 +152,13 @@ def hybrid_score_unit(t: Tables):
     return u.select("item_id", "doc_id", "line_no", F.round(F.col("k") / F.col("n") * 0.25 + state + bonus, 5).alias("score"))
 
 
-_WHY = "CASE WHEN NOT processed THEN 'not_processed' WHEN toxic = 1 THEN 'special_group' WHEN quality = 0 THEN 'low_quality' WHEN score < 0.34 THEN 'below_threshold' END"
+_WHY = "CASE WHEN NOT processed THEN 'not_processed' WHEN gate IS NOT NULL THEN gate WHEN score < 0.34 THEN 'below_threshold' END"
 
 
 @query(f"WITH {CAND} SELECT item_id, doc_id, score, {_WHY} AS exclusion_reason, {_WHY} IS NULL AS selected FROM cand")
 def exclusion_trace(t: Tables):
     """One row a candidate: its score and the first reason that shuts it out."""
-    why = F.when(~F.col("processed"), "not_processed").when(F.col("toxic") == 1, "special_group").when(F.col("quality") == 0, "low_quality").when(F.col("score") < R.THRESHOLD, "below_threshold")
+    why = F.when(~F.col("processed"), "not_processed").when(F.col("gate").isNotNull(), F.col("gate")).when(F.col("score") < R.THRESHOLD, "below_threshold")
     return candidates(t).select("item_id", "doc_id", "score", why.alias("exclusion_reason"), why.isNull().alias("selected"))
 
 

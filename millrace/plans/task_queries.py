@@ -36,12 +36,15 @@ def _eligible_sql() -> str:
         barred = " OR ".join(f"contains(title, '{x}')" for x in excluded) or "false"
         complete = " AND ".join("(" + " OR ".join(f"contains(low, '{x}')" for x in g) + ")" for g in groups) or "true"
         cases["reason"].append(f"WHEN key = '{k}' AND ({barred}) THEN 'excluded_title' WHEN key = '{k}' AND NOT ({complete}) THEN 'missing_terms' WHEN key = '{k}' AND task = '{k}' THEN 'task' WHEN key = '{k}' AND task LIKE '{p}.%' THEN 'parent' WHEN key = '{k}' THEN 'terms'")
-    return f"""WITH {DETECT}, d AS (SELECT d.doc_id, lower(text) AS low, lower(substr(text, 1, 60)) AS title, task FROM documents d LEFT JOIN first USING (doc_id)),
-r AS (SELECT doc_id, key AS asked, CASE {' '.join(cases['reason'])} ELSE 'no_task' END AS reason FROM d CROSS JOIN rules)
-SELECT doc_id, asked, reason, CASE reason WHEN 'task' THEN 0.45::DOUBLE WHEN 'parent' THEN 0.35::DOUBLE WHEN 'terms' THEN 0.12::DOUBLE ELSE 0::DOUBLE END AS bonus FROM r"""
+    return f"""d AS (SELECT d.doc_id, lower(text) AS low, lower(substr(text, 1, 60)) AS title, task FROM documents d LEFT JOIN first USING (doc_id)),
+r AS (SELECT doc_id, key AS asked, CASE {' '.join(cases['reason'])} ELSE 'no_task' END AS reason FROM d CROSS JOIN rules)"""
 
 
-@query(_eligible_sql())
+ELIGIBLE = _eligible_sql()
+
+
+@query(f"""WITH {DETECT}, {ELIGIBLE}
+SELECT doc_id, asked, reason, CASE reason WHEN 'task' THEN 0.45::DOUBLE WHEN 'parent' THEN 0.35::DOUBLE WHEN 'terms' THEN 0.12::DOUBLE ELSE 0::DOUBLE END AS bonus FROM r""")
 def task_eligibility(t: Tables):
     """Every document against every task of the rule table: bonus and reason."""
     low = t.documents.select("doc_id", F.lower("text").alias("low"), F.lower(F.substring("text", 1, 60)).alias("title"), F.explode(K.rule_keys()).alias("asked"))
@@ -58,10 +61,11 @@ def scope_route(t: Tables):
     return said.select("conv_id", "turn", F.when(contact, "in_scope").when(short, "out_of_scope").when(common, "search_first").otherwise("in_scope").alias("scope"), F.when(contact, 0.95).when(short, 0.8).when(common, 0.6).otherwise(0.5).alias("confidence"))
 
 
-_PLAN_TASK = f"""{_ALIASES}, qt AS (SELECT item_id, arg_max(key, (length(a), -o)) AS task FROM benchmark JOIN aliases ON contains(lower(text), a) GROUP BY 1)"""
+#: The tasks of questions, after aliases.
+ASKED_TASK = """qt AS (SELECT item_id, arg_max(key, (length(a), -o)) AS task FROM benchmark JOIN aliases ON contains(lower(text), a) GROUP BY 1)"""
 
 
-@query(f"""WITH {QUESTIONS}, {_PLAN_TASK}, k AS (SELECT item_id, string_agg(w, ' ' ORDER BY r) AS keywords, count(*) AS n FROM qkw GROUP BY 1)
+@query(f"""WITH {QUESTIONS}, {_ALIASES}, {ASKED_TASK}, k AS (SELECT item_id, string_agg(w, ' ' ORDER BY r) AS keywords, count(*) AS n FROM qkw GROUP BY 1)
 SELECT item_id, coalesce(keywords, '') AS keywords, task, coalesce(n, 0) < 4 AS needs_clarification, CASE WHEN task IS NOT NULL AND n >= 4 THEN 0.9::DOUBLE WHEN task IS NOT NULL THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM benchmark LEFT JOIN k USING (item_id) LEFT JOIN qt USING (item_id)""")
 def query_plan(t: Tables):
     """A question's plan: keywords, task, whether it must be clarified, confidence."""

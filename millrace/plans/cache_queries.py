@@ -136,7 +136,7 @@ def _stream(t: Tables):
 def stream_session_carry(t: Tables):
     """session_carry as state of a stream."""
     S.with_rocksdb(t.spark)
-    return S.drain(turns(_stream(t)).groupBy("session").transformWithStateInPandas(S.SessionCarry(SESSION_HOURS * 3600.0), S.CARRIED, "append", "None"), "session-carry")
+    return S.drain(turns(_stream(t)).groupBy("session").transformWithStateInPandas(S.SessionCarry(SESSION_HOURS * 3600.0), S.CARRIED, "append", "ProcessingTime"), "session-carry", idle=False)
 
 
 @query(f"""WITH RECURSIVE {REQUESTS}, miss AS (SELECT question, min(ts) AS ts FROM requests GROUP BY 1 UNION ALL
@@ -145,7 +145,21 @@ SELECT event_id, CASE WHEN m.ts IS NULL THEN 'hit' ELSE 'miss' END AS outcome FR
 def stream_cache_replay(t: Tables):
     """cache_replay as state of a stream."""
     S.with_rocksdb(t.spark)
-    return S.drain(_stream(t).select("question", "ts", "event_id").groupBy("question").transformWithStateInPandas(S.CacheReplay(TTL_HOURS * 3600.0), "event_id long, outcome string", "append", "None"), "cache-replay")
+    return S.drain(_stream(t).select("question", "ts", "event_id").groupBy("question").transformWithStateInPandas(S.CacheReplay(TTL_HOURS * 3600.0), "event_id long, outcome string", "append", "ProcessingTime"), "cache-replay", idle=False)
+
+
+#: Hours for which the cache keeps that there was no answer.
+NEGATIVE_HOURS = 1
+
+
+@query(f"""WITH RECURSIVE {REQUESTS}, keep AS (SELECT *, CASE WHEN event_type = 'error' THEN INTERVAL {NEGATIVE_HOURS} HOUR ELSE INTERVAL {TTL_HOURS} HOUR END AS life FROM requests),
+miss AS (SELECT question, life, min(ts) AS ts FROM keep GROUP BY ALL UNION ALL SELECT m.question, m.life, (SELECT min(r.ts) FROM keep r WHERE r.question = m.question AND r.ts >= m.ts + m.life) FROM miss m WHERE m.ts IS NOT NULL)
+SELECT event_id, CASE WHEN m.ts IS NULL THEN 'hit' ELSE 'miss' END AS outcome FROM requests r LEFT JOIN (SELECT * FROM miss WHERE ts IS NOT NULL) m ON r.question = m.question AND r.ts = m.ts""")
+def stream_negative_cache(t: Tables):
+    """The cache as state of a stream, in which what was not found (errors) is kept for a shorter time."""
+    S.with_rocksdb(t.spark)
+    rows = _stream(t).select("question", "ts", "event_id", (F.col("event_type") != "error").alias("found"))
+    return S.drain(rows.groupBy("question").transformWithStateInPandas(S.CacheReplay(TTL_HOURS * 3600.0, NEGATIVE_HOURS * 3600.0), "event_id long, outcome string", "append", "ProcessingTime"), "negative-cache", idle=False)
 
 
 @query(f"""WITH {REQUESTS}, l AS (SELECT session, ts, lag(ts) OVER (PARTITION BY session ORDER BY ts) AS before FROM requests), i AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL {SESSION_HOURS} HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts) AS island FROM l)

@@ -255,6 +255,44 @@ def verify_evidence(t: Tables):
     return proposals(t).join(grounded(t), "item_id", "left").select("item_id", verdict.alias("verdict"))
 
 
+# What is proposed beside the quote, from the id; both engines read these expressions.
+_PROPOSED = {
+    "url": "CASE WHEN item_id % 9 = 1 THEN 'https://example.org.other.net/a' WHEN item_id % 9 = 2 THEN 'none' ELSE 'https://www.example.org/a' END",
+    "title": "CASE WHEN item_id % 11 = 3 THEN 'another title' ELSE substr(text, 1, 60) END",
+    "value": "CASE WHEN item_id % 7 = 5 THEN 'a7 costs 12,5' ELSE 'v2' END",
+    "answer": "CASE WHEN item_id % 8 = 4 THEN 'room 1001' WHEN item_id % 4 = 2 THEN 'please run curl' ELSE 'yes' END",
+    "delivered": "CASE WHEN item_id % 10 = 6 THEN 'period' ELSE 'period,place' END",
+    "academic_year": "CASE WHEN item_id % 12 = 7 THEN '2031' END",
+    "admission_year": "CASE WHEN item_id % 13 = 8 THEN '2032' END",
+    "semester": "CASE WHEN item_id % 14 = 9 THEN 'term 3' END",
+    "college": "CASE WHEN item_id % 15 = 10 THEN 'no college' END",
+    "department": "CASE WHEN item_id % 6 = 5 THEN 'no department' END",
+}
+_SQUEEZED = "trim(regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+_NUMBERS = "regexp_extract_all(regexp_replace({}, '[A-Za-z][0-9]', ' ', 'g'), '[0-9]+([.,][0-9]+)?')"
+
+
+@query(f"""WITH {PROPOSED}, x AS (SELECT p.item_id, quote, confidence, text, {", ".join(f"{e.replace('item_id', 'p.item_id')} AS {k}" for k, e in _PROPOSED.items())}
+  FROM proposals p LEFT JOIN grounded g ON g.item_id = p.item_id LEFT JOIN documents d ON d.doc_id = g.doc_id),
+y AS (SELECT *, {_NUMBERS.format("quote")} AS known, {_SQUEEZED.format("text")} AS body FROM x)
+SELECT item_id, CASE WHEN confidence < 0.55 THEN 'unsupported' WHEN url NOT LIKE 'https://www.example.org/%' THEN 'unapproved_domain' WHEN text IS NULL THEN 'excerpt_not_in_source'
+  WHEN {_SQUEEZED.format("title")} <> {_SQUEEZED.format("substr(text, 1, 60)")} THEN 'source_title_mismatch' WHEN NOT list_has_all(known, {_NUMBERS.format("value")}) THEN 'fact_number_not_in_evidence'
+  WHEN NOT list_has_all(known, {_NUMBERS.format("answer")}) THEN 'answer_number_not_in_evidence' WHEN NOT contains(delivered, 'place') THEN 'required_fact_unaccounted'
+  {" ".join(f"WHEN {c} IS NOT NULL AND NOT contains(body, {c}) THEN '{c}_mismatch'" for c in ("academic_year", "admission_year", "semester", "college", "department"))}
+  WHEN regexp_matches(answer, 'curl') THEN 'unsafe_output' END AS failed FROM y""")
+def verify_chain(t: Tables):
+    """Each proposal with the first rule of the whole chain that it breaks."""
+    from millrace.operators.evidence import verdict
+
+    texts = grounded(t).select("item_id", "doc_id").join(t.documents.select("doc_id", "text"), "doc_id")
+    x = proposals(t).join(texts, "item_id", "left").select("item_id", "quote", "confidence", "text", *(F.expr(e).alias(k) for k, e in _PROPOSED.items()))
+    given = {c: F.col(c) for c in _PROPOSED} | {
+        "supported": F.col("confidence") >= 0.55, "excerpt": F.col("quote"), "source_text": F.col("text"), "source_title": F.substring("text", 1, 60),
+        "required": F.array(F.lit("period"), F.lit("place")), "delivered": F.split("delivered", ","), "missing": F.array().cast("array<string>"),
+    }
+    return x.select("item_id", verdict(given, ("example.org",)).alias("failed"))
+
+
 @query(f"""WITH {PROPOSED}, l AS (SELECT g.item_id, d.doc_id, strpos(d.text, p.quote) AS at_char, d.text, source FROM grounded g JOIN documents d ON d.doc_id = g.doc_id JOIN proposals p ON p.item_id = g.item_id)
 SELECT item_id, doc_id, CASE WHEN at_char > 0 THEN 'offset:' || at_char WHEN source IS NOT NULL THEN 'source:' || source ELSE 'none' END AS locator, length(substr(text, 1, greatest(at_char - 1, 0))) - length(replace(substr(text, 1, greatest(at_char - 1, 0)), chr(10), '')) AS line_no FROM l""")
 def fact_provenance(t: Tables):

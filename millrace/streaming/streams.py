@@ -16,6 +16,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from millrace.storage import new_path
 
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+#: Seconds that events may be processed after their time before state may be gone.
+LATE = 7 * 86400.0
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,10 +35,21 @@ def source(spark: SparkSession, path: str, bytes_per_batch: int = 256 << 20) ->
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run the stream over what there is into a Parquet table, and read the table."""
+def drain(stream: DataFrame, label: str, mode: str = "append", idle: bool = True) -> DataFrame:
+    """Run the stream over what there is into a Parquet table, and read the table.
+
+    idle False leaves out micro-batches without data, of which state that expires by processing time asks for one after the other.
+    """
     spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
-    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", new_path(spark, f"{label}-progress")).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", new_path(spark, f"{label}-progress")).trigger(availableNow=True)
+    before = spark.conf.get(IDLE)
+    # a stream keeps the settings of its start
+    spark.conf.set(IDLE, str(idle).lower())
+    try:
+        running = writer.start()
+    finally:
+        spark.conf.set(IDLE, before)
+    running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -58,14 +74,16 @@ CARRIED = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("
 class SessionCarry(StatefulProcessor):
     """Per session the last year and task; replaced after gap seconds without an event, or by a reset.
 
-    A micro-batch's events of a session are put in order of time first, so they are held together.
+    A micro-batch's events of a session are put in order of time first, so they are held together.  A
+    session's state leaves the store when it was not written for the gap and ``late`` seconds of
+    processing time; late is how far behind their time events may be processed.
     """
 
-    def __init__(self, gap: float):
-        self.gap = gap
+    def __init__(self, gap: float, late: float = LATE):
+        self.gap, self.keep = gap, int((gap + late) * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("context", "at double, year int, task string")
+        self.state = handle.getValueState("context", "at double, year int, task string", self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at, year, task = self.state.get() if self.state.exists() else (None, None, None)
@@ -88,18 +106,22 @@ class SessionCarry(StatefulProcessor):
 
 
 class CacheReplay(StatefulProcessor):
-    """Per question the time its entry expires; a hit does not move it."""
+    """Per question the time its entry expires; a hit does not move it.
 
-    def __init__(self, ttl: float):
-        self.ttl = ttl
+    With ``negative`` rows have a column found, and a miss that found nothing is kept for that many seconds
+    instead of ttl.  State leaves the store as in SessionCarry, after the longer of both.
+    """
+
+    def __init__(self, ttl: float, negative: float | None = None, late: float = LATE):
+        self.ttl, self.negative, self.keep = ttl, negative, int((max(ttl, negative or 0) + late) * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("entry", "expires double")
+        self.state = handle.getValueState("entry", "expires double", self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         expires = self.state.get()[0] if self.state.exists() else None
         pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out, expires = replay(pdf, expires, self.ttl)
+        out, expires = replay(pdf, expires, self.ttl, self.negative)
         self.state.update((expires,))
         yield pd.DataFrame({"event_id": pdf["event_id"], "outcome": out})
 
@@ -107,14 +129,18 @@ class CacheReplay(StatefulProcessor):
         pass
 
 
-def replay(pdf: pd.DataFrame, expires: float | None, ttl: float) -> tuple[list[str], float | None]:
-    """Outcomes of requests in order of time, and when the entry expires after them."""
+def replay(pdf: pd.DataFrame, expires: float | None, ttl: float, negative: float | None = None) -> tuple[list[str], float | None]:
+    """Outcomes of requests in order of time, and when the entry expires after them.
+
+    negative is the time to live of what was not found (column found; null is found).
+    """
     out = []
-    for now in (None if pd.isna(x) else x.timestamp() for x in pdf["ts"]):
+    lives = [ttl] * len(pdf) if negative is None else [negative if pd.notna(x) and not x else ttl for x in pdf["found"]]
+    for now, live in zip((None if pd.isna(x) else x.timestamp() for x in pdf["ts"]), lives, strict=True):
         hit = expires is not None and now is not None and now < expires
         out.append("hit" if hit else "miss")
         if not hit and now is not None:
-            expires = now + ttl
+            expires = now + live
     return out, expires
 
 

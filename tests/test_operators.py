@@ -98,6 +98,18 @@ def test_chunks_cover_the_text():
     assert chunks.cut_points("") == [] and chunks.cut_points("x" * 500, 200, 30)[0] == (0, 200)
 
 
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_containment_of_parts_without_inner_tokens(spark, monkeypatch, bound):
+    from millrace.operators import blocking
+
+    monkeypatch.setattr(blocking, "BROADCAST_BYTES", bound)
+    said = {1: "one two three four", 2: "😀 smile 😀 ab", 3: "", 4: None, 5: "x" * 1_000_000 + "two", 6: "wo thre"}
+    asked = ["wo thre", "two", "o", "😀 smi", "ab", "", None, "xxxx", "two three four", "absent text", "…"]
+    texts = spark.createDataFrame(list(said.items()), "i int, t string")
+    got = sorted((r["i"], r["p"]) for r in containment(texts, spark.createDataFrame([(x,) for x in asked], "p string"), "t", "p", "i").collect())
+    assert got == sorted((i, p) for i, t in said.items() for p in asked if t is not None and p is not None and p in t)
+
+
 @pytest.mark.parametrize("bound", [1 << 26, 0])
 def test_containment_with_and_without_blocks(spark, monkeypatch, bound):
     from millrace.operators import blocking

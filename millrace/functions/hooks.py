@@ -54,5 +54,4 @@ def register(spark: SparkSession) -> None:
 
 def lateral_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     register(docs.sparkSession)
-    docs.select("doc_id", "text").createOrReplaceTempView("chunked_documents")
-    return docs.sparkSession.sql(f"SELECT d.doc_id, c.chunk_index, c.start, c.end FROM chunked_documents d, LATERAL chunks(d.text, {size}, {overlap}) c")
+    return docs.sparkSession.sql("SELECT d.doc_id, c.chunk_index, c.start, c.end FROM {docs} d, LATERAL chunks(d.text, {size}, {overlap}) c", docs=docs.select("doc_id", "text"), size=size, overlap=overlap)

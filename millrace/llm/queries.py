@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, exact_dedup, language, licenses, mixing, quality, secrets, sharding, simhash, token_codes
+from millrace.llm import decontaminate, exact_dedup, language, lexical_search, licenses, mixing, quality, secrets, sharding, simhash, token_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_sharding, op3_secrets, op4_simhash, op5_exact_dedup, op6_licenses, op7_language, op8_decontamination, op9_token_codes, op10_quality)
+    for f in (op1_mixing, op2_sharding, op3_secrets, op4_simhash, op5_exact_dedup, op6_licenses, op7_language, op8_decontamination, op9_token_codes, op10_quality, op13_lexical_search)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -174,4 +178,21 @@ WHERE most >= width * {decontaminate.SIMILARITY} GROUP BY doc_id, item_id
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_sharding": _OP2, "op3_secrets": _op3(), "op5_exact_dedup": _OP5, "op8_decontamination": _op8()}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP13 = f"""
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, {_TERMS} AS terms FROM documents),
+items AS (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS terms FROM benchmark),
+wanted AS (SELECT iid, term, count(*) AS qtf FROM (SELECT iid, unnest(terms) AS term FROM items) GROUP BY ALL),
+scale AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0),
+held AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, scale GROUP BY term, n_docs),
+impacts AS (
+  SELECT uid, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(terms) * n_docs) // n_terms)) AS impact
+  FROM held JOIN docs USING (uid), scale),
+scored AS (SELECT iid, uid, doc_id, sum(qtf * w * impact)::BIGINT AS score FROM wanted JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked JOIN items USING (iid) WHERE place <= {lexical_search.TOP}
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_sharding": _OP2, "op3_secrets": _op3(), "op5_exact_dedup": _OP5, "op8_decontamination": _op8(), "op13_lexical_search": _OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, exact_dedup, language, lexical_search, licenses, mixing, quality, secrets, sharding, simhash, token_codes
+from millrace.llm import conversations, decontaminate, exact_dedup, language, lexical_search, licenses, mixing, quality, secrets, sharding, simhash, token_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +56,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(*conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_sharding, op3_secrets, op4_simhash, op5_exact_dedup, op6_licenses, op7_language, op8_decontamination, op9_token_codes, op10_quality, op13_lexical_search)
+    for f in (op1_mixing, op2_sharding, op3_secrets, op4_simhash, op5_exact_dedup, op6_licenses, op7_language, op8_decontamination, op9_token_codes, op10_quality, op12_conversations, op13_lexical_search)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -195,4 +199,92 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, do
 SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked JOIN items USING (iid) WHERE place <= {lexical_search.TOP}
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_sharding": _OP2, "op3_secrets": _op3(), "op5_exact_dedup": _OP5, "op8_decontamination": _op8(), "op13_lexical_search": _OP13}
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _way(cost: str, letter: str, state: str, when: str = "true") -> str:
+    """A struct (cost, audit) or null; structs compare by cost, then by audit."""
+    return f"CASE WHEN {when} THEN {{'c': {cost} + s.{state}.c, 'a': '{letter}' || s.{state}.a}} END"
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP13 = f"""
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, {_TERMS} AS terms FROM documents),
+items AS (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS terms FROM benchmark),
+wanted AS (SELECT iid, term, count(*) AS qtf FROM (SELECT iid, unnest(terms) AS term FROM items) GROUP BY ALL),
+scale AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0),
+held AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, scale GROUP BY term, n_docs),
+impacts AS (
+  SELECT uid, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(terms) * n_docs) // n_terms)) AS impact
+  FROM held JOIN docs USING (uid), scale),
+scored AS (SELECT iid, uid, doc_id, sum(qtf * w * impact)::BIGINT AS score FROM wanted JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked JOIN items USING (iid) WHERE place <= {lexical_search.TOP}
+"""
+
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _way(cost: str, letter: str, state: str, when: str = "true") -> str:
+    """A struct (cost, audit) or null; structs compare by cost, then by audit."""
+    return f"CASE WHEN {when} THEN {{'c': {cost} + s.{state}.c, 'a': '{letter}' || s.{state}.a}} END"
+
+
+def _op12() -> str:
+    """The cheapest edits by a fold over each conversation's letters from the end, without any sharing."""
+    letter, cut = "x.l", "CASE WHEN x.l <> lower(x.l) THEN 1 ELSE 0 END"
+    step = {"n": "s.n"}
+    for q, keeps, fill in (("q0", {"s": "q1", "u": "q2"}, "q2"), ("q1", {"u": "q2"}, "q2"), ("q2", {"a": "q3"}, "q3"), ("q3", {"u": "q2"}, "q2")):
+        kept = [_way(cut, "K", to, f"lower({letter}) = '{r}'") for r, to in keeps.items()]
+        step[q] = _least(_way("3", "D", q), *kept, _way(f"2 + {cut}", "R", fill, f"{letter} <> 'x'"))
+    rows = ", ".join(f"'{q}': {v}" for q, v in step.items() if q != "n")
+    insert = lambda q: f"{{'c': 2 + {q}.c, 'a': 'I' || {q}.a}}"
+    turned = f"""list_transform([{{{rows}}}], lambda m: {{'q2': {_least("m.q2", insert("m.q3"))}, 'q3': {_least("m.q3", insert("m.q2"))}, 'm': m}})"""
+    whole = f"""list_transform({turned}, lambda f: {{'l': '', 'q0': {_least("f.m.q0", insert("f.q2"))}, 'q1': {_least("f.m.q1", insert("f.q2"))}, 'q2': f.q2, 'q3': f.q3}})[1]"""
+    end = "{'l': '', 'q0': {'c': 0, 'a': ''}, 'q1': {'c': 4, 'a': 'II'}, 'q2': {'c': 2, 'a': 'I'}, 'q3': {'c': 0, 'a': ''}}"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))"
+    fill = "CASE WHEN s.st = 2 THEN 'assistant' ELSE 'user' END"
+    to = "CASE WHEN s.st = 2 THEN 3 ELSE 2 END"
+    line = lambda role, text: f"s.out || CASE WHEN s.n > 0 THEN chr(10) ELSE '' END || {role} || ':' || {text}"
+    return rf"""
+WITH poly AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+dealt AS (SELECT conv_id, turn, role, text, xor({crc}, 4294967295) % 20 AS kind FROM named, poly),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS again
+  FROM dealt WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS row_at,
+    regexp_replace(text, '{_SPACE}+$', '') AS seen FROM damaged),
+told AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY row_at) > 1 AS again_seen, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY row_at) AS prior FROM placed),
+lettered AS (
+  SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS r,
+    CASE WHEN seen = '' THEN 'blank' WHEN again_seen THEN 'duplicate' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM told),
+convs AS (
+  SELECT conv_id, list(CASE fault WHEN '' THEN r WHEN 'truncated' THEN upper(r) ELSE 'x' END ORDER BY row_at) AS letters, list(role ORDER BY row_at) AS roles, list(text ORDER BY row_at) AS texts,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prior IS NOT NULL AND prior || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM lettered GROUP BY conv_id),
+solved AS (SELECT *, list_reduce(list_prepend({end}, list_transform(list_reverse(letters), lambda l: {{'l': l, 'q0': {{'c': 0, 'a': ''}}, 'q1': {{'c': 0, 'a': ''}}, 'q2': {{'c': 0, 'a': ''}}, 'q3': {{'c': 0, 'a': ''}}}})),
+    lambda s, x: {whole}).q0 AS best FROM convs),
+written AS (SELECT *, list_reduce(list_prepend({{'e': '', 'i': 1, 'st': 0, 'n': 0, 'out': ''}}, list_transform(string_split(best.a, ''), lambda e: {{'e': e, 'i': 0, 'st': 0, 'n': 0, 'out': ''}})),
+    lambda s, x: CASE x.e WHEN '' THEN s WHEN 'D' THEN {{'e': '', 'i': s.i + 1, 'st': s.st, 'n': s.n, 'out': s.out}}
+      WHEN 'I' THEN {{'e': '', 'i': s.i, 'st': {to}, 'n': s.n + 1, 'out': {line(fill, "''")}}}
+      WHEN 'R' THEN {{'e': '', 'i': s.i + 1, 'st': {to}, 'n': s.n + 1, 'out': {line(fill, "texts[s.i]")}}}
+      ELSE {{'e': '', 'i': s.i + 1, 'st': CASE left(roles[s.i], 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'n': s.n + 1, 'out': {line("roles[s.i]", "texts[s.i]")}}} END).out AS repaired FROM solved)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN written w ON k.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_sharding": _OP2, "op3_secrets": _op3(), "op5_exact_dedup": _OP5, "op8_decontamination": _op8(), "op12_conversations": _op12(), "op13_lexical_search": _OP13}

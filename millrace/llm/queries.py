@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import conversations, decontaminate, exact_dedup, language, lexical_search, licenses, mixing, quality, secrets, sharding, simhash, token_codes
+from millrace.llm import conversations, decontaminate, exact_dedup, language, lexical_search, licenses, mixing, quality, secrets, sharding, simhash, suffix_dedup, token_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(*conversations.damage(table(spark, sf_dir, "conversations")))
 
@@ -66,7 +70,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_sharding, op3_secrets, op4_simhash, op5_exact_dedup, op6_licenses, op7_language, op8_decontamination, op9_token_codes, op10_quality, op12_conversations, op13_lexical_search)
+    for f in (op1_mixing, op2_sharding, op3_secrets, op4_simhash, op5_exact_dedup, op6_licenses, op7_language, op8_decontamination, op9_token_codes, op10_quality, op11_suffix_dedup, op12_conversations, op13_lexical_search)
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -182,6 +186,20 @@ WHERE most >= width * {decontaminate.SIMILARITY} GROUP BY doc_id, item_id
 """
 
 
+_OP11 = """
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT uid, doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS w FROM (SELECT uid, doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM docs)),
+repeats AS (SELECT uid, p FROM (SELECT uid, p, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS LAST, uid, p) AS turn FROM windows) WHERE turn > 1),
+islands AS (SELECT uid, p, sum(new) OVER (PARTITION BY uid ORDER BY p) AS island
+  FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY uid ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM repeats)),
+spans AS (SELECT uid, island, min(p) AS start, max(p) + 100 AS stop FROM islands GROUP BY uid, island),
+pieces AS (SELECT uid, start, stop, substr(h, 2 * coalesce(lag(stop) OVER o, 0) + 1, 2 * (start - coalesce(lag(stop) OVER o, 0))) AS piece FROM spans JOIN docs USING (uid) WINDOW o AS (PARTITION BY uid ORDER BY start)),
+told AS (SELECT uid, sum(stop - start) AS n_removed, count(*) AS n_spans, max(stop) AS stop, string_agg(piece, '' ORDER BY start) AS head FROM pieces GROUP BY uid)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN told USING (uid)
+"""
+
 _TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 _OP13 = f"""
@@ -287,4 +305,4 @@ FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN written w ON k.con
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_sharding": _OP2, "op3_secrets": _op3(), "op5_exact_dedup": _OP5, "op8_decontamination": _op8(), "op12_conversations": _op12(), "op13_lexical_search": _OP13}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": _OP1, "op2_sharding": _OP2, "op3_secrets": _op3(), "op5_exact_dedup": _OP5, "op8_decontamination": _op8(), "op11_suffix_dedup": _OP11, "op12_conversations": _op12(), "op13_lexical_search": _OP13}

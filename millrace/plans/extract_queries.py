@@ -6,10 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import pages as P
 from millrace.operators.blocking import containment
-from millrace.operators.period import resolve_period
+from millrace.operators.period import application_period, windows
 from millrace.plans.inputs import AS_OF_DOCS, NOTICES, notices, stamp
 from millrace.plans.registry import Tables, query
+from millrace.plans.text_queries import ENT, sql_normalize
+from millrace.storage import written
 
 
 def _all(c, pattern, group=0):
@@ -80,33 +83,55 @@ def phone_context_score(t: Tables):
     return matching(t.documents, NUMBER).select("doc_id", best.alias("b")).where("b.score > 0").select("doc_id", "b.phone", "b.person", "b.score")
 
 
-def _dated(t: Tables):
-    """Documents with a sentence about a period, as their ids give it."""
-    day = F.timestamp_add("DAY", (F.col("doc_id") % 300).cast("int"), stamp("2024-01-01 00:00:00"))
-    end = F.timestamp_add("DAY", (F.col("doc_id") % 40).cast("int"), day)
-    start_text, end_text = F.date_format(day, "yyyy-MM-dd"), F.date_format(end, "yyyy-MM-dd")
-    shape = F.col("doc_id") % 4
-    said = F.when(shape == 0, F.concat(F.lit("Apply: "), start_text, F.lit(" ~ "), end_text)).when(shape == 1, F.concat(F.lit("Apply: ~ "), end_text)).when(shape == 2, F.concat(F.lit("Apply: "), start_text, F.lit(" from 09:00")))
-    said = said.otherwise(F.concat(F.lit("Apply: "), start_text, F.lit(" ~ "), F.date_format(end, "dd")))
-    return t.documents.select("doc_id", F.concat(F.col("text"), F.lit("\n"), said).alias("text"))
+# Orders as announcements, in seven ways; both engines read the words, each in its own form of dates.
+_SAID = (
+    ("행사일 ", "x:yyyy. M. d.", " 신청기간: ", "d:yyyy. M. d.", " ~ ", "e:yyyy-MM-dd", " 18:00 (단과대학)"),
+    ("안내. 접수 마감: ~ ", "e:M. d.", " 담당 010"),
+    ("모집 일정: ", "d:yyyy/MM/dd", " ~ ", "e:d", "일. 문의 바람"),
+    ("신청 ", "e:yyyy년 M월 d일", "까지. 행사 ", "x:yyyy. M. d."),
+    ("등록: ", "d:yyyy. M. d.", " 오후 2시부터 선착순"),
+    ("신청기간: ", "x:yyyy. M. d.", " ~ ", "y:yyyy. M. d.", ". 지원서 접수기간: ", "d:yyyy-MM-dd", " ~ ", "e:yyyy-MM-dd", "."),
+    ("제출기한: 2024. 13. 45. ~ 99. 99. 접수는 방문. 또한 ", "x:yyyy. M. d.", " 행사"),
+)
+_DAYS = {"d": 0, "e": None, "x": 100, "y": 103}
+
+
+def announcements(t: Tables):
+    """Orders as announcements: id, day of publication, text with several labels and dates."""
+    day = lambda c: F.date_add("o_orderdate", (F.col("o_orderkey") % 25).cast("int") if c == "e" else F.lit(_DAYS[c]))
+    words = lambda p: F.date_format(day(p[0]), p[2:]) if p[:2] in ("d:", "e:", "x:", "y:") else F.lit(p)
+    said = F.lit(None).cast("string")
+    for i, parts in enumerate(_SAID):
+        said = F.when(F.col("o_orderkey") % len(_SAID) == i, F.concat(*map(words, parts))).otherwise(said)
+    rows = t.orders.select("o_orderkey", F.add_months("o_orderdate", 120).alias("o_orderdate"))  # years that begin with 20
+    return rows.select("o_orderkey", "o_orderdate", day("e").alias("last_day"), said.alias("text"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, (o_orderkey % 7)::INTEGER AS way, (o_orderdate + INTERVAL 10 YEAR)::DATE AS d, (o_orderdate + INTERVAL 10 YEAR)::DATE + (o_orderkey % 25)::INTEGER AS e FROM orders),
+s AS (SELECT *, try_cast(year(d) || '-' || month(e) || '-' || day(e) AS DATE) AS inherited, try_cast(year(d) || '-' || month(d) || '-' || day(e) AS DATE) AS short FROM o),
+p AS (SELECT o_orderkey, CASE WHEN way IN (0, 2, 5) THEN d::TIMESTAMP WHEN way = 4 THEN d + INTERVAL 14 HOUR END AS start_at,
+  CASE way WHEN 0 THEN e + INTERVAL 18 HOUR WHEN 1 THEN inherited + INTERVAL 1439 MINUTE WHEN 2 THEN CASE WHEN short >= d THEN short + INTERVAL 1439 MINUTE END WHEN 3 THEN e + INTERVAL 1439 MINUTE WHEN 5 THEN e + INTERVAL 1439 MINUTE WHEN 6 THEN d + 100 + INTERVAL 1439 MINUTE END AS end_at, way FROM s)
+SELECT o_orderkey, CASE WHEN way = 0 AND end_at < start_at THEN NULL ELSE start_at END AS start_at, end_at,
+  CASE WHEN start_at IS NULL AND end_at IS NULL THEN 'none' WHEN start_at IS NULL THEN 'deadline' WHEN end_at IS NULL THEN 'start_only' WHEN way = 2 THEN 'short_end' ELSE 'range' END AS shape FROM p""")
+def period_extract(t: Tables):
+    """Start and end of the period that an announcement gives: several labels, five shapes, dates that do not exist."""
+    return announcements(t).select("o_orderkey", application_period(F.col("text"), F.col("o_orderdate")).alias("p")).select("o_orderkey", "p.start_at", "p.end_at", "p.shape")
 
 
-@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS shape, TIMESTAMP '2024-01-01' + to_days((doc_id % 300)::INTEGER) AS day, TIMESTAMP '2024-01-01' + to_days((doc_id % 300 + doc_id % 40)::INTEGER) AS fin FROM documents),
-e AS (SELECT *, CASE shape WHEN 2 THEN NULL WHEN 3 THEN try_cast(strftime(day, '%Y-%m-') || strftime(fin, '%d') || ' 23:59:00' AS TIMESTAMP) ELSE fin + INTERVAL 1439 MINUTE END AS end_at FROM d)
-SELECT doc_id, CASE WHEN shape <> 1 THEN day END AS start_at, end_at, CASE WHEN shape = 0 THEN 'range' WHEN shape = 1 THEN 'deadline' WHEN end_at IS NULL THEN 'start_only' ELSE 'short_end' END AS shape FROM e""")
-def period_extract(t: Tables):
-    """Start and end of the period that a text announces; the shapes of dates are resolved in Python, batch by batch."""
-    window = F.regexp_extract("text", "(?s)Apply: (.{1,240})$", 1)
-    return _dated(t).select("doc_id", resolve_period(window).alias("p")).select("doc_id", "p.start_at", "p.end_at", "p.shape")
+#: Labels of the documents as they are, and what looks like a date in them.
+_LABEL, _DATED = "(?i)(?:licensed under|version|released|token|user)", "[0-9]{1,2}[.][0-9]{1,2}"
 
 
-@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS shape, TIMESTAMP '2024-01-01' + to_days((doc_id % 300)::INTEGER) AS day, TIMESTAMP '2024-01-01' + to_days((doc_id % 300 + doc_id % 40)::INTEGER) AS fin FROM documents)
-SELECT doc_id, CASE shape WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 2 END AS dates, (shape <> 2) AS ranged, (CASE shape WHEN 0 THEN 2 ELSE 1 END + CASE WHEN shape <> 2 THEN 2 ELSE 0 END + 4) AS score FROM d""")
+@query(rf"""WITH x AS (SELECT doc_id, string_split_regex(text, '{_LABEL}') AS b, regexp_extract_all(text, '{_LABEL}') AS h FROM documents WHERE regexp_matches(text, '{_LABEL}')),
+z AS (SELECT doc_id, h, flatten(list_transform(range(1, len(b) + 1), lambda k: [b[k], coalesce(h[k], '')])) AS parts FROM x), r AS (SELECT doc_id, h, parts, unnest(range(0, len(h))) AS i FROM z),
+w AS (SELECT doc_id, i, h[i + 1] AS label, left(array_to_string(parts[2 * i + 2:], ''), length(h[i + 1]) + 240) AS w FROM r),
+d AS (SELECT *, len(regexp_extract_all(w, '{_DATED}')) AS dates, regexp_matches(label, '(?i)version|licensed') AS explicit, strpos(w, regexp_extract(w, '{_DATED}')) - 1 AS first FROM w)
+SELECT doc_id, i::INTEGER AS i, label, dates::INTEGER AS dates, (dates + CASE WHEN explicit THEN 4 ELSE 0 END + CASE WHEN contains(left(w, 180), '~') THEN 2 ELSE 0 END)::INTEGER AS score FROM d
+WHERE dates > 0 AND (explicit OR (first <= 25 AND NOT regexp_matches(substr(w, length(label) + 1, greatest(first - length(label), 0)), '[.!?]')))""")
 def period_candidates(t: Tables):
-    """Windows after the label, scored by their dates, range mark and label."""
-    w = F.regexp_extract("text", "(?s)Apply: (.{1,240})$", 1)
-    rows = _dated(t).select("doc_id", F.regexp_count(w, F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}")).alias("dates"), w.contains("~").alias("ranged"))
-    return rows.select("doc_id", "dates", "ranged", (F.col("dates") + F.when(F.col("ranged"), 2).otherwise(0) + 4).alias("score"))
+    """Windows behind labels of the documents as they are, scored by dates, label and range mark."""
+    found = windows(F.col("text"), _LABEL, _DATED, ("Version", "version", "VERSION", "Licensed", "licensed", "LICENSED"))
+    return matching(t.documents, _LABEL).select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.i", "w.label", "w.dates", "w.score")
 
 
 @query(f"""WITH {NOTICES} SELECT doc_id, CASE WHEN regexp_matches(lower(title), 'licen|released') THEN 'license' WHEN contains(lower(content), 'token =') THEN 'secret' WHEN regexp_matches(content, '{X.EMAIL}') THEN 'contact' ELSE 'plain' END AS category,
@@ -193,24 +218,29 @@ def https_links(t: Tables):
     return t.pages.select("page_id", _sorted(F.transform(found, lambda u: F.rtrim(u, F.lit(".,;:!?)")))).alias("links"))
 
 
-@query(r"""WITH x AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS a, regexp_extract(html, '<body>(.*)</body>', 1, 's') AS b FROM pages)
-SELECT page_id, CASE WHEN length(a) >= 5 THEN 'article' WHEN length(b) >= 5 THEN 'body' ELSE 'none' END AS node, CASE WHEN length(a) >= 5 THEN length(a) ELSE length(b) END AS n FROM x""")
+#: Where a page's content stands, in the order of preference.
+CONTENT = ("main", ".content", "article", "body")
+
+
+@query(f"""WITH x AS (SELECT page_id, {sql_normalize("regexp_extract(html, '<article>(.*)</article>', 1, 's')")} AS a,
+  {sql_normalize("regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<(script|style)>.*?</(script|style)>|<!--.*?-->', ' ', 'gs')")} AS b FROM pages)
+SELECT page_id, CASE WHEN length(a) >= 5 THEN 'article' ELSE 'body' END AS selector, sha256(CASE WHEN length(a) >= 5 THEN a ELSE b END) AS digest, length(CASE WHEN length(a) >= 5 THEN a ELSE b END) AS n FROM x WHERE length(a) >= 5 OR length(b) >= 5""")
 def page_main_content(t: Tables):
-    """The first selector, in order, that has a usable node."""
-    a, b = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1), F.regexp_extract("html", "(?s)<body>(.*)</body>", 1)
-    return t.pages.select("page_id", F.when(F.length(a) >= 5, "article").when(F.length(b) >= 5, "body").otherwise("none").alias("node"), F.when(F.length(a) >= 5, F.length(a)).otherwise(F.length(b)).alias("n"))
+    """The text of the longest node of the first selector that has a usable one."""
+    found = P.main_content(written(P.tree(t.pages), "tree"), CONTENT)
+    return found.select("page_id", "selector", F.sha2("content", 256).alias("digest"), F.length("content").alias("n"))
 
 
-@query(r"""WITH x AS (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages), y AS (SELECT page_id, url, unnest(range(0, len(l))) AS i, l FROM x),
-z AS (SELECT page_id, i, CASE WHEN regexp_matches(l[i + 1], '^https?://') THEN l[i + 1] WHEN starts_with(l[i + 1], '/') THEN regexp_extract(url, '^https?://[^/?#]+') || l[i + 1] ELSE regexp_replace(regexp_extract(url, '^[^?#]*'), '[^/]*$', '') || l[i + 1] END AS link FROM y)
-SELECT page_id, min(i)::INTEGER AS place, link FROM z GROUP BY page_id, link""")
+@query(rf"""WITH x AS (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">.*?</a>') AS l FROM pages), y AS (SELECT page_id, url, unnest(range(0, len(l))) AS i, l FROM x),
+r AS (SELECT page_id, url, i, {ENT.format("regexp_extract(l[i + 1], 'href=\"([^\"]*)\"', 1)")} AS ref, {sql_normalize("l[i + 1]")} AS name FROM y),
+z AS (SELECT page_id, i, name, CASE WHEN regexp_matches(ref, '^https?://') THEN ref WHEN starts_with(ref, '/') THEN regexp_extract(url, '^https?://[^/?#]+') || ref ELSE regexp_replace(regexp_extract(url, '^[^?#]*'), '[^/]*$', '') || ref END AS link FROM r),
+f AS (SELECT page_id, link, min(i) AS i, arg_min(name, i) AS name FROM z GROUP BY page_id, link)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS turn, 'link' AS kind, link, name FROM f""")
 def page_links(t: Tables):
-    """Links of a page made absolute, each once with its first place."""
-    host, folder = F.regexp_extract("url", "^https?://[^/?#]+", 0), F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "[^/]*$", "")
-    whole = F.transform(_all(F.col("html"), 'href="([^"]*)"', 1), lambda l: F.when(l.rlike("^https?://"), l).when(l.startswith("/"), F.concat(host, l)).otherwise(F.concat(folder, l)))
-    rows = t.pages.select("page_id", whole.alias("w"))
-    firsts = F.transform(F.array_distinct("w"), lambda l: F.struct((F.array_position("w", l) - 1).cast("int").alias("place"), l.alias("link")))
-    return rows.select("page_id", F.inline(firsts))
+    """Attachments, images and links of a page made absolute, each once, in the order of the page."""
+    found = P.page_references(written(P.tree(t.pages), "tree"), t.pages)
+    turn = F.row_number().over(Window.partitionBy("page_id").orderBy("place")) - 1
+    return found.select("page_id", turn.alias("turn"), "kind", "link", "name")
 
 
 @query(rf"""WITH {_context_sql(X.IPV4, 30, 10)}, o AS (SELECT doc_id, hit, regexp_extract("left", '([A-Za-z]+)[^A-Za-z]*$', 1) AS label, min(n) AS n FROM c GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, hit, label) AS turn FROM o)

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import pages as P
 from millrace.plans.inputs import HITS, NOTICES, QUESTIONS, STAFF, keyword_hits, notices, questions, staff
 from millrace.plans.registry import Tables, query
 from millrace.sources.files import binary_manifest as read_manifest
 from millrace.sources.files import decode_bytes, file_kind
+from millrace.storage import written
 
 #: SQL twins of the text expressions.
 SQ = r"trim(regexp_replace({}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
@@ -72,28 +74,25 @@ def decode_fallback(t: Tables):
     return raw.select("doc_id", decode_bytes("body").alias("decoded"), "text").select("doc_id", F.length("decoded").alias("n"), (F.col("decoded") == F.col("text")).alias("same"))
 
 
-@query(r"""WITH items AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS li FROM pages),
-rows AS (SELECT page_id, unnest(range(0, len(li))) AS pos, li FROM items)
-SELECT page_id, pos::INTEGER AS pos, regexp_extract(li[pos + 1], 'href="([^"]*)"', 1) AS href, regexp_extract(li[pos + 1], '>([^<>]+)</a>', 1) AS label FROM rows""")
+@query(rf"""WITH items AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>.*?</li>') AS li FROM pages),
+rows AS (SELECT page_id, unnest(range(0, len(li))) AS turn, li FROM items)
+SELECT page_id, turn::INTEGER AS turn, {SQ.format(ENT.format("regexp_replace(li[turn + 1], '<[^>]+>', ' ', 'g')"))} AS title, {ENT.format("regexp_extract(li[turn + 1], 'href=\"([^\"]*)\"', 1)")} AS href FROM rows""")
 def page_link_rows(t: Tables):
-    """Rows of a list page: the items of the navigation, with place, link and label."""
-    items = F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">[^<]*</a></li>'), F.lit(0))
-    return t.pages.select("page_id", F.posexplode(items).alias("pos", "li")).select(
-        "page_id", "pos", F.regexp_extract("li", 'href="([^"]*)"', 1).alias("href"), F.regexp_extract("li", ">([^<>]+)</a>", 1).alias("label")
-    )
+    """Rows of a list page: the items of the navigation, with turn, title and link."""
+    rows = written(P.tree(t.pages), "tree")
+    return P.board_rows(rows, "nav ul > li", "a", "a[href]", {})
 
 
-@query(r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS q, regexp_extract_all(html, '<article>(.*?)</article>', 1) AS a FROM pages),
+@query(rf"""WITH x AS (SELECT page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS q, regexp_extract_all(html, '<article>(.*?)</article>', 1, 's') AS a FROM pages),
 z AS (SELECT page_id, unnest(range(1, len(q) + 1)) AS i, q, a FROM x WHERE len(q) = len(a)),
-r AS (SELECT page_id, q[i] AS question, sha1('faq' || q[i]) AS key, length(a[i]) AS answer_chars, row_number() OVER (PARTITION BY sha1('faq' || q[i]) ORDER BY page_id, i) AS turn FROM z)
-SELECT page_id, question, key, answer_chars FROM r WHERE turn = 1""")
+n AS (SELECT page_id, i, {sql_normalize("q[i]")} AS question, {sql_normalize("a[i]")} AS answer FROM z),
+r AS (SELECT *, sha1('faq|' || question) AS key, row_number() OVER (PARTITION BY sha1('faq|' || question) ORDER BY page_id, i) AS turn FROM n WHERE question <> '' AND answer <> '')
+SELECT page_id, question, key, length(answer) AS answer_chars FROM r WHERE turn = 1""")
 def page_zip_pairs(t: Tables):
     """Headings zipped with bodies, page by page; a page whose counts differ is dropped; one row per key, the first page's."""
-    q = F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1))
-    a = F.regexp_extract_all("html", F.lit("<article>(.*?)</article>"), F.lit(1))
-    pairs = t.pages.select("page_id", q.alias("q"), a.alias("a")).where(F.size("q") == F.size("a")).select("page_id", F.posexplode(F.arrays_zip("q", "a")).alias("i", "x"))
-    keyed = pairs.select("page_id", F.col("x.q").alias("question"), F.sha1(F.concat(F.lit("faq"), F.col("x.q"))).alias("key"), F.length("x.a").alias("answer_chars"), "i")
-    first = F.min(F.struct("page_id", "i", "question", "answer_chars")).alias("x")
+    pairs = P.zipped(written(P.tree(t.pages), "tree"), "h1", "article")
+    keyed = pairs.withColumn("key", F.sha1(F.concat(F.lit("faq|"), F.col("question"))))
+    first = F.min(F.struct("page_id", "turn", "question", F.length("answer").alias("answer_chars"))).alias("x")
     return keyed.groupBy("key").agg(first).select("x.page_id", "x.question", "key", "x.answer_chars")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -15,3 +15,10 @@ def new_path(spark: SparkSession, label: str) -> str:
         raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     folder = folder or f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{folder.rstrip('/')}/millrace/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that what follows reads it instead of computing it again."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

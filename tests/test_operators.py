@@ -9,7 +9,6 @@ from millrace.functions.nested import strip_nul
 from millrace.functions.status import period_status, unit_status
 from millrace.operators import cdc, chunks, ranking, vectors
 from millrace.operators.blocking import containment
-from millrace.operators.period import resolve
 from millrace.sources.files import decode_bytes
 
 
@@ -59,22 +58,6 @@ def test_start_only_periods_differ_by_rule(spark):
     assert [tuple(r) for r in rows] == [("unknown", "active"), ("expired", "expired"), ("upcoming", "upcoming"), ("unknown", "unknown")]
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("2024-03-01 ~ 2024-03-15", (datetime(2024, 3, 1), datetime(2024, 3, 15, 23, 59), "range")),
-        ("2024.03.01 09:00 ~ 2024.03.15 18:00", (datetime(2024, 3, 1, 9), datetime(2024, 3, 15, 18), "range")),
-        ("2024-03-01 ~ 15", (datetime(2024, 3, 1), datetime(2024, 3, 15, 23, 59), "short_end")),
-        ("~ 2024-03-15", (None, datetime(2024, 3, 15, 23, 59), "deadline")),
-        ("2024-03-01 from nine", (datetime(2024, 3, 1), None, "start_only")),
-        ("2024-02-31 ~ 2024-13-01", (None, None, "none")),
-        (None, (None, None, "none")),
-    ],
-)
-def test_period_shapes(text, want):
-    assert resolve(text) == want
-
-
 def test_change_states(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, h string")
     new = spark.createDataFrame([(2, "b"), (3, "x"), (4, "d")], "id long, h string")

@@ -46,7 +46,7 @@ PIECE = 1 << 18
 BLOCK = 4 << 20
 BUCKET = 1 << 18
 #: Different runs of one least hash that a task takes; more are compared as single windows.
-CROWD = 256
+CROWD = 8192
 #: A difference cover: all differences of the residues 0 to PERIOD - 1 occur between these.
 PERIOD, COVER = 7, (0, 1, 3)
 #: SHIFT[a, b]: the least shift that brings the residues a and b into the cover.
@@ -280,7 +280,8 @@ def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     runs = _runs(rows)
     sums = runs.groupBy("m").agg(F.min(_at()).alias("first"), F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("all")).where(F.col("all") > 1)
     shared = write_table(sums.select("m", "first", (F.col("low") < F.col("high")).alias("mixed")), "shared-runs")
-    met = runs.join(broadcast_if_small(shared, 64), "m").where(F.col("mixed") | (_at() != F.col("first")))
+    # what is shared grows with the corpus, so no side is broadcast by hint
+    met = runs.join(shared, "m").where(F.col("mixed") | (_at() != F.col("first")))
     met = write_table(met.drop("first"), "met-runs")
     mixed = met.where("mixed")
     firsts = mixed.groupBy("m", "h").agg(F.min(_at()).alias("first"))

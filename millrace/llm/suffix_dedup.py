@@ -41,7 +41,7 @@ from millrace.llm.textbytes import text_runs
 WIDTH = 100
 GRAM = 24
 #: Texts are hashed by pieces of so many bytes, which stay in the processor's cache.
-PIECE = 1 << 18
+PIECE = 1 << 17
 #: Bytes of text that one suffix array orders, and suffixes in one bucket of it.
 BLOCK = 4 << 20
 BUCKET = 1 << 18
@@ -87,13 +87,17 @@ def runs_of(data: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
     two = _mixed(words[:-8], words[8:])
     grams = _mixed(two[: len(data) - GRAM + 1], words[16 : 16 + len(data) - GRAM + 1])
     least = _least_ahead(grams, WIDTH - GRAM + 1)
-    at = np.flatnonzero(row[:n] == row[WIDTH - 1 :])
-    if not len(at):
-        return runs_of(data[:0], row)
-    least = least[at]
-    # a run ends behind the window that starts with the least piece: no two windows of a run are equal
-    first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (grams[at[:-1]] == least[:-1]) | (row[at[1:]] != row[at[:-1]])])
-    size = np.diff(np.r_[first, len(at)])
+    # a run ends behind the window that starts with the least piece, so no two windows of a run are equal
+    ends = np.empty(n, bool)
+    ends[0] = True
+    np.not_equal(least[1:], least[:-1], out=ends[1:])
+    ends[1:] |= grams[: n - 1] == least[:-1]
+    within = row[:n] == row[WIDTH - 1 :]
+    ends |= ~within
+    ends[1:] |= ~within[:-1]
+    cuts = np.flatnonzero(ends)
+    size = np.diff(np.r_[cuts, n])[within[cuts]]
+    first = cuts[within[cuts]]
 
     def whole(i: np.ndarray) -> np.ndarray:
         four = lambda j: _mixed(two[j], two[j + 16])
@@ -101,8 +105,8 @@ def runs_of(data: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
         return _mixed(eight(i), eight(i + WIDTH - 64))
 
     # the first and the last window cover the run
-    hashes = _mixed(whole(at[first]), whole(at[first + size - 1]) + size.astype(np.uint64))
-    return least[first], hashes, at[first], size
+    hashes = _mixed(whole(first), whole(first + size - 1) + size.astype(np.uint64))
+    return least[first], hashes, first, size
 
 
 def _runs(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.functions.nested import canonical_json, folded
+from millrace.functions.text import normalize
 from millrace.operators.gates import holds
 
 #: A rule dimension: key, parent, order, aliases, groups of which one term each is required, excluded title terms.
@@ -76,3 +81,30 @@ def rule_keys() -> Column:
 def best_per_task(rows: DataFrame, query: str, task: str, score: str, doc: str) -> DataFrame:
     """One row for each query and task: the best document, then the least id."""
     return rows.groupBy(query, task).agg(F.max_by(F.struct(doc, score), F.struct(score, (-F.col(doc)).alias("i"))).alias("x")).select(query, task, "x.*")
+
+
+def condition(c: Column) -> Column:
+    """A condition as keys hold it: cleaned, without white space, folded; empty is null."""
+    return F.nullif(folded(F.regexp_replace(normalize(c), r"[ \t\n\x0B\f\r]+", "")), F.lit(""))
+
+
+#: The conditions that are compared as words, and those that are sets.
+WORDS = ("category", "college", "department", "studentStatus", "timeScope")
+SETS = ("requestedFields", "requiredFacts")
+
+
+def canonical_key(plan: Mapping[str, Column], kinds: Mapping[str, T.DataType]) -> Column:
+    """The digest of a question's conditions: compact JSON with sorted keys, nulls written.
+
+    plan: task, tasks, academicYear, admissionYear, semester, grade, the WORDS, the SETS, keywords; kinds: their
+    types by name.  Sets are deduplicated and sorted, tasks sorted; a single task stands in for a
+    missing one; keywords count for tasks of ``event.`` only, where the name of the event tells
+    questions apart.
+    """
+    task = F.coalesce(plan["task"], F.when(F.size(plan["tasks"]) == 1, plan["tasks"][0]))
+    named = F.array_sort(F.array_distinct(F.array_compact(F.transform(plan["keywords"], condition))))
+    payload = {n: plan[n] for n in ("academicYear", "admissionYear", "semester", "grade")} | {n: condition(plan[n]) for n in WORDS} | {n: F.array_sort(F.array_distinct(plan[n])) for n in SETS}
+    payload |= {"task": task, "tasks": F.array_sort(plan["tasks"]), "eventKeywords": F.when(F.coalesce(task.startswith("event."), F.lit(False)), named).otherwise(F.array().cast("array<string>"))}
+    lists, own = (*SETS, "tasks", "eventKeywords"), ("academicYear", "admissionYear", "semester", "grade")
+    schema = T.StructType([T.StructField(n, kinds[n] if n in own else T.ArrayType(T.StringType()) if n in lists else T.StringType()) for n in payload])
+    return F.sha2(canonical_json(F.struct(*(c.alias(n) for n, c in payload.items())), schema), 256)

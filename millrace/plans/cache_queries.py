@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import squeeze
 from millrace.operators import cdc
+from millrace.operators import limits as L
+from millrace.operators import tasks as K
 from millrace.plans.inputs import NOTICES, REQUESTS, notices, requests, stamp
 from millrace.plans.registry import Tables, query
 from millrace.streaming import streams as S
@@ -25,15 +27,39 @@ _KEY = """sha256('{"bucket":' || coalesce((k // 10)::VARCHAR, 'null') || ',"fiel
 
 
 def canonical(k, kind):
-    """The digest of a question's conditions: compact JSON, keys and lists sorted, nulls written."""
+    """A short key of a request, for the queries about what is done with keys."""
     fields = F.when(k % 2 == 0, F.array(F.lit("contact"), F.lit("period"))).otherwise(F.array(F.lit("contact")))
     conditions = F.struct(F.floor(k / 10).alias("bucket"), F.array_sort(fields).alias("fields"), F.when(kind.isin("view", "click"), "read").otherwise(kind).alias("type"))
     return F.sha2(F.to_json(conditions, {"ignoreNullFields": "false"}), 256)
 
 
-@query(f"WITH {REQUESTS} SELECT event_id, {_KEY} AS key FROM requests")
+#: What a request asks for, as its number and kind give it; both engines read these expressions.
+_PLAN = {
+    "academicYear": "CASE WHEN k % 3 = 0 THEN 2020 + k % 5 END", "admissionYear": "CASE WHEN k % 7 = 1 THEN 2018 + k % 4 END", "grade": "CASE WHEN k % 11 = 5 THEN k % 4 END", "semester": "CASE WHEN k % 2 = 0 THEN 'term ' || k % 4 END",
+    "category": "CASE k % 4 WHEN 0 THEN ' Straße  A ' WHEN 1 THEN 'STRASSE a' WHEN 2 THEN ' ' END", "college": "CASE WHEN k % 5 = 2 THEN 'Arts &amp;\tLaw' END", "department": "CASE WHEN k % 6 = 3 THEN '<b>Office</b> of \"K\"' END",
+    "studentStatus": "CASE WHEN k % 9 = 4 THEN 'On Leave' END", "timeScope": "CASE WHEN k % 8 = 7 THEN 'NOW' ELSE 'now' END", "task": "CASE WHEN k % 3 = 1 THEN 'event.' || event_type WHEN k % 3 = 2 THEN event_type END",
+}
+#: The same, folded and without white space, as the key has it.
+_CONDITION = {"category": "CASE k % 4 WHEN 0 THEN 'strassea' WHEN 1 THEN 'strassea' END", "college": "CASE WHEN k % 5 = 2 THEN 'arts&law' END", "department": "CASE WHEN k % 6 = 3 THEN 'officeof\"k\"' END", "studentStatus": "CASE WHEN k % 9 = 4 THEN 'onleave' END", "timeScope": "'now'"}
+
+
+def _key_sql() -> str:
+    words = "CASE WHEN {t} LIKE 'event.%' THEN '[\"camp\",\"k' || k % 10 || '\"]' ELSE '[]' END"
+    only = f"coalesce({_PLAN['task']}, CASE WHEN k % 2 = 0 THEN 'click' END)"
+    parts = {name: f"to_json({_CONDITION.get(name, e)})::VARCHAR" for name, e in _PLAN.items() if name != "task"}
+    parts |= {"task": f"to_json({only})::VARCHAR", "tasks": "CASE WHEN k % 2 = 0 THEN '[\"click\"]' ELSE '[\"click\",\"view\"]' END", "requestedFields": "'[\"contact\",\"period\"]'", "requiredFacts": "CASE WHEN k % 4 = 1 THEN '[\"fee\"]' ELSE '[]' END", "eventKeywords": words.format(t=only)}
+    return "sha256('{' || " + " || ',' || ".join(f"'\"{n}\":' || coalesce({parts[n]}, 'null')" for n in sorted(parts)) + " || '}')"
+
+
+@query(f"WITH {REQUESTS} SELECT event_id, {_key_sql()} AS key FROM requests WHERE k IS NOT NULL")
 def canonical_key(t: Tables):
-    return requests(t).select("event_id", canonical(F.col("k"), F.col("event_type")).alias("key"))
+    """The key of a request by all conditions of its plan, however they are written and ordered."""
+    lists = {
+        "tasks": F.when(F.col("k") % 2 == 0, F.array(F.lit("click"))).otherwise(F.array(F.lit("view"), F.lit("click"))), "requestedFields": F.array(*map(F.lit, ("period", "contact", "period"))),
+        "requiredFacts": F.when(F.col("k") % 4 == 1, F.array(F.lit("fee"), F.lit("fee"))).otherwise(F.array().cast("array<string>")), "keywords": F.array(F.concat(F.lit("K "), (F.col("k") % 10).cast("string")), F.lit("Camp"), F.lit(" "), F.lit("camp")),
+    }
+    asked = requests(t).where("k IS NOT NULL").select("event_id", *(F.expr(e).alias(n) for n, e in _PLAN.items()), *(c.alias(n) for n, c in lists.items()))
+    return asked.select("event_id", K.canonical_key({n: F.col(n) for n in (*_PLAN, *lists)}, {f.name: f.dataType for f in asked.schema}).alias("key"))
 
 
 @query(f"""WITH {REQUESTS}, latest AS (SELECT k, arg_max(floor(value / 50), (ts, event_id)) AS now_hash FROM requests WHERE event_type = 'view' GROUP BY 1)
@@ -135,8 +161,7 @@ def _stream(t: Tables):
 @query(f"WITH {_CARRY} SELECT event_id, session, last_value(y IGNORE NULLS) OVER o AS year, last_value(w IGNORE NULLS) OVER o AS task FROM i WINDOW o AS (PARTITION BY session, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def stream_session_carry(t: Tables):
     """session_carry as state of a stream."""
-    S.with_rocksdb(t.spark)
-    return S.drain(turns(_stream(t)).groupBy("session").transformWithStateInPandas(S.SessionCarry(SESSION_HOURS * 3600.0), S.CARRIED, "append", "ProcessingTime"), "session-carry", idle=False)
+    return S.drain(turns(_stream(t)).groupBy("session").transformWithStateInPandas(S.SessionCarry(SESSION_HOURS * 3600.0), S.CARRIED, "append", "ProcessingTime"), "session-carry", idle=False, rocksdb=True)
 
 
 @query(f"""WITH RECURSIVE {REQUESTS}, miss AS (SELECT question, min(ts) AS ts FROM requests GROUP BY 1 UNION ALL
@@ -144,8 +169,7 @@ def stream_session_carry(t: Tables):
 SELECT event_id, CASE WHEN m.ts IS NULL THEN 'hit' ELSE 'miss' END AS outcome FROM requests r LEFT JOIN (SELECT * FROM miss WHERE ts IS NOT NULL) m ON r.question = m.question AND r.ts = m.ts""")
 def stream_cache_replay(t: Tables):
     """cache_replay as state of a stream."""
-    S.with_rocksdb(t.spark)
-    return S.drain(_stream(t).select("question", "ts", "event_id").groupBy("question").transformWithStateInPandas(S.CacheReplay(TTL_HOURS * 3600.0), "event_id long, outcome string", "append", "ProcessingTime"), "cache-replay", idle=False)
+    return S.drain(_stream(t).select("question", "ts", "event_id").groupBy("question").transformWithStateInPandas(S.CacheReplay(TTL_HOURS * 3600.0), "event_id long, outcome string", "append", "ProcessingTime"), "cache-replay", idle=False, rocksdb=True)
 
 
 #: Hours for which the cache keeps that there was no answer.
@@ -157,9 +181,8 @@ miss AS (SELECT question, life, min(ts) AS ts FROM keep GROUP BY ALL UNION ALL S
 SELECT event_id, CASE WHEN m.ts IS NULL THEN 'hit' ELSE 'miss' END AS outcome FROM requests r LEFT JOIN (SELECT * FROM miss WHERE ts IS NOT NULL) m ON r.question = m.question AND r.ts = m.ts""")
 def stream_negative_cache(t: Tables):
     """The cache as state of a stream, in which what was not found (errors) is kept for a shorter time."""
-    S.with_rocksdb(t.spark)
     rows = _stream(t).select("question", "ts", "event_id", (F.col("event_type") != "error").alias("found"))
-    return S.drain(rows.groupBy("question").transformWithStateInPandas(S.CacheReplay(TTL_HOURS * 3600.0, NEGATIVE_HOURS * 3600.0), "event_id long, outcome string", "append", "ProcessingTime"), "negative-cache", idle=False)
+    return S.drain(rows.groupBy("question").transformWithStateInPandas(S.CacheReplay(TTL_HOURS * 3600.0, NEGATIVE_HOURS * 3600.0), "event_id long, outcome string", "append", "ProcessingTime"), "negative-cache", idle=False, rocksdb=True)
 
 
 @query(f"""WITH {REQUESTS}, l AS (SELECT session, ts, lag(ts) OVER (PARTITION BY session ORDER BY ts) AS before FROM requests), i AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL {SESSION_HOURS} HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY ts) AS island FROM l)
@@ -183,6 +206,49 @@ def rate_sliding(t: Tables):
     return w.select("session", F.col("w.start").alias("start_at"), "n")
 
 
+#: Rate limits of two kinds of requests, by groups of users: microseconds a request, and the burst.  The shape is that of
+#: twelve a minute with a burst of 5 and thirty with a burst of 10, stretched to the pace of the log.
+CHAT, FEEDBACK = (6 * 3_600_000_000, 5), (2 * 3_600_000_000, 10)
+
+
+def _limited_sql(interval: int, burst: int, kinds: str) -> str:
+    """The bucket as a fold over each group's requests in order."""
+    grown = f"CASE WHEN s.last IS NULL THEN 0 ELSE greatest(0, s.excess - (x.at - s.last) + {interval}) END"
+    ok = f"{grown} <= {burst * interval}"
+    none = "NULL::BIGINT"
+    return f"""SELECT bucket, unnest(ids) AS event_id, unnest(outs[2:]) AS accepted FROM (
+  SELECT bucket, list(event_id ORDER BY ts, event_id) AS ids, list_reduce(list_prepend({{'at': {none}, 'excess': 0::BIGINT, 'last': {none}, 'outs': [true]}},
+    list(({{'at': epoch_us(ts), 'excess': 0::BIGINT, 'last': {none}, 'outs': [true]}}) ORDER BY ts, event_id)),
+    lambda s, x: {{'at': x.at, 'excess': CASE WHEN {ok} THEN {grown} ELSE s.excess END, 'last': CASE WHEN {ok} THEN x.at ELSE s.last END, 'outs': list_append(s.outs, {ok})}}).outs AS outs
+  FROM (SELECT *, user_id % 16 AS bucket FROM events WHERE event_type IN ({kinds})) GROUP BY bucket)"""
+
+
+def _asked(t: Tables, kinds: tuple[str, ...]):
+    return t.events.where(F.col("event_type").isin(*kinds)).select((F.col("user_id") % 16).alias("bucket"), "ts", "event_id")
+
+
+@query(_limited_sql(*CHAT, "'view', 'click'"))
+def rate_bucket(t: Tables):
+    """Requests that a leaky bucket with a burst lets through, or refuses."""
+    return L.limited(_asked(t, ("view", "click")), "bucket", "ts", "event_id", *CHAT)
+
+
+@query(_limited_sql(*FEEDBACK, "'purchase', 'signup', 'error'"))
+def stream_rate_bucket(t: Tables):
+    """The bucket as state of a stream."""
+    rows = _stream(t).where("event_type NOT IN ('view', 'click')").select((F.col("session") % 16).alias("key"), "ts", "event_id")
+    out = rows.groupBy("key").transformWithStateInPandas(S.LeakyBucket(*FEEDBACK), "key long, event_id long, accepted boolean", "append", "ProcessingTime")
+    return S.drain(out, "rate-bucket", idle=False, rocksdb=True).withColumnRenamed("key", "bucket")
+
+
+@query(f"""WITH x AS (SELECT user_id % 16 AS bucket, event_id, row_number() OVER o * {CHAT[0]} - epoch_us(ts) AS level FROM events WHERE event_type IN ('view', 'click') WINDOW o AS (PARTITION BY user_id % 16 ORDER BY ts, event_id))
+SELECT bucket, event_id, (level - min(level) OVER (PARTITION BY bucket ORDER BY level_turn ROWS UNBOUNDED PRECEDING))::BIGINT AS excess FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY event_ts, event_id) AS level_turn
+  FROM (SELECT x.*, e.ts AS event_ts FROM x JOIN events e USING (event_id)))""")
+def rate_pressure(t: Tables):
+    """How full a bucket would be at each request if none were refused: a running minimum."""
+    return L.pressure(_asked(t, ("view", "click")), "bucket", "ts", "event_id", CHAT[0]).select("bucket", "event_id", "excess")
+
+
 @query(f"WITH {REQUESTS} SELECT question, count(*) AS n FROM requests WHERE event_type IN ('error', 'view') GROUP BY 1")
 def stream_gap_counts(t: Tables):
     """Gap counts as a running aggregate of a stream; of each key the last batch counts."""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators import tasks as K
 from millrace.plans.inputs import HITS, QUESTIONS, REQUESTS, keyword_hits, questions, requests
+from millrace.operators.rules import compiled
 from millrace.plans.registry import Tables, query
+from millrace.plans.rule_tables import met_sql, rule_table
 
 _RULES = "rules(key, parent, o) AS (VALUES " + ", ".join(f"('{k}', '{p}', {o})" for k, p, o, *_ in K.RULES) + ")"
 _ALIASES = "aliases(key, o, a) AS (VALUES " + ", ".join(f"('{k}', {o}, '{a}')" for k, _, o, al, *_ in K.RULES for a in al) + ")"
@@ -56,8 +58,9 @@ def task_eligibility(t: Tables):
 SELECT conv_id, turn, CASE WHEN contact THEN 'in_scope' WHEN short THEN 'out_of_scope' WHEN common THEN 'search_first' ELSE 'in_scope' END AS scope, CASE WHEN contact THEN 0.95::DOUBLE WHEN short THEN 0.8::DOUBLE WHEN common THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM x""")
 def scope_route(t: Tables):
     """In scope, to be searched first, or out of scope."""
-    contact, common, short = F.col("text").contains("@"), F.col("text").rlike("(?i) the | der | le "), F.length("text") < 40
-    said = t.conversations.where("role = 'user'")
+    rules = compiled(rule_table(t))
+    said = t.conversations.where("role = 'user'").withColumn("b", rules.read(F.col("text")))
+    contact, common, short = rules.holds(F.col("b"), "scope.contact"), rules.holds(F.col("b"), "scope.search"), F.length("text") < 40
     return said.select("conv_id", "turn", F.when(contact, "in_scope").when(short, "out_of_scope").when(common, "search_first").otherwise("in_scope").alias("scope"), F.when(contact, 0.95).when(short, 0.8).when(common, 0.6).otherwise(0.5).alias("confidence"))
 
 
@@ -85,14 +88,13 @@ def plan_merge(t: Tables):
     return p.select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).otherwise(F.col("other")).alias("task"), F.array_join(F.array_sort(fields), ",").alias("fields"), F.least("value", "ov").alias("confidence"))
 
 
-FIELDS = (("contact", "@"), ("number", "0"), ("list", "|"), ("title", "."), ("method", "the"), ("period", "der"))
-
-
-@query("WITH f(field, term) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in FIELDS) + "), x AS (SELECT conv_id, turn, string_agg(field, ',' ORDER BY field) AS fields FROM conversations JOIN f ON contains(lower(text), term) GROUP BY ALL) SELECT c.conv_id, c.turn, coalesce(fields, '') AS fields FROM conversations c LEFT JOIN x ON c.conv_id = x.conv_id AND c.turn = x.turn")
+@query(f"""WITH said AS (SELECT conv_id, turn AS place, text FROM conversations), {met_sql("field", "said", "conv_id, place")}, x AS (SELECT conv_id, place, string_agg(substr(rule, 7), ',' ORDER BY turn) AS fields FROM met GROUP BY ALL)
+SELECT conv_id, place AS turn, coalesce(fields, '') AS fields FROM said LEFT JOIN x USING (conv_id, place)""")
 def requested_fields(t: Tables):
-    """Fields whose vocabulary a turn uses."""
-    used = F.array_compact(F.array(*(F.when(F.lower("text").contains(term), F.lit(field)) for field, term in FIELDS)))
-    return t.conversations.select("conv_id", "turn", F.array_join(F.array_sort(used), ",").alias("fields"))
+    """Fields whose vocabulary a turn uses, in the order of the rules."""
+    rules = compiled(rule_table(t))
+    read = t.conversations.select("conv_id", "turn", rules.read(F.col("text")).alias("b"))
+    return read.select("conv_id", "turn", F.array_join(rules.all(F.col("b"), "field."), ",").alias("fields"))
 
 
 @query("SELECT conv_id, turn, turn > 0 AND (regexp_matches(text, '^(?i:and|und|et|y|of|in) ') OR (length(text) <= 28 AND contains(text, ' '))) AS followup FROM conversations")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.functions import nested as N
 from millrace.functions import text as X
 from millrace.operators import pages as P
+from millrace.operators.rules import compiled
 from millrace.plans.inputs import HITS, NOTICES, QUESTIONS, STAFF, keyword_hits, notices, questions, staff
 from millrace.plans.registry import Tables, query
+from millrace.plans.rule_tables import met_sql, rule_table
 from millrace.sources.files import binary_manifest as read_manifest
 from millrace.sources.files import decode_bytes, file_kind
 from millrace.storage import written
@@ -269,15 +272,14 @@ def pii_summary(t: Tables):
     return t.documents.select("lang", F.explode(F.split(_pii(F.col("text")), ",")).alias("label")).where("label <> ''").groupBy("label", "lang").agg(F.count("*").alias("n"))
 
 
-ACTION, INTENT, BENIGN, HIDING, REPORT = "(?i)worthless|stupid|delete", "(?i) the | der | le ", "(?i)please|question", "(?i)hide|secret", "(?i)report|complain"
-
-
-@query(f"""WITH x AS (SELECT conv_id, turn, regexp_matches(text, '{ACTION}') AS a, regexp_matches(text, '{INTENT}') AS i, regexp_matches(text, '{BENIGN}') AS b, regexp_matches(text, '{HIDING}') AS h, regexp_matches(text, '{REPORT}') AS r FROM conversations)
-SELECT conv_id, turn, a AND i AND NOT (b AND NOT h) AS dangerous, a AND r AS reporting FROM x""")
+@query(f"""WITH said AS (SELECT conv_id, turn AS place, text FROM conversations), {met_sql("harm", "said", "conv_id, place")}, x AS (SELECT conv_id, place, list(rule) AS r FROM met GROUP BY ALL)
+SELECT conv_id, place AS turn, coalesce(list_contains(r, 'harm.act') AND NOT (list_contains(r, 'harm.benign') AND NOT list_contains(r, 'harm.hidden')), false) AS dangerous, coalesce(list_contains(r, 'harm.report'), false) AS reporting FROM said LEFT JOIN x USING (conv_id, place)""")
 def unsafe_filter(t: Tables):
     """Action and intent without a benign context, and reports of harm."""
-    flag = {k: F.col("text").rlike(p) for k, p in (("a", ACTION), ("i", INTENT), ("b", BENIGN), ("h", HIDING), ("r", REPORT))}
-    return t.conversations.select("conv_id", "turn", (flag["a"] & flag["i"] & ~(flag["b"] & ~flag["h"])).alias("dangerous"), (flag["a"] & flag["r"]).alias("reporting"))
+    rules = compiled(rule_table(t))
+    said = t.conversations.select("conv_id", "turn", rules.read(F.col("text")).alias("b"))
+    met = {k: rules.holds(F.col("b"), f"harm.{k}") for k in ("act", "benign", "hidden", "report")}
+    return said.select("conv_id", "turn", (met["act"] & ~(met["benign"] & ~met["hidden"])).alias("dangerous"), met["report"].alias("reporting"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+\.[0-9]+') AS versions FROM documents), asked(version) AS (VALUES ('2.0'), ('4.0'), ('3.0'))
@@ -290,17 +292,16 @@ def constraint_filter(t: Tables):
     return t.documents.select("doc_id", versions.alias("v"), asked.alias("version")).select("doc_id", "version", ((F.size("v") == 0) | F.array_contains("v", F.col("version"))).alias("passes"))
 
 
-GROUPS = ("enchè", "erbe", "mente", "shha")
-
-
-@query("WITH g(term) AS (VALUES " + ", ".join(f"('{g}')" for g in GROUPS) + f"""), {NOTICES},
-x AS (SELECT doc_id, term FROM notices CROSS JOIN g WHERE contains(lower(content), term) AND NOT contains(lower(content), 'general') AND NOT contains(lower(title), term))
-SELECT doc_id, count(*) AS rejected_for, min(term) AS first_term FROM x GROUP BY doc_id""")
+@query(f"""WITH {NOTICES}, {met_sql("g", "notices", "doc_id", "content")}, titled AS (SELECT doc_id, rule FROM notices JOIN rules ON contains(lower(title), term) GROUP BY ALL),
+x AS (SELECT m.doc_id, m.rule, t.rule IS NOT NULL AS named FROM met m LEFT JOIN titled t ON m.doc_id = t.doc_id AND m.rule = t.rule WHERE m.rule LIKE 'group.%')
+SELECT doc_id, count(*) AS rejected_for, min(substr(rule, 7)) AS first_group FROM x WHERE named OR doc_id NOT IN (SELECT doc_id FROM met WHERE rule = 'general') GROUP BY doc_id""")
 def scope_reject(t: Tables):
-    """Documents that speak of a special group which the question (here none) does not, unless general or titled so."""
-    terms = F.filter(F.array(*map(F.lit, GROUPS)), lambda g: F.contains(F.lower("content"), g) & ~F.contains(F.lower("title"), g))
-    rows = notices(t).where(~F.lower("content").contains("general")).select("doc_id", terms.alias("x")).where(F.size("x") > 0)
-    return rows.groupBy("doc_id").agg(F.sum(F.size("x")).alias("rejected_for"), F.min(F.array_min("x")).alias("first_term"))
+    """Documents for a special group that the question (here none) does not name: titled so, or speaking of it and not general."""
+    rules = compiled(rule_table(t))
+    read = notices(t).select("doc_id", rules.read(F.col("content")).alias("b"), rules.read(F.col("title")).alias("n"))
+    general = rules.holds(F.col("b"), "general")
+    groups = F.when(general, F.array_intersect(rules.all(F.col("b"), "group."), rules.all(F.col("n"), "group."))).otherwise(rules.all(F.col("b"), "group."))
+    return read.select("doc_id", groups.alias("g")).where(F.size("g") > 0).select("doc_id", F.size("g").alias("rejected_for"), F.array_min("g").alias("first_group"))
 
 
 @query("""WITH p(name, lo, hi) AS (VALUES ('early', NULL::TIMESTAMP, TIMESTAMP '1996-01-01'), ('middle', TIMESTAMP '1996-01-01', TIMESTAMP '1998-01-01'), ('late', TIMESTAMP '1998-01-01', NULL::TIMESTAMP))
@@ -313,17 +314,11 @@ def range_join_open_ended(t: Tables):
     return t.orders.join(F.broadcast(p), inside).groupBy("name").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("s"))
 
 
-ROLES = (("canonical", "licensed", "released"), ("special", "token =", "licensed"), ("contact", "@", "token ="))
-
-
-@query("WITH r(role, must, mustnot, i) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {i})" for i, (a, b, c) in enumerate(ROLES)) + """)
-SELECT doc_id, coalesce(min_by(role, i), 'plain') AS role FROM documents LEFT JOIN r ON contains(lower(text), must) AND NOT contains(lower(text), mustnot) GROUP BY doc_id""")
+@query(f"WITH {met_sql('role', 'documents', 'doc_id')} SELECT d.doc_id, coalesce(substr(min_by(rule, turn), 6), 'plain') AS role FROM documents d LEFT JOIN met USING (doc_id) GROUP BY 1")
 def role_rules(t: Tables):
-    """The first rule whose word a document has without the rule's forbidden word."""
-    role = F.lit("plain")
-    for name, must, never in reversed(ROLES):
-        role = F.when(F.lower("text").contains(must) & ~F.lower("text").contains(never), F.lit(name)).otherwise(role)
-    return t.documents.select("doc_id", role.alias("role"))
+    """The first rule whose terms a document has without the rule's forbidden ones."""
+    rules = compiled(rule_table(t))
+    return t.documents.select("doc_id", rules.read(F.col("text")).alias("b")).select("doc_id", F.coalesce(rules.first(F.col("b"), "role."), F.lit("plain")).alias("role"))
 
 
 @query(f"""SELECT doc_id, concat_ws(',', CASE WHEN length(text) < 120 THEN 'short' END, CASE WHEN contains(text, '@') AND NOT regexp_matches(text, '{X.EMAIL}') THEN 'contact' END,
@@ -347,7 +342,16 @@ def term_support_filter(t: Tables):
     return keyword_hits(t).where("hits = n").select("item_id", "doc_id", "hits")
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(text, 'https?://|(?i:rm -|<[a-z]+>|sudo )') OR length(text) > 2000 AS quarantined FROM conversations")
+#: What a plan may hold: turns, characters of a turn.
+_CAPS = {"turns": 6, "text": 1500}
+
+
+@query(f"""WITH v AS (SELECT conv_id, -1 AS turn, '$.turns' AS path, 'too_many' AS reason, 0 AS o FROM conversations GROUP BY 1 HAVING count(*) > {_CAPS["turns"]}
+  UNION ALL SELECT conv_id, place, '$.turns[' || place || '].text', CASE WHEN regexp_matches(text, '{N.UNSAFE}') THEN 'unsafe' ELSE 'too_long' END, 1
+  FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) WHERE regexp_matches(text, '{N.UNSAFE}') OR length(text) > {_CAPS["text"]})
+SELECT conv_id, path, reason FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY o, turn) = 1""")
 def quarantine_split(t: Tables):
-    """Turns with links, shell words or tags, or over length, are set apart."""
-    return t.conversations.select("conv_id", "turn", (F.col("text").rlike("https?://|(?i:rm -|<[a-z]+>|sudo )") | (F.length("text") > 2000)).alias("quarantined"))
+    """Plans (here conversations as nested values) that may not be used, with the path and reason of the first violation."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    plans = t.conversations.groupBy("conv_id").agg(F.struct(turns.alias("turns")).alias("plan"))
+    return N.quarantine(plans, "plan", caps=_CAPS)[1].select("conv_id", "path", "reason")

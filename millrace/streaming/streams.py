@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from millrace.operators.limits import admit
 from millrace.storage import new_path
 
 IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -21,6 +22,7 @@ IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 #: Seconds that events may be processed after their time before state may be gone.
 LATE = 7 * 86400.0
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,20 +37,24 @@ def source(spark: SparkSession, path: str, bytes_per_batch: int = 256 << 20) ->
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append", idle: bool = True) -> DataFrame:
+def drain(stream: DataFrame, label: str, mode: str = "append", idle: bool = True, rocksdb: bool = False) -> DataFrame:
     """Run the stream over what there is into a Parquet table, and read the table.
 
     idle False leaves out micro-batches without data, of which state that expires by processing time asks for one after the other.
+    rocksdb keeps this stream's state there, as transformWithState demands.  The caller's session is left as it was.
     """
     spark, out = stream.sparkSession, new_path(stream.sparkSession, label)
     writer = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", new_path(spark, f"{label}-progress")).trigger(availableNow=True)
-    before = spark.conf.get(IDLE)
+    wanted = {IDLE: str(idle).lower()} | ({PROVIDER: ROCKSDB} if rocksdb else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
     # a stream keeps the settings of its start
-    spark.conf.set(IDLE, str(idle).lower())
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         running = writer.start()
     finally:
-        spark.conf.set(IDLE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -64,10 +70,6 @@ def drain_updates(stream: DataFrame, label: str, apply: Callable[[DataFrame], Da
     return spark.read.option("basePath", out).parquet(out)
 
 
-def with_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 CARRIED = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("session", T.LongType()), T.StructField("year", T.IntegerType()), T.StructField("task", T.StringType())])
 
 
@@ -129,6 +131,33 @@ class CacheReplay(StatefulProcessor):
         pass
 
 
+class LeakyBucket(StatefulProcessor):
+    """Per key the bucket of a rate limit (see operators.limits): its excess and the time of the last request let through.
+
+    Rows are (key, ts, event_id); what comes out is (key, event_id, accepted).  A bucket that must have
+    drained since leaves the store, as in SessionCarry.
+    """
+
+    def __init__(self, interval: int, burst: int, late: float = LATE):
+        self.interval, self.burst, self.keep = interval, burst, int(((burst + 1) * interval / 1e6 + late) * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("bucket", "excess long, last long", self.keep)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        excess, last = self.state.get() if self.state.exists() else (None, None)
+        # times and ids only, in order of time
+        pdf = pd.concat([r[["ts", "event_id"]] for r in rows]).sort_values(["ts", "event_id"], na_position="first")
+        times = [None if pd.isna(x) else int(x.value // 1000) for x in pdf["ts"]]
+        accepted, excess, last = admit(times, excess, last, self.interval, self.burst)
+        if excess is not None:
+            self.state.update((excess, last))
+        yield pd.DataFrame({"key": key[0], "event_id": pdf["event_id"], "accepted": accepted})
+
+    def close(self) -> None:
+        pass
+
+
 def replay(pdf: pd.DataFrame, expires: float | None, ttl: float, negative: float | None = None) -> tuple[list[str], float | None]:
     """Outcomes of requests in order of time, and when the entry expires after them.
 

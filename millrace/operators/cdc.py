@@ -58,5 +58,3 @@ def published(old: DataFrame, new: DataFrame, key: str, value: str, verified: st
     )
 
 
-def union_sources(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.operators.cdc import union_sources
 from millrace.plans.inputs import HITS, NOTICES, PERIODS, REQUESTS, STAFF, keyword_hits, notices, periods, requests, staff
 from millrace.plans.registry import Tables, query
+from millrace.sources.isolated import Source, union_isolated
 
 
 @query("SELECT doc_id, greatest(1, (length(text) - 180 + 1219) // 1220) AS chunks, quality, substr(text, 1, 40) AS head FROM documents JOIN labels USING (doc_id) WHERE toxic = 0")
@@ -356,11 +357,15 @@ def number_grounding(t: Tables):
     return c.select("conv_id", "turn", numbers("text").alias("s"), numbers("answer").alias("a")).select("conv_id", "turn", F.size("a").alias("numbers"), (F.size(F.array_except("a", "s")) == 0).alias("grounded"))
 
 
-@query("SELECT doc_id AS id, 'doc' AS kind, length(text) AS n FROM documents UNION ALL SELECT page_id, 'page', length(html) FROM pages UNION ALL SELECT item_id, 'item', length(text) FROM benchmark")
+@query("""SELECT 'documents' AS source, 'row' AS kind, doc_id AS id, length(text) AS n FROM documents UNION ALL SELECT 'benchmark', 'row', item_id, length(text) FROM benchmark
+UNION ALL SELECT 'conversations', 'source', NULL, NULL UNION ALL SELECT 'absent', 'source', NULL, NULL""")
 def multi_source_union(t: Tables):
-    """Records of several sources as one table."""
-    rows = lambda df, key, kind, c: df.select(F.col(key).alias("id"), F.lit(kind).alias("kind"), F.length(c).alias("n"))
-    return union_sources([rows(t.documents, "doc_id", "doc", "text"), rows(t.pages, "page_id", "page", "html"), rows(t.benchmark, "item_id", "item", "text")])
+    """Records of several sources as one table; one has other columns and one is not there, which makes a row of errors each."""
+    own = lambda name, key: Source(name, collect=lambda: getattr(t, name).withColumnRenamed(key, "id"))
+    sources = [own("documents", "doc_id"), own("benchmark", "item_id"), own("conversations", "item_id"), Source("absent", f"{t.sf_dir}/absent.parquet")]
+    rows, errors = union_isolated(t.spark, sources, T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())]))
+    none = F.lit(None)
+    return rows.select("source", F.lit("row").alias("kind"), "id", F.length("text").alias("n")).unionByName(errors.select("source", "kind", none.cast("long").alias("id"), none.cast("int").alias("n")))
 
 
 @query("""WITH r(w, lo, hi) AS (VALUES ('any', 0, 1000000), ('cheap', 0, 150000), ('middle', 100000, 300000), ('narrow', 140000, 160000))

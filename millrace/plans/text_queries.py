@@ -14,7 +14,8 @@ from millrace.plans.registry import Tables, query
 from millrace.plans.rule_tables import met_sql, rule_table
 from millrace.sources.files import binary_manifest as read_manifest
 from millrace.sources.files import decode_bytes, file_kind
-from millrace.storage import written
+from millrace.sources.export import export_nested as write_export
+from millrace.storage import new_path, written
 
 #: SQL twins of the text expressions.
 SQ = r"trim(regexp_replace({}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
@@ -128,13 +129,14 @@ def catalog_filter(t: Tables):
 @query("""WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines FROM lineitem GROUP BY 1)
 SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS published, coalesce(lines, '') AS lines FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""")
 def export_nested(t: Tables):
-    """Parents with their children nested in order, as the JSON export has them (here joined to a string)."""
-    child = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    nested = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(child)).alias("c"))
-    lines = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"), x["l_suppkey"].cast("string"))), ",")
-    return t.orders.join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        "o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("published"), F.coalesce(lines, F.lit("")).alias("lines")
-    )
+    """Orders with their lines nested, newest first, written by the export's own sink, and what reading it gives."""
+    parents = t.orders.select(F.col("o_orderkey").alias("key"), "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("published"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_partkey", "l_suppkey")
+    path = new_path(t.spark, "export")
+    write_export(parents, lines, "key", [F.desc("published"), "key"], ["l_linenumber", "l_partkey", "l_suppkey"], path, "lines")
+    back = t.spark.read.schema("key long, o_custkey long, published string, lines array<struct<l_linenumber:int,l_partkey:long,l_suppkey:long>>").json(f"{path}/part-*.json")
+    told = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"), x["l_suppkey"].cast("string"))), ",")
+    return back.select(F.col("key").alias("o_orderkey"), "o_custkey", "published", told.alias("lines"))
 
 
 @query(f"SELECT doc_id, {sql_normalize('text')} AS content FROM documents")

@@ -68,6 +68,25 @@ def identity_missed(terms: Column, title: Column) -> Column:
     return (F.size(terms) > 0) & ~F.exists(terms, lambda w: F.contains(compact(title), w))
 
 
+def identity_share(terms: Column, title: Column) -> Column:
+    """The share of the identity terms that the title's comparison key holds; 0 without terms."""
+    return F.size(F.filter(terms, lambda w: F.contains(compact(title), w))) / F.greatest(F.size(terms), F.lit(1))
+
+
+def years(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("20[0-9]{2}"), F.lit(0))
+
+
+def year_of(question: Column) -> Column:
+    """The year that a question asks about, else null."""
+    return F.nullif(F.regexp_extract(question, "20[0-9]{2}", 0), F.lit("")).cast("int")
+
+
+def year_missed(asked: Column, named: Column) -> Column:
+    """A year is asked for, and the title names years but not that one."""
+    return F.coalesce(asked.isNotNull() & (F.size(named) > 0) & ~F.array_contains(named, asked.cast("string")), F.lit(False))
+
+
 def first_reason(reasons: Sequence[tuple[str, Column]]) -> Column:
     """The name of the first condition that holds, else null."""
     return F.coalesce(*(F.when(c, F.lit(name)) for name, c in reasons))

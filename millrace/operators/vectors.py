@@ -11,6 +11,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,24 +175,25 @@ HELD = 512
 _words = re.compile(TOKEN).findall
 
 
-def _by_blocks(docs: DataFrame, questions: DataFrame, columns: list[str], work: Callable, schema: T.StructType | str, vectors: bool = True) -> DataFrame:
+def _by_blocks(docs: DataFrame, questions: DataFrame, columns: list[str], work: Callable, schema: T.StructType, vectors: bool = True) -> DataFrame:
     """work(questions, their vectors), called in a task, gives what is made of (held rows of docs, their vectors).
 
-    The questions go out a block at a time; without ``vectors`` none are made.
+    The questions' words go out a block at a time, and each task makes their vectors; without
+    ``vectors`` none are made.  What is made is a record batch.
     """
     parts = []
     for block in _in_blocks(questions, "item_id"):
-        matrix = Places().vectors(block["text"].map(_words).tolist()) if vectors else None
 
-        def run(batches: Iterator[pd.DataFrame], block=block, matrix=matrix) -> Iterator[pd.DataFrame]:
-            places, apply = Places(), work(block, matrix)
-            for pdf in batches:
-                for at in range(0, len(pdf), HELD):
-                    held = pdf.iloc[at : at + HELD]
-                    held = held.assign(_words=held["text"].map(_words))
-                    yield apply(held, places.vectors(held["_words"].tolist()) if vectors else None)
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            places = Places()
+            apply = work(block, places.vectors(block["text"].map(_words).tolist()) if vectors else None)
+            for batch in batches:
+                for at in range(0, len(batch), HELD):
+                    held = batch.slice(at, HELD)
+                    words = [_words(x) for x in held.column("text").to_pylist()]
+                    yield apply(held, words, places.vectors(words) if vectors else None)
 
-        parts.append(docs.select(*columns).mapInPandas(run, schema))
+        parts.append(docs.select(*columns).mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -204,15 +206,17 @@ def lexical_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """
 
     def work(block: pd.DataFrame, matrix: np.ndarray) -> Callable:
-        def apply(held: pd.DataFrame, vectors: np.ndarray) -> pd.DataFrame:
+        def apply(held: pa.RecordBatch, words: list, vectors: np.ndarray) -> pa.RecordBatch:
             said = np.round(matrix @ vectors.T, 6)
             said[(matrix > 0).astype(np.float32) @ (vectors > 0).astype(np.float32).T == 0] = -1
             q, d = _best(said, k, 0.0)
-            return pd.DataFrame({"item_id": block["item_id"].to_numpy()[q], "doc_id": held["doc_id"].to_numpy()[d], "cosine": said[q, d]})
+            columns = [pa.array(block["item_id"].to_numpy()[q]), held.column("doc_id").take(pa.array(d)), pa.array(said[q, d])]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
 
         return apply
 
-    near = _by_blocks(docs, questions, ["doc_id", "text"], work, "item_id long, doc_id long, cosine double")
+    schema = T.StructType([T.StructField("item_id", T.LongType()), docs.schema["doc_id"], T.StructField("cosine", T.DoubleType())])
+    near = _by_blocks(docs, questions, ["doc_id", "text"], work, schema)
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cosine"), "doc_id"))
     return near.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
@@ -263,18 +267,22 @@ def keyword_matches(docs: DataFrame, questions: DataFrame, carry: list[str], vec
             row = np.repeat(np.arange(len(texts)), [len(h) for h in held])
             return spread(row, np.fromiter(chain.from_iterable(held), np.int64), size, flat, len(texts), len(items))
 
-        def apply(held: pd.DataFrame, x: np.ndarray | None) -> pd.DataFrame:
-            hits, titled = counted(held["_words"].tolist()), counted(held["title"].map(_words).tolist())
+        def apply(held: pa.RecordBatch, words: list, x: np.ndarray | None) -> pa.RecordBatch:
+            hits, titled = counted(words), counted([_words(t) for t in held.column("title").to_pylist()])
             d, q = np.nonzero(hits)
-            out = held[carry].iloc[d].reset_index(drop=True)
-            out = out.assign(item_id=items[q], n=n[q], hits=hits[d, q], title_hits=titled[d, q])
-            return out if x is None else out.assign(vector=np.round(x @ matrix.T, 6)[d, q])
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(d, minlength=len(held)))].astype(np.int32))
+            made = [items[q], n[q], hits[d, q], titled[d, q]] + ([] if x is None else [np.round(x @ matrix.T, 6)[d, q]])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(m)) for m in made]
+            return pa.RecordBatch.from_arrays([*(held.column(c) for c in carry), *lists], [*carry, *names])
 
         return apply
 
-    names = ["item_id", "n", "hits", "title_hits"]
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in names), *([T.StructField("vector", T.DoubleType())] if vectors else []), *(docs.schema[c] for c in carry)])
-    return _by_blocks(docs, questions, list(dict.fromkeys(["text", "title", *carry])), work, schema, vectors)
+    names = ["item_id", "n", "hits", "title_hits", *(["vector"] if vectors else [])]
+    lists = [T.StructField(c, T.ArrayType(T.DoubleType() if c == "vector" else T.LongType())) for c in names]
+    schema = T.StructType([*(docs.schema[c] for c in carry), *lists])
+    found = _by_blocks(docs, questions, list(dict.fromkeys(["text", "title", *carry])), work, schema, vectors)
+    # one row a document crosses from Python, with lists of its questions; pairs are made of it here
+    return found.select(F.inline(F.arrays_zip(*names)), *carry)
 
 
 def links(vectors: DataFrame, least: float) -> DataFrame:

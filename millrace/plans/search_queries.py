@@ -31,20 +31,28 @@ GENERAL = ("general", "version")
 ASKS = {"contact": ("hand",), "procedure": ("ionth", "stly"), "current": ("heron", "tion")}
 SOURCES = (("src0", "needs", "contact"), ("src1", "bars", "procedure"))
 GUIDES = ("src5", "src7")
+#: Sources whose age counts, and those that are written for a year.
+NEWS, CATALOGUES = ("src0", "src2", "src4"), ("src3",)
 NAMED_TASKS, COMMON = ("text.german", "license.use"), ("der", "die", "und", "the", "of")
 OPEN_DAYS = 90
 
 
+#: The weight of vectors that are made of words; vectors of a model would weigh 0.18.
+LEXICAL = 0.05
+
+
 def notice_score(bonus: Column) -> Column:
     """The weighted sum of a candidate's parts, rounded to 5 digits."""
     n = F.greatest("n", F.lit(1))
     source = F.least(F.greatest(F.col("source_priority"), F.lit(0)), F.lit(120)) / F.lit(120.0) * 0.2
     category = F.when(F.col("category") == F.col("asks_category"), G.SAME_CATEGORY).otherwise(0.0)
-    fresh = F.when(F.col("current"), freshness(F.col("published_at"), stamp(AS_OF_DOCS))).otherwise(0.0)
+    fresh = F.when(F.col("current") & F.col("source_type").isin(*NEWS), freshness(F.col("published_at"), stamp(AS_OF_DOCS))).otherwise(0.0)
     guide = F.when(F.col("procedure") & F.col("source_type").isin(*GUIDES), G.GUIDE).otherwise(0.0)
     special = F.bit_count(G.unasked(F.col("title_readers"), F.col("asks_readers"))) * F.lit(G.SPECIAL)
+    year = F.when(F.col("asks_year") == F.year("published_at"), 0.1).otherwise(0.0)
+    named = F.col("identity") * F.when(F.size("named") > 0, 0.9).otherwise(0.0)
     return F.round(
-        F.col("vector") * 0.18 + F.col("hits") / n * 0.32 + F.col("title_hits") / n * 0.30 + category + G.status_score(F.col("status"), F.col("current")) + fresh + source + guide + bonus - special, 5
+        F.col("vector") * LEXICAL + F.col("hits") / n * 0.32 + F.col("title_hits") / n * 0.30 + category + year + G.status_score(F.col("status"), F.col("current")) + fresh + source + guide + bonus - special + named, 5
     )
 
 
@@ -54,7 +62,7 @@ def asks(t: Tables) -> DataFrame:
     flags = [G.holds(low, terms).alias(name) for name, terms in ASKS.items()]
     task = K.primary(low)
     named = F.when(task.isin(*NAMED_TASKS), G.identity_terms(F.col("keywords"), COMMON)).otherwise(F.array().cast("array<string>"))
-    return questions(t).select("item_id", task.alias("asks_task"), K.parent_of(task).alias("asks_category"), G.group_bits(low, READERS).alias("asks_readers"), named.alias("named"), *flags)
+    return questions(t).select("item_id", task.alias("asks_task"), K.parent_of(task).alias("asks_category"), G.group_bits(low, READERS).alias("asks_readers"), named.alias("named"), G.year_of(low).alias("asks_year"), *flags)
 
 
 def candidates(t: Tables, visible: bool = False) -> DataFrame:
@@ -70,12 +78,14 @@ def candidates(t: Tables, visible: bool = False) -> DataFrame:
     held = K.primary(low)
     told = {
         "status": period_status(F.col("published_at"), until, stamp(AS_OF_DOCS)), "task": held, "category": K.parent_of(held), "barred": K.bars(title, low),
-        "readers": G.group_bits(low, READERS), "title_readers": G.group_bits(title, READERS), "general": G.holds(low, GENERAL),
+        "readers": G.group_bits(low, READERS), "title_readers": G.group_bits(title, READERS), "general": G.holds(low, GENERAL), "title_years": G.years(title),
     }
     docs = meta.select(*carry, low.alias("text"), title.alias("title"), *(c.alias(name) for name, c in told.items()))
     pairs = keyword_matches(docs, asked(t), [*carry, "title", *told]).join(asks(t), "item_id")
     bonus, reason = K.judged(F.col("asks_task"), F.col("task"), F.col("barred"))
+    pairs = pairs.withColumn("identity", G.identity_share(F.col("named"), F.col("title"))).withColumn("exact_task", F.coalesce(reason == "task", F.lit(False)))
     gate = G.first_reason([
+        ("year", G.year_missed(F.col("asks_year"), F.col("title_years"))),
         ("source_type", G.source_rejected(F.col("source_type"), {a: F.col(a) for a in ASKS}, SOURCES)),
         ("special_group", G.scope_rejected(F.col("readers"), F.col("title_readers"), F.col("asks_readers"), F.col("general"))),
         ("identity", G.identity_missed(F.col("named"), F.col("title"))),
@@ -93,22 +103,25 @@ _SCOPE = " OR ".join(f"(NOT {_any('q', x)} AND ({_any('lower(title)', x)} OR ({_
 _SPECIAL = " + ".join(f"(CASE WHEN {_any('lower(title)', x)} AND NOT {_any('q', x)} THEN 1 ELSE 0 END)" for _, x in READERS)
 _SOURCE = " OR ".join(f"(source_type = '{s}' AND {'NOT ' if kind == 'needs' else ''}{ask})" for s, kind, ask in SOURCES)
 _IN = lambda names: "(" + ", ".join(f"'{x}'" for x in names) + ")"
-_SCORE = f"""round(vector * 0.18::DOUBLE + hits / greatest(n, 1)::DOUBLE * 0.32::DOUBLE + title_hits / greatest(n, 1)::DOUBLE * 0.30::DOUBLE + CASE WHEN category = asks_category THEN 0.25::DOUBLE ELSE 0 END
-  + (CASE status WHEN 'active' THEN 0.15::DOUBLE WHEN 'upcoming' THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN current AND status = 'expired' THEN 0.3::DOUBLE ELSE 0 END)
-  + CASE WHEN current THEN greatest(0::DOUBLE, 1 - date_diff('day', published_at, TIMESTAMP '{AS_OF_DOCS}') / 365::DOUBLE) * 0.12::DOUBLE ELSE 0 END + least(greatest(source_priority, 0), 120) / 120::DOUBLE * 0.2::DOUBLE
-  + CASE WHEN procedure AND source_type IN {_IN(GUIDES)} THEN 0.2::DOUBLE ELSE 0 END + CASE reason WHEN 'task' THEN 0.45::DOUBLE WHEN 'parent' THEN 0.35::DOUBLE WHEN 'terms' THEN 0.12::DOUBLE ELSE 0 END - ({_SPECIAL}) * 0.18::DOUBLE, 5)"""
-_GATE = f"""CASE WHEN {_SOURCE} THEN 'source_type' WHEN {_SCOPE} THEN 'special_group'
+_NAMED = f"(asks_task IN {_IN(NAMED_TASKS)} AND len(named) > 0)"
+_SHARE = f"(CASE WHEN {_NAMED} THEN len(list_filter(named, lambda x: contains(regexp_replace(lower(title), '[^0-9a-z가-힣]+', '', 'g'), x))) / len(named)::DOUBLE ELSE 0 END)"
+_SCORE = f"""round(vector * {LEXICAL}::DOUBLE + hits / greatest(n, 1)::DOUBLE * 0.32::DOUBLE + title_hits / greatest(n, 1)::DOUBLE * 0.30::DOUBLE + CASE WHEN category = asks_category THEN 0.25::DOUBLE ELSE 0 END
+  + CASE WHEN asks_year = year(published_at) THEN 0.1::DOUBLE ELSE 0 END + (CASE status WHEN 'active' THEN 0.15::DOUBLE WHEN 'upcoming' THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN current AND status = 'expired' THEN 0.3::DOUBLE ELSE 0 END)
+  + CASE WHEN current AND source_type IN {_IN(NEWS)} THEN greatest(0::DOUBLE, 1 - date_diff('day', published_at, TIMESTAMP '{AS_OF_DOCS}') / 365::DOUBLE) * 0.12::DOUBLE ELSE 0 END + least(greatest(source_priority, 0), 120) / 120::DOUBLE * 0.2::DOUBLE
+  + CASE WHEN procedure AND source_type IN {_IN(GUIDES)} THEN 0.2::DOUBLE ELSE 0 END + CASE reason WHEN 'task' THEN 0.45::DOUBLE WHEN 'parent' THEN 0.35::DOUBLE WHEN 'terms' THEN 0.12::DOUBLE ELSE 0 END - ({_SPECIAL}) * 0.18::DOUBLE + {_SHARE} * CASE WHEN {_NAMED} THEN 0.9::DOUBLE ELSE 0 END, 5)"""
+_YEARS = "regexp_extract_all(lower(title), '20[0-9]{2}')"
+_GATE = f"""CASE WHEN asks_year IS NOT NULL AND len({_YEARS}) > 0 AND NOT list_contains({_YEARS}, asks_year::VARCHAR) THEN 'year' WHEN {_SOURCE} THEN 'source_type' WHEN {_SCOPE} THEN 'special_group'
   WHEN asks_task IN {_IN(NAMED_TASKS)} AND len(named) > 0 AND len(list_filter(named, lambda x: contains(regexp_replace(lower(title), '[^0-9a-z가-힣]+', '', 'g'), x))) = 0 THEN 'identity'
   WHEN reason IN ('excluded_title', 'missing_terms') THEN 'task' END"""
 CAND = f"""{HITS}, {NOTICES}, {ITEM_VECTORS}, {DOC_VECTORS}, dots AS (SELECT item_id, doc_id, round(sum(d.weight * q.weight), 6) AS vector FROM dv d JOIN qv q USING (idx) GROUP BY ALL), {DETECT}, {ELIGIBLE}, {ASKED_TASK},
-qa AS (SELECT item_id, lower(text) AS q, qt.task AS asks_task, rules.parent AS asks_category, {_ASKS} FROM benchmark LEFT JOIN qt USING (item_id) LEFT JOIN rules ON rules.key = qt.task),
+qa AS (SELECT item_id, lower(text) AS q, qt.task AS asks_task, rules.parent AS asks_category, try_cast(nullif(regexp_extract(lower(text), '20[0-9]{{2}}'), '') AS INTEGER) AS asks_year, {_ASKS} FROM benchmark LEFT JOIN qt USING (item_id) LEFT JOIN rules ON rules.key = qt.task),
 qi AS (SELECT item_id, list(DISTINCT w) AS named FROM (SELECT item_id, regexp_replace(w, '[^0-9a-z가-힣]+', '', 'g') AS w FROM qkw) WHERE length(w) >= 2 AND w NOT IN {_IN(COMMON)} AND NOT regexp_matches(w, '^20[0-9][0-9]$') GROUP BY 1),
 pairs AS (SELECT h.item_id, h.doc_id, n, hits, title_hits, coalesce(vector, 0) AS vector, x.* EXCLUDE (doc_id), qa.* EXCLUDE (item_id), coalesce(named, []) AS named, rules.parent AS category, r.reason,
   CASE WHEN published_at > TIMESTAMP '{AS_OF_DOCS}' THEN 'upcoming' WHEN published_at + to_days({OPEN_DAYS}) < TIMESTAMP '{AS_OF_DOCS}' THEN 'expired' ELSE 'active' END AS status
   FROM hits h JOIN notices x ON x.doc_id = h.doc_id JOIN qa ON qa.item_id = h.item_id LEFT JOIN qi ON qi.item_id = h.item_id LEFT JOIN dots ON dots.item_id = h.item_id AND dots.doc_id = h.doc_id
   LEFT JOIN first ON first.doc_id = h.doc_id LEFT JOIN rules ON rules.key = first.task LEFT JOIN r ON r.doc_id = h.doc_id AND r.asked = qa.asks_task),
 cand AS (SELECT *, {_SCORE} AS score, {_GATE} AS gate FROM pairs)"""
-TIER = "CASE WHEN title_hits = n THEN 4 WHEN title_hits * 2 >= n THEN 3 WHEN hits = n THEN 2 WHEN title_hits > 0 THEN 1 ELSE 0 END"
+TIER = f"CASE WHEN procedure AND source_type IN {_IN(GUIDES)} AND reason = 'task' THEN 4 WHEN {_NAMED} AND {_SHARE} >= 0.5 THEN 3 WHEN source_type IN {_IN(CATALOGUES)} AND list_contains({_YEARS}, asks_year::VARCHAR) THEN 2 WHEN reason = 'task' THEN 1 ELSE 0 END"
 PLACED = CAND + f", placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {TIER} DESC, score DESC, source_priority DESC, published_at DESC, doc_id) AS place FROM cand WHERE processed AND gate IS NULL AND score >= 0.34)"
 
 
@@ -119,9 +132,10 @@ def hybrid_score_notice(t: Tables):
 
 
 def tier() -> Column:
-    """How hard a candidate matches: all keywords in the title, half of them, all in the text, some in the title, others."""
-    n, title = F.col("n"), F.col("title_hits")
-    return F.when(title == n, 4).when(title * 2 >= n, 3).when(F.col("hits") == n, 2).when(title > 0, 1).otherwise(0)
+    """How hard a candidate matches: the guide to what is asked, a title with half of what the question names, the catalogue of its year, its task, others."""
+    guide = F.col("procedure") & F.col("source_type").isin(*GUIDES) & F.col("exact_task")
+    cohort = F.col("source_type").isin(*CATALOGUES) & F.coalesce(F.array_contains("title_years", F.col("asks_year").cast("string")), F.lit(False))
+    return F.when(guide, 4).when((F.size("named") > 0) & (F.col("identity") >= 0.5), 3).when(cohort, 2).when(F.col("exact_task"), 1).otherwise(0)
 
 
 def placed(t: Tables, limit: int = 1 << 30) -> DataFrame:
@@ -168,11 +182,10 @@ _LINES = """units AS (SELECT doc_id, length(regexp_extract(text, '^[^\n]*')) AS
 @query(f"WITH {CAND}, {_LINES} SELECT item_id, doc_id, CASE WHEN breaks > 3 THEN round(score + 0.1::DOUBLE, 5) ELSE score END AS score, CASE WHEN breaks > 3 THEN 'unit' ELSE 'document' END AS kind FROM cand JOIN units USING (doc_id)")
 def candidate_union(t: Tables):
     """Candidates of documents and of units in one list; where both have a document, the unit counts."""
-    docs = candidates(t).select("item_id", "doc_id", "score", F.lit("document").alias("kind"), F.lit(0).alias("rank"))
-    breaks = t.documents.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks")).where("breaks > 3").select("doc_id")
-    units = docs.join(breaks, "doc_id", "left_semi").select("item_id", "doc_id", F.round(F.col("score") + 0.1, 5).alias("score"), F.lit("unit").alias("kind"), F.lit(1).alias("rank"))
-    best = docs.unionByName(units).groupBy("item_id", "doc_id").agg(F.max_by(F.struct("score", "kind"), "rank").alias("x"))
-    return best.select("item_id", "doc_id", "x.score", "x.kind")
+    breaks = t.documents.select(F.col("doc_id").alias("_id"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks")).where("breaks > 3").select("_id")
+    unit = F.col("_id").isNotNull()
+    found = candidates(t).select("item_id", "doc_id", "score").join(breaks, F.col("doc_id") == F.col("_id"), "left")
+    return found.select("item_id", "doc_id", F.when(unit, F.round(F.col("score") + 0.1, 5)).otherwise(F.col("score")).alias("score"), F.when(unit, "unit").otherwise("document").alias("kind"))
 
 
 @query(f"""WITH {HITS}, c AS (SELECT doc_id, unnest(range(0, greatest(1, ((length(text) - 180 + 1219) // 1220)))) AS i, text FROM documents),

@@ -110,10 +110,10 @@ def vector_topk(t: Tables):
     return V.top_k(t.embeddings, _queries(t), 10, 0.1).select("query_id", "vec_id", "cosine")
 
 
-@query(f"WITH {DENSE} SELECT query_id, vec_id, cosine FROM c WHERE cosine >= 0.45 AND query_id < vec_id")
+@query(f"WITH {DENSE} SELECT query_id, vec_id, cosine FROM c WHERE cosine >= 0.45")
 def vector_pairs(t: Tables):
-    """Pairs of a query vector and a later one above a least cosine: a search; vector_links joins all with all."""
-    return V.top_k(t.embeddings, _queries(t), None, 0.45).where("query_id < vec_id").select("query_id", "vec_id", "cosine")
+    """All neighbours of each query vector above a least cosine: a search; vector_links joins all with all."""
+    return V.top_k(t.embeddings, _queries(t), None, 0.45).select("query_id", "vec_id", "cosine")
 
 
 @query("""WITH g AS (SELECT min(vec_id) AS vec_id, count(*) AS n, embedding FROM embeddings WHERE vec_id IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0 GROUP BY embedding),

@@ -288,7 +288,8 @@ def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     met = runs.join(shared, "m").where(F.col("mixed") | (_at() != F.col("first")))
     met = write_table(met.drop("first"), "met-runs")
     mixed = met.where("mixed")
-    firsts = mixed.groupBy("m", "h").agg(F.min(_at()).alias("first"))
+    # written, so that the join below has a plain shuffle on either side, whose hot part Spark can split
+    firsts = write_table(mixed.groupBy("m", "h").agg(F.min(_at()).alias("first")), "first-runs")
     told = write_table(mixed.join(firsts, ["m", "h"]).withColumn("leads", _at() == F.col("first")).drop("first", "mixed"), "mixed-runs")
     whole = met.where("NOT mixed").select("doc_id", "twin", "start", "n").unionByName(told.where("NOT leads").select("doc_id", "twin", "start", "n"))
     whole = whole.select("doc_id", "twin", "start", (F.col("start") + F.col("n") + (WIDTH - 1)).alias("stop"))
@@ -304,6 +305,7 @@ def repeated_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     window = F.substring("bytes", F.col("i") + 1, F.lit(WIDTH))
     windows = windows.select("m", "doc_id", "twin", (F.col("start") + F.col("i")).alias("start"), F.xxhash64(window).alias("x"), F.xxhash64(F.lit("again"), window).alias("y"))
     earliest = windows.groupBy("m", "x", "y").agg(F.min(_at()).alias("first"), F.count("*").alias("all")).where(F.col("all") > 1).drop("all")
+    earliest = write_table(earliest, "first-windows")
     crowded = windows.join(earliest, ["m", "x", "y"]).where(_at() != F.col("first")).select("doc_id", "twin", "start", (F.col("start") + WIDTH).alias("stop"))
     return whole.unionByName(ordered).unionByName(crowded)
 

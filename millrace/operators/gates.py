@@ -63,14 +63,14 @@ def identity_terms(keywords: Column, stopwords: Sequence[str]) -> Column:
     return F.array_distinct(F.filter(keys, lambda w: (F.length(w) >= 2) & ~w.isin(*stopwords) & ~w.rlike("^20[0-9]{2}$")))
 
 
-def identity_missed(terms: Column, title: Column) -> Column:
+def identity_missed(terms: Column, title_key: Column) -> Column:
     """There are identity terms, and the title's comparison key holds none of them."""
-    return (F.size(terms) > 0) & ~F.exists(terms, lambda w: F.contains(compact(title), w))
+    return (F.size(terms) > 0) & ~F.exists(terms, lambda w: F.contains(title_key, w))
 
 
-def identity_share(terms: Column, title: Column) -> Column:
+def identity_share(terms: Column, title_key: Column) -> Column:
     """The share of the identity terms that the title's comparison key holds; 0 without terms."""
-    return F.size(F.filter(terms, lambda w: F.contains(compact(title), w))) / F.greatest(F.size(terms), F.lit(1))
+    return F.size(F.filter(terms, lambda w: F.contains(title_key, w))) / F.greatest(F.size(terms), F.lit(1))
 
 
 def years(text: Column) -> Column:

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -42,10 +44,16 @@ TREE = [
 _ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
 
 
+#: Elements whose rows have all text inside them, so that it need not be gathered; "" where they stand in
+#: more than DEEP of their kind, as end tags that are left out make them, so that a page's texts stay in proportion to it.
+SMALL, DEEP = frozenset(("a", "td", "th")), 16
+
+
 def parse(markup: str) -> list[list]:
     """[node, leave, parent, tag, attrs, text] of every element, and of every text with the tag #text."""
     rows: list[list] = []
     stack: list[int] = []
+    opened: Counter[str] = Counter()
     at = 0
 
     def add(tag: str, attrs: dict | None, text: str | None) -> int:
@@ -62,6 +70,7 @@ def parse(markup: str) -> list[list]:
             if rows[stack[i]][3] == name:
                 for x in stack[i:]:
                     rows[x][1] = len(rows)
+                    opened[rows[x][3]] -= 1
                 del stack[i:]
                 return
 
@@ -75,15 +84,22 @@ def parse(markup: str) -> list[list]:
             attrs: dict[str, str] = {}
             for name, *values in _ATTR.findall(given):
                 attrs.setdefault(name.lower(), html.unescape("".join(values)))
-            x = add(tag, attrs, None)
+            x = add(tag, attrs, "" if opened[tag] > DEEP and tag in SMALL else None)
             if tag in RAW:
                 end = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(markup, at)
                 at = end.start() if end else len(markup)
             if tag not in VOID and not given.endswith("/"):
                 stack.append(x)
+                opened[tag] += 1
     say(markup[at:])
     for x in stack:
         rows[x][1] = len(rows)
+    texts = [r for r in rows if r[3] == "#text"]
+    places = [r[0] for r in texts]
+    for r in rows:
+        if r[3] in SMALL and r[5] is None:
+            inner = texts[bisect(places, r[0]) : bisect(places, r[1] - 1)]
+            r[5] = " ".join(" ".join(t[5] for t in inner).split())
     return rows
 
 
@@ -230,21 +246,18 @@ def page_references(rows: DataFrame, pages: DataFrame, attachment: str = "a[href
     An attachment is named by its label, or where that says nothing by the cell before its own, else
     by its number; an image by its alternative text, else by its number.
     """
-    kinds = []
-    files = select(rows, attachment, key)
-    for turn, (kind, found, attr) in enumerate((("attachment", files, "href"), ("image", select(rows, "img[src]", key), "src"), ("link", select(rows, "a[href]", key), "href"))):
-        kinds.append(found.select(key, "node", "leave", "parent", F.lit(turn).alias("_turn"), F.lit(kind).alias("kind"), F.element_at("attrs", attr).alias("_ref"), F.element_at("attrs", "alt").alias("_alt")))
-    found = with_text(rows, kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), key, "label")
+    file = matches(attachment)
+    kind = F.when(file, "attachment").when(matches("img[src]"), "image").when(matches("a[href]"), "link")
+    found = rows.withColumn("kind", kind).where("kind IS NOT NULL").select(key, "node", "kind", F.coalesce("text", F.lit("")).alias("label"), F.element_at("attrs", F.when(F.col("kind") == "image", "src").otherwise("href")).alias("_ref"), F.element_at("attrs", "alt").alias("_alt"))
     base = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"))
     found = found.join(base, F.col(key).eqNullSafe(F.col("_key"))).withColumn("link", resolve(F.col("_url"), F.col("_ref"))).drop("_key")
     # each link of a page once: as the first kind it is, at its first place
-    first = found.groupBy(key, "link").agg(F.min(F.struct("_turn", "node", "leave", "kind", "label", "_alt")).alias("f")).select(key, "link", "f.*")
-    cells = rows.where(F.col("tag").isin("td", "th")).select(F.col(key).alias("_key"), F.col("node").alias("_cell"), F.col("leave").alias("_cell_leave"), F.col("parent").alias("_row"))
-    own = first.where("kind = 'attachment'").join(cells, F.col(key).eqNullSafe(F.col("_key")) & (F.col("node") > F.col("_cell")) & (F.col("node") < F.col("_cell_leave")))
-    own = own.groupBy(key, "node").agg(F.max(F.struct("_cell", "_row")).alias("c")).select(F.col(key).alias("_own_key"), F.col("node").alias("_own"), "c.*")
-    before = own.withColumnsRenamed({"_cell": "_mine", "_row": "_line"}).join(cells, F.col("_own_key").eqNullSafe(F.col("_key")) & (F.col("_row") == F.col("_line")) & (F.col("_cell") < F.col("_mine")))
-    before = before.groupBy("_own_key", "_own").agg(F.max(F.struct(F.col("_cell").alias("node"), F.col("_cell_leave").alias("leave"))).alias("c"))
-    context = with_text(rows, before.select(F.col("_own_key").alias(key), "_own", "c.*"), key, "_context").select(F.col(key).alias("_own_key"), "_own", "_context")
+    turn = F.array_position(F.array(*map(F.lit, ("attachment", "image", "link"))), F.col("kind"))
+    first = found.groupBy(key, "link").agg(F.min(F.struct(turn.alias("turn"), "node", "kind", "label", "_alt")).alias("f")).select(key, "link", "f.*")
+    # the cell that an attachment stands in, and the text of the one before it in its row
+    cells = rows.where(F.col("tag").isin("td", "th")).select(F.col(key).alias("_key"), F.col("node").alias("_cell"), "leave", F.lag("text").over(Window.partitionBy(key, "parent").orderBy("node")).alias("_before"))
+    own = first.where("kind = 'attachment'").join(cells, F.col(key).eqNullSafe(F.col("_key")) & (F.col("node") > F.col("_cell")) & (F.col("node") < F.col("leave")))
+    context = own.groupBy(F.col(key).alias("_own_key"), F.col("node").alias("_own")).agg(F.max_by("_before", "_cell").alias("_context"))
     named = first.join(context, F.col(key).eqNullSafe(F.col("_own_key")) & (F.col("node") == F.col("_own")), "left").drop("_own_key", "_own")
     number = F.row_number().over(Window.partitionBy(key, "kind").orderBy("node"))
     label = F.when((F.col("label") != "") & ~F.col("label").isin(*unnamed), F.col("label"))

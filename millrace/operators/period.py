@@ -11,7 +11,7 @@ import re
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,15 +45,16 @@ def windows(text: Column, label: str = LABEL, date: str = DATE, explicit: tuple[
     explicit and whose first date stands far off or in another sentence.  Score: one for each date, 4
     for an explicit label, 2 for a range mark near the label, 8 where papers are handed in.
     """
-    hits = F.regexp_extract_all(text, F.lit(label), F.lit(0))
-    between = F.split(text, label, -1)
+    hits, between = F.regexp_extract_all(text, F.lit(label), F.lit(0)), F.split(text, label, -1)
     # between and hits in turn; what a window needs of it is bounded by its length
-    pieces = F.flatten(F.transform(F.arrays_zip(between.alias("b"), hits.alias("h")), lambda x: F.array(x["b"], F.coalesce(x["h"], F.lit("")))))
+    pieces = F.flatten(F.zip_with(between, hits, lambda b, h: F.array(b, F.coalesce(h, F.lit("")))))
 
-    def cut(hit: Column, i: Column) -> Column:
-        whole = F.array_join(F.slice(pieces, 2 * i + 2, F.lit(2 * WINDOW)), "")
-        ahead = F.array_join(F.slice(pieces, F.greatest(2 * i + 2 - 2 * FRONT, F.lit(1)), F.least(2 * i + 1, F.lit(2 * FRONT))), "")
-        return F.struct(i.alias("i"), hit.alias("label"), F.right(ahead, F.lit(FRONT)).alias("front"), F.left(whole, F.length(hit) + WINDOW).alias("window"))
+    def cut(p: Column, i: Column) -> Column:
+        hit = p[2 * i + 1]
+        ahead = F.array_join(F.slice(p, F.greatest(2 * i + 2 - 2 * FRONT, F.lit(1)), F.least(2 * i + 1, F.lit(2 * FRONT))), "")
+        whole = F.left(F.array_join(F.slice(p, 2 * i + 2, F.lit(2 * WINDOW)), ""), F.length(hit) + WINDOW)
+        first = F.regexp_instr(whole, F.lit(date)) - 1
+        return F.struct(i.alias("i"), hit.alias("label"), F.right(ahead, F.lit(FRONT)).alias("front"), whole.alias("window"), first.alias("first"))
 
     def scored(x: Column) -> Column:
         named = _any(x["label"], explicit)
@@ -63,11 +64,15 @@ def windows(text: Column, label: str = LABEL, date: str = DATE, explicit: tuple[
         return F.struct(*(x[c].alias(c) for c in ("i", "label", "front", "window")), dates.alias("dates"), named.alias("explicit"), score.alias("score"))
 
     def usable(x: Column) -> Column:
-        first = F.regexp_instr(x["window"], F.lit(date)) - 1
-        before = F.substring(x["window"], F.length(x["label"]) + 1, F.greatest(first - F.length(x["label"]), F.lit(0)))
-        return (x["dates"] > 0) & (x["explicit"] | ((first <= NEAR) & ~before.rlike("[.!?]")))
+        before = F.substring(x["window"], F.length(x["label"]) + 1, F.greatest(x["first"] - F.length(x["label"]), F.lit(0)))
+        return (x["first"] >= 0) & (_any(x["label"], explicit) | ((x["first"] <= NEAR) & ~before.rlike("[.!?]")))
 
-    return F.when(text.isNotNull(), F.filter(F.transform(F.transform(hits, cut), scored), usable))
+    def found(p: Column) -> Column:
+        places = F.when(F.size(p) > 2, F.sequence(F.lit(0), (F.size(p) / 2 - 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(F.transform(places, lambda i: cut(p, i)), usable), scored)
+
+    # the pieces are named by a lambda, so that they are made once and not for each window
+    return F.when(text.isNotNull(), F.transform(F.array(pieces), found)[0])
 
 
 def best_window(found: Column) -> Column:
@@ -132,7 +137,7 @@ def resolve_period(label: pd.Series, window: pd.Series, year: pd.Series) -> pd.D
     return pd.DataFrame(rows, columns=["start_at", "end_at", "shape"]).astype({"start_at": "datetime64[us]", "end_at": "datetime64[us]"})
 
 
-def application_period(text: Column, published: Column, label: str = LABEL) -> Column:
-    """struct<start_at, end_at, shape> of the period that a notice announces; years left out are that of its publication."""
-    best = best_window(windows(text, label))
-    return resolve_period(best["label"], best["window"], F.year(published))
+def with_period(notices: DataFrame, text: str, published: str, label: str = LABEL, name: str = "period") -> DataFrame:
+    """notices with struct<start_at, end_at, shape> of the period that each announces; years left out are that of its publication."""
+    best = notices.withColumn("_best", best_window(windows(F.col(text), label)))
+    return best.withColumn(name, resolve_period(F.col("_best.label"), F.col("_best.window"), F.year(published))).drop("_best")

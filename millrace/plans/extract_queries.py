@@ -9,7 +9,7 @@ from millrace.functions import text as X
 from millrace.operators import grounding as G
 from millrace.operators import pages as P
 from millrace.operators.blocking import containment
-from millrace.operators.period import application_period, windows
+from millrace.operators.period import windows, with_period
 from millrace.plans.inputs import AS_OF_DOCS, NOTICES, notices, stamp
 from millrace.plans.registry import Tables, query
 from millrace.plans.text_queries import ENT, sql_normalize
@@ -116,7 +116,7 @@ SELECT o_orderkey, CASE WHEN way = 0 AND end_at < start_at THEN NULL ELSE start_
   CASE WHEN start_at IS NULL AND end_at IS NULL THEN 'none' WHEN start_at IS NULL THEN 'deadline' WHEN end_at IS NULL THEN 'start_only' WHEN way = 2 THEN 'short_end' ELSE 'range' END AS shape FROM p""")
 def period_extract(t: Tables):
     """Start and end of the period that an announcement gives: several labels, five shapes, dates that do not exist."""
-    return announcements(t).select("o_orderkey", application_period(F.col("text"), F.col("o_orderdate")).alias("p")).select("o_orderkey", "p.start_at", "p.end_at", "p.shape")
+    return with_period(announcements(t), "text", "o_orderdate", name="p").select("o_orderkey", "p.start_at", "p.end_at", "p.shape")
 
 
 #: Labels of the documents as they are, and what looks like a date in them.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.status import freshness, period_status
-from millrace.functions.text import lowered
+from millrace.functions.text import compact, lowered
 from millrace.operators import gates as G
 from millrace.operators import ranking as R
 from millrace.operators import tasks as K
@@ -78,17 +78,17 @@ def candidates(t: Tables, visible: bool = False) -> DataFrame:
     held = K.primary(low)
     told = {
         "status": period_status(F.col("published_at"), until, stamp(AS_OF_DOCS)), "task": held, "category": K.parent_of(held), "barred": K.bars(title, low),
-        "readers": G.group_bits(low, READERS), "title_readers": G.group_bits(title, READERS), "general": G.holds(low, GENERAL), "title_years": G.years(title),
+        "readers": G.group_bits(low, READERS), "title_readers": G.group_bits(title, READERS), "general": G.holds(low, GENERAL), "title_years": G.years(title), "title_key": compact(title),
     }
     docs = meta.select(*carry, low.alias("text"), title.alias("title"), *(c.alias(name) for name, c in told.items()))
-    pairs = keyword_matches(docs, asked(t), [*carry, "title", *told]).join(asks(t), "item_id")
+    pairs = keyword_matches(docs, asked(t), [*carry, *told]).join(asks(t), "item_id")
     bonus, reason = K.judged(F.col("asks_task"), F.col("task"), F.col("barred"))
-    pairs = pairs.withColumn("identity", G.identity_share(F.col("named"), F.col("title"))).withColumn("exact_task", F.coalesce(reason == "task", F.lit(False)))
+    pairs = pairs.withColumn("identity", G.identity_share(F.col("named"), F.col("title_key"))).withColumn("exact_task", F.coalesce(reason == "task", F.lit(False)))
     gate = G.first_reason([
         ("year", G.year_missed(F.col("asks_year"), F.col("title_years"))),
         ("source_type", G.source_rejected(F.col("source_type"), {a: F.col(a) for a in ASKS}, SOURCES)),
         ("special_group", G.scope_rejected(F.col("readers"), F.col("title_readers"), F.col("asks_readers"), F.col("general"))),
-        ("identity", G.identity_missed(F.col("named"), F.col("title"))),
+        ("identity", G.identity_missed(F.col("named"), F.col("title_key"))),
         ("task", F.col("asks_task").isNotNull() & reason.isin("excluded_title", "missing_terms")),
     ])
     return pairs.withColumn("gate", gate).withColumn("score", notice_score(bonus))

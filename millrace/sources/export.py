@@ -16,14 +16,13 @@ import json
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from datetime import date, datetime
-from decimal import Decimal
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 FORMAT = "ordered_json"
 MANIFEST = "_manifest.json"
@@ -37,20 +36,8 @@ class Part(WriterCommitMessage):
     sha256: str
 
 
-def _plain(x: object) -> object:
-    if isinstance(x, Row):
-        return {k: _plain(v) for k, v in x.asDict().items()}
-    if isinstance(x, dict):
-        return {str(k): _plain(v) for k, v in x.items()}
-    if isinstance(x, (list, tuple)):
-        return [_plain(v) for v in x]
-    if isinstance(x, (date, datetime)):
-        return x.isoformat()
-    return str(x) if isinstance(x, Decimal) else x
-
-
 class OrderedJson(DataSource):
-    """``df.write.format("ordered_json").mode("overwrite").save(path)`` after ``spark.dataSource.register(OrderedJson)``."""
+    """``df.write.format("ordered_json").mode("overwrite").save(path)`` of lines (one column of strings), after ``spark.dataSource.register(OrderedJson)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -60,24 +47,25 @@ class OrderedJson(DataSource):
         return OrderedJsonWriter(self.options["path"], overwrite)
 
 
-class OrderedJsonWriter(DataSourceWriter):
+class OrderedJsonWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.staging = path.rstrip("/"), overwrite, f"_staging-{uuid.uuid4().hex}"
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path if ":/" in self.path else f"file://{self.path}")
 
-    def write(self, iterator: Iterator[Row]) -> Part:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         files, root = self._open()
         files.create_dir(f"{root}/{self.staging}", recursive=True)
         task = TaskContext.get()
         name, rows, digest = f"{task.partitionId():05d}-{task.taskAttemptId()}.json", 0, hashlib.sha256()
         with files.open_output_stream(f"{root}/{self.staging}/{name}") as out:
-            for row in iterator:
-                line = (json.dumps(_plain(row), ensure_ascii=False) + "\n").encode()
-                out.write(line)
-                digest.update(line)
-                rows += 1
+            for batch in iterator:
+                if len(batch):
+                    lines = ("\n".join(batch.column(0).to_pylist()) + "\n").encode()
+                    out.write(lines)
+                    digest.update(lines)
+                    rows += len(batch)
         return Part(task.partitionId(), name, rows, digest.hexdigest())
 
     def commit(self, messages: list[Part | None]) -> None:
@@ -118,4 +106,5 @@ def export_nested(parents: DataFrame, children: DataFrame, key: str, order: Sequ
     spark = parents.sparkSession
     spark.dataSource.register(OrderedJson)
     rows = nested(parents, children, key, child_order, name)
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.format(FORMAT).mode("overwrite").save(path)
+    line = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"})
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(line.alias("line")).write.format(FORMAT).mode("overwrite").save(path)

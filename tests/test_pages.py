@@ -86,6 +86,11 @@ def test_all_pages_as_the_library_reads_them(spark):
         assert [said(x[3]) for x in mine] == [said(x[3]) for x in other.found]
 
 
+def test_texts_of_nested_cells_stay_in_proportion():
+    rows = P.parse("<table>" + "<td>some text" * 2000)
+    assert sum(len(r[5] or "") for r in rows) < 20 * 2000 * 10 and rows[1][5].count("some") == 2000
+
+
 def page(spark, *markups):
     return spark.createDataFrame([(i, f"https://h.example/a/b.do?x={i}", m, 1) for i, m in enumerate(markups)], "page_id int, url string, html string, node int")
 

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.period import application_period, windows
+from millrace.operators.period import windows, with_period
 
 CASES = [
     ("신청기간: 2024. 3. 1. ~ 2024. 3. 20. 18:00", "2024-03-01 00:00", "2024-03-20 18:00", "range"),
@@ -34,7 +34,7 @@ CASES = [
 
 def test_periods(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, text string")
-    got = df.select("i", application_period(F.col("text"), F.lit("2024-09-01").cast("date")).alias("p")).orderBy("i").collect()
+    got = with_period(df.withColumn("day", F.lit("2024-09-01").cast("date")), "text", "day", name="p").orderBy("i").collect()
     when = lambda x: datetime.fromisoformat(x) if x else None
     for r, (text, start, end, shape) in zip(got, CASES, strict=True):
         assert (r["p"]["start_at"], r["p"]["end_at"], r["p"]["shape"]) == (when(start), when(end), shape), text

@@ -30,7 +30,7 @@ def test_export_is_the_nested_table_in_order(spark, tables, tmp_path):
         export_nested(*tables, "k", [F.desc("day"), "k"], ["n", "name"], path)
         rows = exported(path)
         want = nested(*tables, "k", ["n", "name"]).orderBy(F.desc("day"), "k").collect()
-        assert [(r["day"], r["k"], r["title"], r["fee"], r["d"]) for r in rows] == [(w["day"], w["k"], w["title"], str(w["fee"]), "2024-01-01") for w in want]
+        assert [(r["day"], r["k"], r["title"], r["fee"], r["d"]) for r in rows] == [(w["day"], w["k"], w["title"], float(w["fee"]), "2024-01-01") for w in want]
         assert [r["children"] for r in rows] == [[{"n": c["n"], "name": c["name"]} for c in w["children"]] for w in want]
         assert rows[-1]["children"] == [] or len(rows[-1]["children"]) == 3
         told = json.load(open(f"{path}/{MANIFEST}"))

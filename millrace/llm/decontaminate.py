@@ -28,6 +28,10 @@ from millrace.llm.shared import broadcast_if_small, fits_broadcast, write_table
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 6, 7, 9), (0, 2, 3, 5, 8, 10))
 WINDOW = 13
 SIMILARITY = 0.8
+#: For the pipeline: no document is dropped for an item of fewer tokens, since a word or two stand in many clean texts.
+LEAST = 5
+#: Bits of the filter for each seed, and at most (64 MB).
+FILTER_BITS, FILTER_MOST = 16, 1 << 29
 #: Characters of scripts that put no blanks between words.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
@@ -81,16 +85,42 @@ def short_seeds(items: DataFrame, window: int, similarity: float) -> DataFrame:
     return cuts.select(seed.alias("seed"), "item", "item_at", "length")
 
 
+def _slot(seed: Column, bits: int) -> tuple[Column, Column, Column]:
+    """(row, place, bit) of a seed in a filter of so many bits, in rows of 64 longs."""
+    at = F.pmod(seed, F.lit(bits))
+    return F.shiftright(at, 12), F.shiftright(at, 6).bitwiseAND(63).cast("int"), at.bitwiseAND(63).cast("int")
+
+
+def seed_filter(seeds: DataFrame, bits: int) -> DataFrame:
+    """(row, longs): one bit for each seed, in rows of 64 longs; bits / 8 bytes in all at most."""
+    row, place, bit = _slot(F.col("seed"), bits)
+    words = seeds.select(row.alias("row"), place.alias("place"), F.expr("1L").alias("one"), bit.alias("bit")).groupBy("row", "place").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("w"))
+    held = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("m"))
+    return held.select("row", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("longs"))
+
+
+def may_hit(placed: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The rows of placed whose seed may be one of seeds: all that are, and few others while the filter has room."""
+    wanted, bits = FILTER_BITS * seeds.count(), 1 << 12
+    while bits < min(wanted, FILTER_MOST):
+        bits <<= 1
+    row, place, bit = _slot(F.col("seed"), bits)
+    # bounded by FILTER_MOST
+    probed = placed.withColumn("_row", row).join(F.broadcast(seed_filter(seeds, bits)), F.col("_row") == F.col("row"))
+    return probed.where(F.call_function("shiftright", F.get("longs", place), bit).bitwiseAND(1) == 1).drop("_row", "row", "longs")
+
+
 def _meet(texts: DataFrame, placed: DataFrame, seeds: DataFrame, label: str) -> DataFrame:
     """(doc_id, h, words, item, shift) where a seed of placed (texts with seeds and places) is one of seeds.
 
     While seeds are few they are broadcast, and words stay inside the stage that reads the texts.
-    Beyond, only seeds and places are shuffled, and the texts that were hit join back by name.
+    Beyond, a filter of one bit a seed goes to the texts; only seeds and places that it lets through
+    are shuffled, and the texts that were hit join back by name.
     """
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     if fits_broadcast(seeds, 64):
         return placed.join(F.broadcast(seeds), "seed").select("doc_id", "h", "words", "item", shift)
-    hits = placed.select("doc_id", "h", "at", "seed").join(seeds, "seed").select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "item", shift).distinct()
+    hits = may_hit(placed.select("doc_id", "h", "at", "seed"), seeds).join(seeds, "seed").select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "item", shift).distinct()
     hits = write_table(hits, label)
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h"))
     held = texts.join(broadcast_if_small(hits.select("_doc_id", "_h").distinct(), 64), same, "left_semi")
@@ -149,12 +179,13 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: f
     return found.groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"), F.max("compared").alias("compared"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without those that contain an item, columns unchanged.
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, least: int = 1) -> DataFrame:
+    """docs without those that contain an item of at least so many tokens, columns unchanged.
 
     What goes is named by doc_id and hash of the text, so a clean row that shares a doc_id stays.  A
     row travels as one struct, so its columns may have any names.
     """
+    items = items.where(F.size(tokens(F.col("text"))) >= least)
     found = write_table(_found(docs, items, window, similarity).select("doc_id", F.col("h").alias("hash")).distinct(), "leaked")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"))
     same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("hash"))

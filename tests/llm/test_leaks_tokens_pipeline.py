@@ -8,6 +8,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from millrace.llm import decontaminate, exact_dedup, language, token_codes
 from tests.llm.test_duplicates import fingerprint, groups
 
@@ -219,3 +221,25 @@ def test_pipeline_on_odd_rows(spark, documents):
             assert name == "sharding" or out.columns == columns, name
             docs = out
         assert docs.count() > 0 or columns == documents([]).columns
+
+
+def test_items_of_few_tokens_drop_nothing(spark, corpus):
+    """They are reported, and longer ones still drop what holds them."""
+    words = corpus.where("doc_id = 3").first()["text"].split()
+    bank = spark.createDataFrame([(1, "the"), (2, "Der"), (3, "of the der die"), (4, " ".join(words[:30]))], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(corpus, bank, least=decontaminate.LEAST)
+    gone = {r["doc_id"] for r in corpus.select("doc_id").subtract(kept.select("doc_id")).collect()}
+    assert 3 in gone and len(gone) < 20
+    assert decontaminate.leaks(corpus, bank).where("item_id < 3").count() > 100
+
+
+def test_seeds_beyond_the_broadcast(spark, corpus, monkeypatch):
+    """The filter loses no leak, and lets few others through."""
+    bank = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(90, "one two three four five six"), (91, "the")], "item_id long, text string"))
+    want = {tuple(r) for r in decontaminate.leaks(corpus, bank).collect()}
+    monkeypatch.setattr(decontaminate, "fits_broadcast", lambda *_: False)
+    assert {tuple(r) for r in decontaminate.leaks(corpus, bank).collect()} == want and want
+    seeds = spark.range(5000).select(F.xxhash64("id").alias("seed"))
+    placed = spark.range(100000).select("id", F.xxhash64("id").alias("seed"))
+    passed = {r["id"] for r in decontaminate.may_hit(placed, seeds).select("id").collect()}
+    assert passed >= set(range(5000)) and len(passed) < 5000 + 95000 * 0.08

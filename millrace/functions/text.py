@@ -87,3 +87,27 @@ def strip_markup(c: Column) -> Column:
     ):
         c = F.regexp_replace(c, pattern, by)
     return F.trim(c)
+
+
+def contexts(text: Column, pattern: str, before: int, after: int, groups: int = 0) -> Column:
+    """array<struct<i, hit, parts, left, right>>: every match with so many characters before and behind it, whatever stands there.
+
+    parts are the match's first ``groups`` groups.  The text is cut at the matches once, named by a
+    lambda, and each context is put together from the pieces around; a null text has no matches.
+    """
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.flatten(F.zip_with(F.split(text, pattern, -1), hits, lambda b, h: F.array(b, F.coalesce(h, F.lit("")))))
+    parts = F.zip_with(hits, hits, lambda a, _: F.array(*(F.regexp_extract(a, f"^(?:{pattern})", k) for k in range(1, groups + 1))).cast("array<string>"))
+
+    def at(p: Column, i: Column) -> Column:
+        near = lambda n: F.lit(2 * n + 1)  # noqa: E731 -- pieces that hold n characters at least: every second one is not empty
+        left = F.array_join(F.slice(p, F.greatest(2 * i + 2 - near(before), F.lit(1)), F.least(2 * i + 1, near(before))), "")
+        right = F.array_join(F.slice(p, 2 * i + 3, near(after)), "")
+        return F.struct(i.alias("i"), p[2 * i + 1].alias("hit"), F.right(left, F.lit(before)).alias("left"), F.left(right, F.lit(after)).alias("right"))
+
+    def found(p: Column) -> Column:
+        places = F.when(F.size(p) > 2, F.sequence(F.lit(0), (F.size(p) / 2 - 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: at(p, i))
+
+    told = F.transform(F.array(pieces), found)[0]
+    return F.when(text.isNotNull(), F.zip_with(told, parts, lambda x, g: F.struct(x["i"].alias("i"), x["hit"].alias("hit"), g.alias("parts"), x["left"].alias("left"), x["right"].alias("right"))))

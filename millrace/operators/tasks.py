@@ -83,6 +83,22 @@ def best_per_task(rows: DataFrame, query: str, task: str, score: str, doc: str)
     return rows.groupBy(query, task).agg(F.max_by(F.struct(doc, score), F.struct(score, (-F.col(doc)).alias("i"))).alias("x")).select(query, task, "x.*")
 
 
+# How long an answer is kept, in minutes, by what it is about.
+UNSUPPORTED, EVENT, DATED, WEEK, MONTH = 45, 360, 720, 10_080, 43_200
+PERIOD_FIELDS = ("applicationPeriod", "application_period")
+
+
+def time_to_live(task: Column, fields: Column, supported: Column) -> Column:
+    """Minutes for which an answer is kept: short where nothing was found or dates matter, a month for requirements, else a week.
+
+    A null task is none, null fields are no fields, and a null ``supported`` is no.
+    """
+    task, fields = F.coalesce(task, F.lit("")), F.coalesce(fields, F.array().cast("array<string>"))
+    dated = task.startswith("course.") | task.startswith("tuition.") | F.arrays_overlap(fields, F.array(*map(F.lit, PERIOD_FIELDS)))
+    ttl = F.when(~F.coalesce(supported, F.lit(False)), UNSUPPORTED).when(F.coalesce(dated, F.lit(False)), DATED).when(task.startswith("event."), EVENT)
+    return ttl.when(F.array_contains(fields, "department_contact"), WEEK).when(task == "graduation.requirements", MONTH).otherwise(WEEK)
+
+
 def condition(c: Column) -> Column:
     """A condition as keys hold it: cleaned, without white space, folded; empty is null."""
     return F.nullif(folded(F.regexp_replace(normalize(c), r"[ \t\n\x0B\f\r]+", "")), F.lit(""))

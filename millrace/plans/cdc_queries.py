@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import cdc
 from millrace.operators.chunks import fixed_chunks
 from millrace.plans.inputs import AS_OF_DOCS, AS_OF_ORDERS, NOTICES, PERIODS, REQUESTS, SNAPSHOTS, STAFF, notices, periods, requests, snapshots, staff, stamp
+from millrace.operators.tasks import time_to_live
 from millrace.plans.registry import Tables, query
 
 
@@ -230,16 +231,19 @@ def retention_apply(t: Tables):
     return recent.join(seen, "doc_id", "left").where(F.col("seen") | (F.col("source_type") == "src2")).select("doc_id", F.when(F.col("seen"), "seen").otherwise("kept").alias("reason"))
 
 
-TTL = {"error": 45, "click": 720, "view": 360, "purchase": 10080}
+#: Task and fields of a request, as its number gives them; both engines read these.
+_TASK = "CASE k % 5 WHEN 0 THEN 'course.add' WHEN 1 THEN 'event.camp' WHEN 2 THEN 'graduation.requirements' WHEN 3 THEN 'tuition.pay' END"
+_ABOUT = "CASE k % 3 WHEN 0 THEN {0}'department_contact', 'fee'{1} WHEN 1 THEN {0}'applicationPeriod'{1} END"
 
 
-@query(f"WITH {REQUESTS} SELECT event_id, ts + to_minutes(CASE event_type WHEN 'error' THEN 45 WHEN 'click' THEN 720 WHEN 'view' THEN 360 WHEN 'purchase' THEN 10080 ELSE 43200 END) AS expires_at FROM requests")
+@query(f"""WITH {REQUESTS}, x AS (SELECT event_id, ts, event_type, {_TASK} AS task, {_ABOUT.format("[", "]")} AS fields FROM requests)
+SELECT event_id, ts + to_minutes(CASE WHEN event_type = 'error' THEN 45 WHEN task LIKE 'course.%' OR task LIKE 'tuition.%' OR list_contains(fields, 'applicationPeriod') THEN 720 WHEN task LIKE 'event.%' THEN 360
+  WHEN list_contains(fields, 'department_contact') THEN 10080 WHEN task = 'graduation.requirements' THEN 43200 ELSE 10080 END) AS expires_at FROM x""")
 def ttl_assign(t: Tables):
-    """Expiry by kind: minutes for what is unsupported, hours for dates, days for the rest."""
-    minutes = F.lit(43200)
-    for kind, m in TTL.items():
-        minutes = F.when(F.col("event_type") == kind, F.lit(m)).otherwise(minutes)
-    return requests(t).select("event_id", (F.col("ts") + F.make_dt_interval(mins=minutes)).alias("expires_at"))
+    """When an answer expires, by its task, its fields and whether there was one."""
+    rows = requests(t).select("event_id", "ts", "event_type", F.expr(_TASK).alias("task"), F.expr(_ABOUT.format("array(", ")")).alias("fields"))
+    minutes = time_to_live(F.col("task"), F.col("fields"), F.col("event_type") != "error")
+    return rows.select("event_id", (F.col("ts") + F.make_dt_interval(mins=minutes)).alias("expires_at"))
 
 
 @query(f"WITH {PERIODS} SELECT o_orderkey, CASE WHEN start_at IS NOT NULL AND end_at IS NOT NULL THEN 0.55::DOUBLE WHEN end_at IS NOT NULL THEN 0.35::DOUBLE WHEN start_at IS NOT NULL THEN 0.05::DOUBLE ELSE -0.35::DOUBLE END AS score, coalesce(end_at - start_at > INTERVAL 45 DAY, false) AS implausible FROM periods")

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import contacts as C
 from millrace.operators import grounding as G
 from millrace.operators import pages as P
 from millrace.operators.blocking import containment
 from millrace.operators.period import windows, with_period
-from millrace.plans.inputs import AS_OF_DOCS, NOTICES, notices, stamp
+from millrace.plans.inputs import AS_OF_DOCS, NOTICES, STAFF, notices, staff, stamp
 from millrace.plans.registry import Tables, query
 from millrace.plans.text_queries import ENT, sql_normalize
 from millrace.storage import written
@@ -296,6 +297,26 @@ def _said_sql(days: str) -> str:
     return f"CASE {days} " + " ".join(f"WHEN {i} THEN {' || '.join(map(part, parts))}" for i, parts in enumerate(_SAID)) + " END"
 
 
+#: Suppliers as notices with a contact, in five ways: the text, then person and number that it names; both engines read them.
+_CONTACTS = (
+    ("concat('안내문. 담당자 및 업무: 홍길동 (신청). 문의 031-280-', ext)", "'홍길동'", "concat('031-280-', ext)"),
+    ("concat('업무 담당: 김철수 주무관, 전화 02-555-', ext, ', FAX 02-555-9999')", "'김철수 주무관'", "NULL"),
+    ("concat('회계팀 02-555-1111 문의. 이 안내는 다음 부서의 것입니다. ', office, ' 02-555-', ext, ' 문의')", "NULL", "concat('02-555-', ext)"),
+    ("concat('박영희 교수 02-555-', ext)", "'박영희 교수'", "NULL"),
+    ("concat('연락처 없음 ', ext)", "NULL", "NULL"),
+)
+_OFFICE = "concat(replace(replace(department, ' ', ''), '_', ''), '팀')"
+
+
+@query(f"""WITH {STAFF}, s AS (SELECT staff_id, (staff_id % 5)::INTEGER AS way, extension AS ext, {_OFFICE} AS office FROM staff)
+SELECT staff_id, CASE way {" ".join(f"WHEN {i} THEN {p}" for i, (_, p, _) in enumerate(_CONTACTS))} END AS person, CASE way {" ".join(f"WHEN {i} THEN {n}" for i, (_, _, n) in enumerate(_CONTACTS))} END AS phone FROM s""")
+def notice_contacts(t: Tables):
+    """Person and telephone that a notice names, by five patterns and by what stands around the numbers."""
+    rows = staff(t).select("staff_id", F.col("extension").alias("ext"), F.expr(_OFFICE).alias("office"), (F.col("staff_id") % 5).alias("way"))
+    told = F.expr("CASE way " + " ".join(f"WHEN {i} THEN {x}" for i, (x, _, _) in enumerate(_CONTACTS)) + " END")
+    return rows.withColumn("text", told).select("staff_id", C.person(F.col("text")).alias("person"), C.phone(F.col("text"), F.col("office")).alias("phone"))
+
+
 def _grounded_day_sql(day: str) -> str:
     """Whether one of the four spellings of a day stands in the text."""
     y, m, d = f"year({day})", f"month({day})", f"day({day})"

@@ -255,7 +255,8 @@ def verified_links(t: Tables):
     return t.pages.select("page_id", F.array_contains(links, "/the").alias("has_the"), F.array_contains(links, "/de").alias("has_de"))
 
 
-PII = (("email", X.EMAIL), ("phone", X.PHONE), ("address", X.IPV4), ("id_number", X.LONG_NUMBER), ("account", r"(^|[^0-9])[0-9]{16}($|[^0-9])"))
+PII = (("email", X.EMAIL), ("phone", X.PHONE), ("address", X.IPV4), ("id_number", X.LONG_NUMBER), ("account", r"(^|[^0-9])([0-9]{16}|[0-9]{3,6}-[0-9]{2,6}-[0-9]{3,7})($|[^0-9])"),
+    ("name", r"(이름|성명|본인)\s*[:：은는]?\s*[가-힣]{2,4}"), ("grade", r"(?i)(성적|평점|학점)\s*[:：은는]?\s*([0-4]([.][0-9]{1,2})?|[A-F][+-]?)($|[^0-9A-Za-z])"))
 _PII_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in PII) + ")"
 
 

@@ -256,11 +256,13 @@ def stream_gap_counts(t: Tables):
     return S.drain_updates(counts, "gap-counts").groupBy("question").agg(F.max_by("n", "_batch").alias("n"))
 
 
-@query("SELECT event_id, event_type FROM events")
+@query("SELECT event_id, event_type FROM events UNION ALL SELECT event_id, 'corrected' FROM events WHERE event_id % 10 = 0")
 def stream_dedup(t: Tables):
-    """Records delivered twice, each once, within the watermark."""
-    both = _stream(t).unionByName(_stream(t)).select("event_id", "event_type", "ts").withWatermark("ts", "60 days")
-    return S.drain(both.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "dedup")
+    """Records delivered twice, each once, within the watermark: by id and content hash, so a corrected record is one of its own."""
+    again = _stream(t).withColumn("event_type", F.when(F.col("event_id") % 10 == 0, "corrected").otherwise(F.col("event_type")))
+    three = _stream(t).unionByName(_stream(t)).unionByName(again).select("event_id", "event_type", "ts")
+    hashed = three.withColumn("hash", F.sha2(F.concat_ws("|", "event_type", "ts"), 256)).withWatermark("ts", "60 days")
+    return S.drain(hashed.dropDuplicatesWithinWatermark(["event_id", "hash"]).select("event_id", "event_type"), "dedup")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start_at, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -151,19 +151,20 @@ def hybrid_topk(t: Tables):
     return placed(t, 5).select("item_id", "doc_id", "source_id", "score", "place", tier().alias("tier"), reason.alias("reason"))
 
 
-@query(f"""WITH {HITS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+@query(f"""WITH {HITS}, {NOTICES}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 u AS (SELECT item_id, doc_id, line_no, n, count(*) AS k FROM l JOIN qkw ON contains(lower(line), w) JOIN qn USING (item_id) GROUP BY ALL), p AS (SELECT o_orderkey, o_orderdate FROM orders)
-SELECT item_id, doc_id, line_no::INTEGER AS line_no, round(k / n::DOUBLE * 0.25::DOUBLE + CASE WHEN o_orderdate > TIMESTAMP '1998-09-01' THEN 0.1::DOUBLE WHEN o_orderdate IS NULL THEN 0::DOUBLE ELSE -0.1::DOUBLE END + CASE WHEN k = n THEN 0.85::DOUBLE WHEN line_no = 0 THEN 0.2::DOUBLE ELSE 0::DOUBLE END, 5) AS score
-FROM u LEFT JOIN p ON o_orderkey = doc_id""")
+SELECT u.item_id, u.doc_id, line_no::INTEGER AS line_no, round(k / u.n::DOUBLE * 0.25::DOUBLE + title_hits / u.n::DOUBLE * 0.22::DOUBLE + least(greatest(source_priority, 0), 120) / 120::DOUBLE * 0.2::DOUBLE + CASE WHEN o_orderdate > TIMESTAMP '1998-09-01' THEN 0.1::DOUBLE WHEN o_orderdate IS NULL THEN 0::DOUBLE ELSE -0.1::DOUBLE END + CASE WHEN k = u.n THEN 0.85::DOUBLE WHEN line_no = 0 THEN 0.2::DOUBLE ELSE 0::DOUBLE END, 5) AS score
+FROM u JOIN hits h ON h.item_id = u.item_id AND h.doc_id = u.doc_id JOIN notices x ON x.doc_id = u.doc_id LEFT JOIN p ON o_orderkey = u.doc_id""")
 def hybrid_score_unit(t: Tables):
-    """Lines as units: coverage, the state of the period with the same key, and a bonus for what is canonical."""
-    units = t.documents.select("doc_id", "text").join(t.orders.select(F.col("o_orderkey").alias("doc_id"), "o_orderdate"), "doc_id", "left")
-    lines = units.select("doc_id", "o_orderdate", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line <> ''")
-    rows = lines.select("doc_id", "line_no", "o_orderdate", F.lower("line").alias("text"), F.lit("").alias("title"))
-    u = keyword_matches(rows, asked(t), ["doc_id", "line_no", "o_orderdate"], vectors=False).withColumnRenamed("hits", "k")
+    """Lines as units: coverage in line and title, source, the state of the period with the same key, and a bonus for what is canonical."""
+    units = notices(t).select("doc_id", "content", "source_priority", lowered(F.col("title")).alias("title")).join(t.orders.select(F.col("o_orderkey").alias("doc_id"), "o_orderdate"), "doc_id", "left")
+    lines = units.select("doc_id", "o_orderdate", "source_priority", "title", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).where("line <> ''")
+    rows = lines.withColumn("text", F.lower("line"))
+    u = keyword_matches(rows, asked(t), ["doc_id", "line_no", "o_orderdate", "source_priority"], vectors=False).withColumnRenamed("hits", "k")
     state = F.when(F.col("o_orderdate") > stamp("1998-09-01 00:00:00"), 0.1).when(F.col("o_orderdate").isNull(), 0.0).otherwise(-0.1)
     bonus = F.when(F.col("k") == F.col("n"), 0.85).when(F.col("line_no") == 0, 0.2).otherwise(0.0)
-    return u.select("item_id", "doc_id", "line_no", F.round(F.col("k") / F.col("n") * 0.25 + state + bonus, 5).alias("score"))
+    source = F.least(F.greatest(F.col("source_priority"), F.lit(0)), F.lit(120)) / F.lit(120.0) * 0.2
+    return u.select("item_id", "doc_id", "line_no", F.round(F.col("k") / F.col("n") * 0.25 + F.col("title_hits") / F.col("n") * 0.22 + source + state + bonus, 5).alias("score"))
 
 
 _WHY = "CASE WHEN NOT processed THEN 'not_processed' WHEN gate IS NOT NULL THEN gate WHEN score < 0.34 THEN 'below_threshold' END"

@@ -115,9 +115,9 @@ def test_main_content_takes_the_longest_node_of_the_first_usable_selector(spark)
 
 
 def test_board_rows(spark):
-    line = lambda n, params, day, **a: f"<ul><li>{n}</li><li><a class='detailLink' title=\"T&amp;{n}\" data-params='{params}' href='#'>text {n}</a></li><li>Office</li><li>{day}</li></ul>"
-    board = "<div class=devTable><div class=tbody>" + line("Notice", '{"seq": "a1", "menu": 7}', "24.03.09") + line("12", '{"seq": "b2"}', " 24.03.10 ") + line("11", '{"seq": "c3", "secret": true}', "24.03.11") + line("10", "no json", "someday") + "<ul><li>1</li></ul></div></div>"
-    got = P.board_rows(P.tree(page(spark, board)), ".devTable .tbody > ul", "li", "a.detailLink[data-params]", {"number": 0, "department": -2, "published": -1}, 4, {"board_id": "seq", "menu_id": "menu"}, "secret").orderBy("turn").collect()
+    line = lambda n, params, day, **a: f"<ul><li>{n}</li><li><a class='open' title=\"T&amp;{n}\" data-params='{params}' href='#'>text {n}</a></li><li>Office</li><li>{day}</li></ul>"
+    board = "<div class=board><div class=lines>" + line("Notice", '{"seq": "a1", "menu": 7}', "24.03.09") + line("12", '{"seq": "b2"}', " 24.03.10 ") + line("11", '{"seq": "c3", "secret": true}', "24.03.11") + line("10", "no json", "someday") + "<ul><li>1</li></ul></div></div>"
+    got = P.board_rows(P.tree(page(spark, board)), ".board .lines > ul", "li", "a.open[data-params]", {"number": 0, "department": -2, "published": -1}, 4, {"board_id": "seq", "menu_id": "menu"}, "secret").orderBy("turn").collect()
     assert [(r["turn"], r["title"], r["department"], str(r["published"]), r["pinned"], r["board_id"], r["menu_id"]) for r in got] == [(0, "T&Notice", "Office", "2024-03-09", True, "a1", "7"), (1, "T&12", "Office", "2024-03-10", False, "b2", None)]
 
 

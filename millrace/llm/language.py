@@ -29,9 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.textbytes import RUN_ROWS, text_runs
+from millrace.llm.textbytes import text_runs
 
 DIMS = 8192
+#: Texts whose vectors a task holds at a time.
+ROWS = 128
 SAMPLE = 400
 BOUNDING = 100
 CENTROIDS = 4
@@ -64,8 +66,11 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def batch_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    for first, data, offsets in text_runs(pc.utf8_lower(column.cast(pa.large_string())), RUN_ROWS):
-        yield first, trigram_counts(data, offsets)
+    """(first row, counts) for so many rows at a time; only these are copied, lower-cased and counted."""
+    for at in range(0, len(column), ROWS):
+        part = pc.utf8_lower(column.slice(at, ROWS).cast(pa.large_string()))
+        for first, data, offsets in text_runs(part):
+            yield at + first, trigram_counts(data, offsets)
 
 
 def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:

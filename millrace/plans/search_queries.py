@@ -51,8 +51,8 @@ def notice_score(bonus: Column) -> Column:
     special = F.bit_count(G.unasked(F.col("title_readers"), F.col("asks_readers"))) * F.lit(G.SPECIAL)
     year = F.when(F.col("asks_year") == F.year("published_at"), 0.1).otherwise(0.0)
     named = F.col("identity") * F.when(F.size("named") > 0, 0.9).otherwise(0.0)
-    return F.round(
-        F.col("vector") * LEXICAL + F.col("hits") / n * 0.32 + F.col("title_hits") / n * 0.30 + category + year + G.status_score(F.col("status"), F.col("current")) + fresh + source + guide + bonus - special + named, 5
+    return R.rounded(
+        F.col("vector") * LEXICAL + F.col("hits") / n * 0.32 + F.col("title_hits") / n * 0.30 + category + year + G.status_score(F.col("status"), F.col("current")) + fresh + source + guide + bonus - special + named
     )
 
 
@@ -164,7 +164,7 @@ def hybrid_score_unit(t: Tables):
     state = F.when(F.col("o_orderdate") > stamp("1998-09-01 00:00:00"), 0.1).when(F.col("o_orderdate").isNull(), 0.0).otherwise(-0.1)
     bonus = F.when(F.col("k") == F.col("n"), 0.85).when(F.col("line_no") == 0, 0.2).otherwise(0.0)
     source = F.least(F.greatest(F.col("source_priority"), F.lit(0)), F.lit(120)) / F.lit(120.0) * 0.2
-    return u.select("item_id", "doc_id", "line_no", F.round(F.col("k") / F.col("n") * 0.25 + F.col("title_hits") / F.col("n") * 0.22 + source + state + bonus, 5).alias("score"))
+    return u.select("item_id", "doc_id", "line_no", R.rounded(F.col("k") / F.col("n") * 0.25 + F.col("title_hits") / F.col("n") * 0.22 + source + state + bonus).alias("score"))
 
 
 _WHY = "CASE WHEN NOT processed THEN 'not_processed' WHEN gate IS NOT NULL THEN gate WHEN score < 0.34 THEN 'below_threshold' END"
@@ -186,7 +186,7 @@ def candidate_union(t: Tables):
     breaks = t.documents.select(F.col("doc_id").alias("_id"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks")).where("breaks > 3").select("_id")
     unit = F.col("_id").isNotNull()
     found = candidates(t).select("item_id", "doc_id", "score").join(breaks, F.col("doc_id") == F.col("_id"), "left")
-    return found.select("item_id", "doc_id", F.when(unit, F.round(F.col("score") + 0.1, 5)).otherwise(F.col("score")).alias("score"), F.when(unit, "unit").otherwise("document").alias("kind"))
+    return found.select("item_id", "doc_id", F.when(unit, R.rounded(F.col("score") + 0.1)).otherwise(F.col("score")).alias("score"), F.when(unit, "unit").otherwise("document").alias("kind"))
 
 
 @query(f"""WITH {HITS}, c AS (SELECT doc_id, unnest(range(0, greatest(1, ((length(text) - 180 + 1219) // 1220)))) AS i, text FROM documents),

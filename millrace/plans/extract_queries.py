@@ -13,7 +13,7 @@ from millrace.operators.blocking import containment
 from millrace.operators.period import windows, with_period
 from millrace.plans.inputs import AS_OF_DOCS, NOTICES, STAFF, notices, staff, stamp
 from millrace.plans.registry import Tables, query
-from millrace.plans.text_queries import ENT, sql_normalize
+from millrace.plans.text_queries import ENT, sql_normalize, sql_tree_text
 from millrace.storage import written
 
 
@@ -224,8 +224,8 @@ def https_links(t: Tables):
 CONTENT = ("main", ".content", "article", "body")
 
 
-@query(f"""WITH x AS (SELECT page_id, {sql_normalize("regexp_extract(html, '<article>(.*)</article>', 1, 's')")} AS a,
-  {sql_normalize("regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<(script|style)>.*?</(script|style)>|<!--.*?-->', ' ', 'gs')")} AS b FROM pages)
+@query(f"""WITH x AS (SELECT page_id, {sql_tree_text("regexp_extract(html, '<article>(.*)</article>', 1, 's')")} AS a,
+  {sql_tree_text("regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<(script|style)>.*?</(script|style)>|<!--.*?-->', ' ', 'gs')")} AS b FROM pages)
 SELECT page_id, CASE WHEN length(a) >= 5 THEN 'article' ELSE 'body' END AS selector, sha256(CASE WHEN length(a) >= 5 THEN a ELSE b END) AS digest, length(CASE WHEN length(a) >= 5 THEN a ELSE b END) AS n FROM x WHERE length(a) >= 5 OR length(b) >= 5""")
 def page_main_content(t: Tables):
     """The text of the longest node of the first selector that has a usable one."""

@@ -1,3 +1,8 @@
+import tracemalloc
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.operators import vectors as V
@@ -9,3 +14,41 @@ def test_fit_works_each_norm_out_once(spark):
     assert [r.v for r in df.collect()] == [[0.6, 0.8, 0.0, 0.0], [0.0] * 4]
     # the norm of each of the two fits stands once in the plan, not once for each use of a use
     assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 2
+
+
+def _peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_neighbours_of_a_batch_take_little_memory():
+    x = np.random.default_rng(1).normal(size=(6000, 8))
+    rows = pd.DataFrame({"vec_id": np.arange(6000), "embedding": list(x), "kind": np.arange(6000) % 2})
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    queries, found = slice(0, 2000), []
+    # the whole product would be 96 MB, and copies of it
+    assert _peak_mb(lambda: found.extend(V._nearest(rows, np.arange(2000), unit[queries], 5, -1.0, ("kind", np.arange(2000) % 2)))) < 40
+    said = np.round(unit[queries] @ unit.T, 6)
+    said[(np.arange(2000) % 2)[:, None] != (np.arange(6000) % 2)[None, :]] = -2
+    said[np.arange(2000), np.arange(2000)] = -2
+    best = pd.concat(found).sort_values(["query_id", "cosine", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(5)
+    assert np.array_equal(best["cosine"].to_numpy().reshape(2000, 5), -np.sort(-said, axis=1)[:, :5])
+
+
+def test_lexical_vectors_take_little_memory():
+    texts = [[f"word{i % 50}", f"other{i % 7}"] for i in range(4096)]
+    # the matrix itself has 50 MB
+    assert _peak_mb(lambda: V.Places().vectors(texts)) < 80
+
+
+def test_held_rows_are_bounded_in_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(V, "HELD", 3)
+    monkeypatch.setattr(V, "HELD_BYTES", 10)
+    texts = ["x" * 30, "", "aaaa", "bbbb", "cccc", "d", "e", "f", "g", "y" * 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert [b.column("text").to_pylist() for b in V._held(batch)] == [["x" * 30], ["", "aaaa", "bbbb"], ["cccc", "d", "e"], ["f", "g"], ["y" * 11]]
+    assert list(V._held(batch.slice(0, 0))) == []

@@ -79,8 +79,12 @@ def rule_keys() -> Column:
 
 
 def best_per_task(rows: DataFrame, query: str, task: str, score: str, doc: str) -> DataFrame:
-    """One row for each query and task: the best document, then the least id."""
-    return rows.groupBy(query, task).agg(F.max_by(F.struct(doc, score), F.struct(score, (-F.col(doc)).alias("i"))).alias("x")).select(query, task, "x.*")
+    """One row for each query and task: the best document, then the least id.
+
+    The least id of each score comes first: numbers are combined in a hash table, whereas max_by of a struct sorts all rows.
+    """
+    firsts = rows.groupBy(query, task, score).agg(F.min(doc).alias(doc))
+    return firsts.groupBy(query, task).agg(F.max_by(F.struct(doc, score), F.struct(score, (-F.col(doc)).alias("i"))).alias("x")).select(query, task, "x.*")
 
 
 # How long an answer is kept, in minutes, by what it is about.

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+from millrace.functions.text import lowered
 from millrace.operators import tasks as K
-from millrace.plans.inputs import HITS, QUESTIONS, REQUESTS, keyword_hits, questions, requests
+from millrace.plans.inputs import HITS, QUESTIONS, REQUESTS, asked, questions, requests
 from millrace.operators.rules import compiled
+from millrace.operators.vectors import keyword_matches
 from millrace.plans.registry import Tables, query
 from millrace.plans.rule_tables import met_sql, rule_table
 
@@ -119,5 +121,6 @@ def faq_match(t: Tables):
 SELECT item_id, task, doc_id, hits FROM s QUALIFY row_number() OVER (PARTITION BY item_id, task ORDER BY hits DESC, doc_id) = 1""")
 def multi_task_fanout(t: Tables):
     """For each question and task the best document of that task."""
-    tasked = t.documents.select("doc_id", K.primary(F.lower("text")).alias("task")).where("task is not null")
-    return K.best_per_task(keyword_hits(t).join(tasked, "doc_id"), "item_id", "task", "hits", "doc_id")
+    low, title = lowered(F.col("text")), lowered(F.substring("text", 1, 60))
+    tasked = t.documents.select("doc_id", low.alias("text"), title.alias("title"), K.primary(F.lower("text")).alias("task")).where("task is not null")
+    return K.best_per_task(keyword_matches(tasked, asked(t), ["doc_id", "task"], vectors=False), "item_id", "task", "hits", "doc_id")

@@ -213,3 +213,18 @@ def test_licenses_long_and_repeated_texts(spark, documents):
 
 def test_licenses_empty_table(spark, documents):
     assert licenses.scan(documents([])).count() == 0
+
+
+def test_licenses_without_an_anchor_and_wrapped_at_any_width(spark, documents):
+    """Lines that hold no anchor, notices of one to five words a line, and blank lines that end in a carriage return."""
+    notices = [("This software is distributed under the terms of Zlib.", "zlib"), ("Distributed under the terms of ISC.", "isc"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), (licenses.NOTICES["mit"][0], "mit"), (licenses.NOTICES["gpl-3"][0], "gpl-3")]
+    cases = [(text, family) for text, family in notices]
+    for text, family in notices:
+        w = text.split()
+        cases += [("\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n)), family) for n in range(1, 6)]
+    docs = documents([(i, f"First line.\r\n\r\n{text}\r\n \r\nLast line, not released under it.") for i, (text, _) in enumerate(cases)])
+    first = {}
+    for r in sorted(licenses.scan(docs).collect(), key=lambda r: r["paragraph"]):
+        if r["family"] != "unknown":
+            first.setdefault(r["doc_id"], r["family"])
+    assert [first.get(i) for i in range(len(cases))] == [family for _, family in cases]

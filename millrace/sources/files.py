@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.batches import pieces
+
 SIZE_CAP = 25 << 20
 
 
@@ -31,20 +33,30 @@ def file_kind(name: Column, mime: Column, head: Column) -> Column:
     return kind.when(F.lower(F.substring(head, 1, 64)).rlike(r"^\s*<(!doctype html|html)"), "html").otherwise("unsupported")
 
 
-@F.pandas_udf(T.StringType())
-def decode_bytes(body: pd.Series) -> pd.Series:
-    """Text of bytes: UTF-16 by its mark, else the first of UTF-8, CP949 and EUC-KR that fits, else UTF-8 without what does not fit."""
+#: Bytes of bodies that are decoded at a time, unless one alone has more.
+AT_ONCE = 1 << 20
+
+
+def _decoded(raw: bytes | None) -> str | None:
+    if raw is None:
+        return None
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return raw.decode("utf-16", "ignore")
+    for name in ("utf-8", "cp949", "euc-kr"):
+        try:
+            return raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+    return raw.decode("utf-8", "ignore")
 
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            return raw.decode("utf-16", "ignore")
-        for name in ("utf-8", "cp949", "euc-kr"):
-            try:
-                return raw.decode(name)
-            except UnicodeDecodeError:
-                continue
-        return raw.decode("utf-8", "ignore")
-
-    return body.map(one)
+
+def _texts(bodies: pa.Array) -> pa.Array:
+    """The texts of a batch; of a piece at a time there are Python objects."""
+    made = [pa.array([_decoded(x.as_py()) for x in bodies.slice(at, n)], pa.string()) for at, n in pieces(bodies, len(bodies), AT_ONCE)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def decode_bytes(body: pa.Array) -> pa.Array:
+    """Text of bytes: UTF-16 by its mark, else the first of UTF-8, CP949 and EUC-KR that fits, else UTF-8 without what does not fit."""
+    return _texts(body)

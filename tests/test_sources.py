@@ -3,12 +3,15 @@
 import hashlib
 import json
 import os
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.sources.export import MANIFEST, export_nested, nested
+from millrace.sources.files import _texts
 from millrace.sources.isolated import Source, union_isolated
 
 
@@ -81,3 +84,18 @@ def test_broken_sources_are_rows(spark, tmp_path):
 def test_no_source_at_all(spark):
     rows, errors = union_isolated(spark, [], SCHEMA)
     assert rows.count() == errors.count() == 0
+
+
+def test_decoding_holds_a_piece_of_a_batch_at_a_time():
+    """Bodies of 64 MB, of which the result has 32: no second copy of all of them as Python objects."""
+    bodies = pa.array([("Text " * 800).encode("utf-16")] * 8000)
+    tracemalloc.start()
+    try:
+        made = _texts(bodies)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert set(made.to_pylist()) == {"Text " * 800} and len(made) == 8000 and peak < 8
+    odd = [b"\xff\xfea\x00", None, "é".encode(), "한".encode("cp949"), b"\xff\xff", b"", b"x" * (3 << 20)]
+    assert _texts(pa.array(odd, pa.binary())).to_pylist() == ["a", None, "é", "한", "", "", "x" * (3 << 20)]
+    assert _texts(pa.array([], pa.binary())).to_pylist() == []

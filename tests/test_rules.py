@@ -1,11 +1,14 @@
 """Compiled rules against a slow reading of the table."""
 
 import random
+import tracemalloc
 
+import ahocorasick
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.rules import compiled
+from millrace.operators.rules import _all_bits, compiled
 
 SCHEMA = "rule string, kind string, term string, turn int"
 
@@ -54,3 +57,18 @@ def test_too_many_rows_and_an_empty_table(spark):
     none = compiled(spark.createDataFrame([], SCHEMA))
     df = spark.createDataFrame([("a",)], "text string").select(none.read(F.col("text")).alias("b"))
     assert df.select(none.all(F.col("b")), none.first(F.col("b")), none.has(F.col("b"), "r", "any")).first()[:] == ([], None, False)
+
+
+def test_a_batch_is_read_a_text_at_a_time():
+    """40 MB of texts are no 40 MB of Python objects."""
+    automaton = ahocorasick.Automaton()
+    automaton.add_word("term", (0, 3))
+    automaton.make_automaton()
+    texts = pa.array(["no " * 1400, "a term " * 600] * 5000)
+    tracemalloc.start()
+    try:
+        made = _all_bits(automaton, texts, 1)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert made.to_pylist() == [[0], [9]] * 5000 and peak < 4

@@ -73,15 +73,15 @@ def candidates(t: Tables, visible: bool = False) -> DataFrame:
     """
     meta = notices(t).where("processed") if visible else notices(t)
     carry = ["doc_id", "source_id", "source_type", "source_priority", "published_at", "quality", "lang", "processed"]
-    low, title = lowered(F.col("content")), lowered(F.col("title"))
+    low, title = F.col("text"), F.col("title")
     until = F.timestamp_add("DAY", F.lit(OPEN_DAYS), F.col("published_at"))
-    held = K.primary(low)
     told = {
-        "status": period_status(F.col("published_at"), until, stamp(AS_OF_DOCS)), "task": held, "category": K.parent_of(held), "barred": K.bars(title, low),
+        "status": period_status(F.col("published_at"), until, stamp(AS_OF_DOCS)), "task": K.primary(low), "barred": K.bars(title, low),
         "readers": G.group_bits(low, READERS), "title_readers": G.group_bits(title, READERS), "general": G.holds(low, GENERAL), "title_years": G.years(title), "title_key": compact(title),
     }
-    docs = meta.select(*carry, low.alias("text"), title.alias("title"), *(c.alias(name) for name, c in told.items()))
-    pairs = keyword_matches(docs, asked(t), [*carry, *told]).join(asks(t), "item_id")
+    # each step in columns of its own: the lower-cased text and the task, which many rules ask for, are worked out once
+    docs = meta.select(*carry, lowered(F.col("content")).alias("text"), lowered(title).alias("title")).withColumns(told).withColumn("category", K.parent_of(F.col("task")))
+    pairs = keyword_matches(docs, asked(t), [*carry, *told, "category"]).join(asks(t), "item_id")
     bonus, reason = K.judged(F.col("asks_task"), F.col("task"), F.col("barred"))
     pairs = pairs.withColumn("identity", G.identity_share(F.col("named"), F.col("title_key"))).withColumn("exact_task", F.coalesce(reason == "task", F.lit(False)))
     gate = G.first_reason([

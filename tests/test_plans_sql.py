@@ -33,3 +33,10 @@ def test_first_violation_of_turns_that_tie(spark, turned):
     rows = [(1, 1, "user", "see https://a.b"), (1, 1, "assistant", "fine"), (1, 2, "user", "x" * 1501), (2, 1, "user", "z" * 1600), (2, 1, "user", "a"), (3, 1, "r" * 161, "ok"), (4, None, "user", "sudo now"), (4, 0, "user", "ok"), (5, 1, None, None), (5, 2, "user", "y" * 1501)]
     got, want = _both(spark, text_queries.quarantine_split, "conversations", rows[::-1] if turned else rows, "conv_id long, turn int, role string, text string")
     assert got == want == [(1, "$.turns[1].text", "unsafe"), (2, "$.turns[1].text", "too_long"), (3, "$.turns[0].role", "too_long"), (4, "$.turns[0].text", "unsafe"), (5, "$.turns[1].text", "too_long")]
+
+
+def test_words_beside_letters_that_are_not_ascii(spark):
+    # as in the SQL, a word ends before any letter that is not ASCII, and the long s is an s
+    texts = ["que sudoñboque", "Sudoñdorr", "bash가", "rm -é", "rm -e", "rm\x0b-rf", "rm\t -rf", "curl\u0301", "sudoku", "ſudo x", "httpſ://a", "<ſystem>", "chmod_x", "é bash é", "bash𝒜"]
+    got, want = _both(spark, text_queries.quarantine_split, "conversations", [(i, 0, "user", x) for i, x in enumerate(texts)], "conv_id long, turn int, role string, text string")
+    assert got == want == [(i, "$.turns[0].text", "unsafe") for i in (0, 1, 2, 4, 6, 7, 9, 10, 11, 13, 14)]
